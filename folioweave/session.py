@@ -7,6 +7,7 @@ tests and the benchmark use.  On a cluster the submitter's session is used as is
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +35,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The cluster names the shared folder in ``spark.checkpoint.dir``.  Only when
     that is unset (tests, one machine) is a local folder chosen.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder for checkpoints and stage tables."""
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    return configured or context.getCheckpointDir()
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write a stage result that several consumers read, as Parquet.
+
+    Later reads prune columns and push filters; a lost executor re-reads the
+    files instead of recomputing the stage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_table(df: DataFrame, max_rows: int) -> DataFrame:
