@@ -50,4 +50,4 @@ def plain_number(c: Column) -> Column:
 def freshness(age_days: Column, half_life: float = 180.0, missing: float = 0.65) -> Column:
     """Exponential decay with the given half life; unknown age is neutral."""
     decayed = F.exp(F.lit(-math.log(2.0) / half_life) * F.greatest(age_days, F.lit(0.0)))
-    return F.coalesce(decayed, F.lit(missing))
+    return F.when(age_days.isNull(), F.lit(missing)).otherwise(decayed)
