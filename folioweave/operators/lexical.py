@@ -37,20 +37,18 @@ def token_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = terms.filter(F.length("term") > 0).select("term").distinct().select(
         "term", F.substring("term", 1, 3).alias("head")
     )
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.length("token")),
-                lambda i: F.array(*[F.substring(F.col("token"), i, F.lit(n)) for n in (1, 2, 3)]),
-            )
-        )
-    )
     heads = wanted.select("head").distinct()
-    vocabulary = posts.select("token").distinct().select("token", F.explode(grams).alias("head"))
+    places = posts.select("token").distinct().select(
+        "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i")
+    )
+    grams = F.array(*[F.substring(F.col("token"), F.col("i"), F.lit(n)) for n in (1, 2, 3)])
+    vocabulary = places.select("token", F.explode(grams).alias("head"))
     return (
         vocabulary.join(heads, "head", "left_semi")
         .join(wanted, "head")
         .filter(F.contains("token", F.col("term")))
+        .select("token", "term")
+        .distinct()
         .select("token", "term", tx.occurrences(F.col("token"), F.col("term")).alias("inside"))
     )
 
