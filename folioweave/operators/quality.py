@@ -44,3 +44,150 @@ def graph_scorecard(nodes: DataFrame, edges: DataFrame, docs: DataFrame) -> Data
         F.struct(F.lit("node_type_coverage").alias("dimension"), banded(F.col("nt") / len(graph_rules.NODE_TYPES), [(0.5, 10), (0.25, 6)], 2).alias("points")),
     )
     return facts.select(F.inline(rows))
+
+
+def document_metrics(structured: DataFrame, chunks: DataFrame, authority: float = 0.65) -> DataFrame:
+    """Structure depth, quality class and chunk statistics per document.
+
+    ``structured``: output of the hierarchy; ``chunks``: ``doc_id, tokens,
+    confidence, degraded``.
+    """
+    shape = structured.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("blocks"),
+        *[F.count_if(F.col("unit") == u).alias(f"{u}s") for u in ("section", "article", "clause")],
+        F.count_if((F.col("unit") == "article") & F.col("cur_section").isNotNull()).alias("articles_with_section"),
+    )
+    sizes = chunks.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if("degraded").alias("degraded_chunks"),
+        F.count_if(~F.col("degraded") & (F.col("confidence") >= authority)).alias("authoritative_chunks"),
+        F.round(F.avg("tokens"), 4).alias("mean_tokens"), F.max("tokens").alias("max_tokens"), F.min("tokens").alias("min_tokens"),
+    )
+    depth = F.when(F.col("clauses") > 0, 3).when(F.col("articles") > 0, 2).when(F.col("sections") > 0, 1).otherwise(0)
+    quality = (
+        F.when((F.col("articles") > 0) & (F.col("sections") > 0), "hierarchical")
+        .when(F.col("articles") > 0, "article_level").when(F.col("sections") > 0, "section_level").otherwise("flat")
+    )
+    return shape.join(sizes, "doc_id", "left").withColumns({"depth": depth, "structure_quality": quality})
+
+
+def missing_content(profiled: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Pages of the profile without any extracted block.
+
+    ``profiled``: ``doc_id, page_count``; ``extracted``: ``doc_id, page``.
+    """
+    pages = profiled.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page"))
+    return pages.join(extracted.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+
+
+def check_suite(facts: DataFrame, checks: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """One row per document and check: ``(name, severity, boolean expression)``."""
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.expr(e).alias("passed"))
+            for n, s, e in checks
+        ]
+    )
+    return facts.select("doc_id", F.inline(rows))
+
+
+def run_rollup(results: DataFrame, by: str) -> DataFrame:
+    """Worst status per group with counts of failed checks."""
+    failed = ~F.col("passed")
+    level = F.max(F.when(failed & (F.col("severity") == "fail"), 2).when(failed, 1).otherwise(0))
+    return results.groupBy(by).agg(
+        F.count(F.lit(1)).alias("checks"), F.count_if(failed).alias("failed"),
+        F.array_join(F.array_sort(F.collect_set(F.when(failed, F.col("check")))), ",").alias("failed_checks"),
+        level.alias("_l"),
+    ).withColumn("status", F.when(F.col("_l") == 2, "fail").when(F.col("_l") == 1, "warning").otherwise("pass")).drop("_l")
+
+
+def retrieval_metrics(rows: DataFrame, general: str = "general") -> DataFrame:
+    """Benchmark metrics over all queries in one row.
+
+    ``rows``: ``query_id, expected, top1, top3 array, top_score, is_fallback,
+    is_empty, cross_error``.
+    """
+    named = F.col("expected") != general
+    pct = lambda hit, base: F.round(F.count_if(hit) / F.greatest(F.count_if(base), F.lit(1)) * 100, 4)
+    return rows.agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(named).alias("named_queries"),
+        pct(named & (F.col("top1") == F.col("expected")), named).alias("top1_accuracy_pct"),
+        pct(named & F.array_contains("top3", F.col("expected")), named).alias("top3_accuracy_pct"),
+        pct(named & F.col("cross_error"), named).alias("cross_domain_error_pct"),
+        pct(F.col("is_empty"), F.lit(True)).alias("empty_rate_pct"),
+        pct(F.col("is_fallback"), F.lit(True)).alias("fallback_rate_pct"),
+        F.round(F.avg(F.when(F.col("top_score") > 0, F.col("top_score"))), 6).alias("mean_top1_score"),
+    )
+
+
+# Targets of the retrieval gate.
+RETRIEVAL_TARGETS = [
+    ("top1_accuracy_pct", ">=", 85.0), ("top3_accuracy_pct", ">=", 90.0), ("cross_domain_error_pct", "==", 0.0),
+    ("empty_rate_pct", "==", 0.0), ("fallback_rate_pct", "<=", 30.0),
+]
+
+
+def gate(metrics: DataFrame, targets=tuple(RETRIEVAL_TARGETS)) -> DataFrame:
+    """One row per target with its value and whether it is met."""
+    ops = {">=": lambda v, t: v >= t, "<=": lambda v, t: v <= t, "==": lambda v, t: v == t}
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("gate"), F.col(n).alias("value"), F.lit(t).alias("target"), ops[o](F.col(n), F.lit(t)).alias("passed"))
+            for n, o, t in targets
+        ]
+    )
+    return metrics.select(F.inline(rows))
+
+
+def release_decision(gates: DataFrame, share_needed: float = 0.9) -> DataFrame:
+    """Beta needs every hard gate, general release also the pass share."""
+    return gates.agg(
+        F.bool_and(F.col("passed") | ~F.col("hard")).alias("beta"),
+        F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_share"),
+    ).withColumn("general", F.col("beta") & (F.col("pass_share") >= share_needed))
+
+
+def knowledge_base_scorecard(chunks: DataFrame) -> DataFrame:
+    """Banded score over length, vector, path and source coverage.
+
+    ``chunks``: ``content, has_vector, has_path, source``.
+    """
+    n = F.length("content")
+    facts = chunks.agg(
+        F.count(F.lit(1)).alias("total"), F.avg(F.col("has_vector").cast("double")).alias("v"),
+        F.avg(F.col("has_path").cast("double")).alias("p"), F.countDistinct("source").alias("s"),
+        F.avg(((n >= 100) & (n <= 4000)).cast("double")).alias("g"), F.floor(F.sum(n) / F.count(F.lit(1))).alias("mean_length"),
+    )
+    points = {
+        "vector_points": banded(F.col("v") * 100, [(95, 30), (80, 22), (60, 14)], 5),
+        "length_points": banded(F.col("g") * 100, [(80, 25), (60, 18), (40, 10)], 3),
+        "source_points": banded(F.col("s"), [(20, 20), (10, 15), (5, 9)], 3),
+        "path_points": banded(F.col("p") * 100, [(80, 15), (50, 10), (20, 5)], 1),
+    }
+    total = sum(list(points.values())[1:], list(points.values())[0])
+    return facts.withColumns({**points, "score": total}).select("total", "mean_length", *points, "score").withColumn(
+        "grade", F.when(F.col("score") >= 90, "A").when(F.col("score") >= 75, "B").when(F.col("score") >= 60, "C")
+        .when(F.col("score") >= 45, "D").otherwise("F"),
+    )
+
+
+def stage_latency(traces: DataFrame) -> DataFrame:
+    """Count, error share, mean and percentiles of durations per stage.
+
+    Durations are pre-counted per value, so a stage that holds most events does
+    not collect them in one place; percentiles are exact.
+    """
+    from pyspark.sql import Window
+
+    totals = traces.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("events"), F.round(F.avg((F.col("status") == "error").cast("double")), 6).alias("error_share"),
+        F.round(F.avg("duration_ms"), 6).alias("mean_ms"), F.max("duration_ms").alias("max_ms"),
+    )
+    counts = traces.groupBy("stage", F.round("duration_ms", 2).alias("duration_ms")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("stage")
+    run = counts.withColumns(
+        {"upto": F.sum("c").over(w.orderBy("duration_ms")), "n": F.sum("c").over(w)}
+    )
+    pick = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("duration_ms")))
+    marks = run.groupBy("stage").agg(pick(0.5).alias("p50_ms"), pick(0.95).alias("p95_ms"))
+    return totals.join(marks, "stage")
