@@ -1 +1 @@
-
+"""Structured Streaming jobs; each has a batch form it is compared with."""
