@@ -196,8 +196,12 @@ def peer_trending(
     plain = ranking.filter(F.col("rank") <= peers).select(
         F.concat(F.col("topic_set"), F.lit("#")).alias("list"), "peer"
     )
-    insiders = ranking.filter(F.col("rank") <= peers).select(
-        "topic_set", F.col("peer").alias("insider")
+    # only users who are on the list of their own topic set need another list
+    insiders = (
+        ranking.filter(F.col("rank") <= peers)
+        .select("topic_set", F.col("peer").alias("user_id"))
+        .join(sets, ["topic_set", "user_id"], "left_semi")
+        .select("topic_set", F.col("user_id").alias("insider"))
     )
     without_self = (
         insiders.join(ranking, "topic_set")
