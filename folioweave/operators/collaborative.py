@@ -12,6 +12,7 @@ from folioweave.operators.interactions import (
     without_system_items,
 )
 from folioweave.operators.ranking import ranked_prefix, top_per_key
+from folioweave.session import spread, stage_table
 
 HOT_ITEMS = 6
 
@@ -39,7 +40,8 @@ def co_user_items(
     formed only through the other items, and only where the masks do not
     overlap.  Both parts are exact and disjoint, so sums and counts add up.
     """
-    ui = user_item_weights(events, weights, other)
+    # far smaller than the log and read by every branch below
+    ui = stage_table(user_item_weights(events, weights, other))
     hot = (
         ui.groupBy("item").agg(F.count(F.lit(1)).alias("users"))
         .orderBy(F.desc("users"), F.asc("item")).limit(HOT_ITEMS)
@@ -49,8 +51,10 @@ def co_user_items(
         F.expr("shiftleft(1L, row_number() over (order by users desc, item) - 1)").alias("bit"),
     )
     tagged = ui.join(F.broadcast(hot_bits), "item", "left")
-    masks = tagged.groupBy("user_id").agg(
-        F.coalesce(F.sum("bit"), F.lit(0)).alias("mask"), F.count(F.lit(1)).alias("n_seen")
+    masks = stage_table(
+        tagged.groupBy("user_id").agg(
+            F.coalesce(F.sum("bit"), F.lit(0)).alias("mask"), F.count(F.lit(1)).alias("n_seen")
+        )
     )
     rated = ui.join(masks.select("user_id", "mask"), "user_id")
 
@@ -81,7 +85,7 @@ def co_user_items(
         tagged.filter(F.col("bit").isNull()).select("user_id", "item").join(masks, "user_id")
         .select("user_id", "item", "mask")
     )
-    left, right = tail.alias("a"), tail.alias("b")
+    left, right = spread(tail, "user_id").alias("a"), tail.alias("b")
     pairs = (
         left.join(
             right,
@@ -92,7 +96,7 @@ def co_user_items(
         .select(F.col("a.user_id").alias("user_id"), F.col("b.user_id").alias("peer"))
         .distinct()
     )
-    tail_scores = (
+    tail_scores = stage_table(
         pairs.join(ui.withColumnRenamed("user_id", "peer"), "peer")
         .groupBy("user_id", "item")
         .agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("people"))
@@ -155,11 +159,11 @@ def peer_ranking(events: DataFrame, sets: DataFrame, limit: int = 20) -> DataFra
     so ``limit + 1`` rows per set serve all of them.
     """
     counts = known_topic(events).groupBy("user_id", "topic").agg(F.count(F.lit(1)).alias("n"))
-    wanted = sets.select("topic_set").distinct().select(
+    wanted = spread(sets.select("topic_set").distinct(), "topic_set").select(
         "topic_set", F.explode(F.split("topic_set", ",").cast("array<int>")).alias("topic")
     )
     overlap = (
-        counts.join(wanted, "topic").groupBy("topic_set", "user_id").agg(F.sum("n").alias("overlap"))
+        wanted.join(spread(counts, "user_id"), "topic").groupBy("topic_set", "user_id").agg(F.sum("n").alias("overlap"))
     )
     return top_per_key(
         overlap, ["topic_set"], [F.desc("overlap"), F.asc("user_id")], limit + 1
@@ -168,7 +172,7 @@ def peer_ranking(events: DataFrame, sets: DataFrame, limit: int = 20) -> DataFra
 
 def peer_users(events: DataFrame, interest: DataFrame, limit: int = 20, top: int = 3) -> DataFrame:
     """Best ``limit`` peers of every user by activity in the user's top topics."""
-    sets = topic_sets(interest, top)
+    sets = stage_table(topic_sets(interest, top))
     ranking = peer_ranking(events, sets, limit)
     joined = sets.join(ranking.drop("rank"), "topic_set").filter(F.col("peer") != F.col("user_id"))
     return top_per_key(joined, ["user_id"], [F.desc("overlap"), F.asc("peer")], limit).select(
@@ -191,8 +195,8 @@ def peer_trending(
     from the few who are on it themselves.  Trends are computed per list and
     each user reads the prefix of the ranking that must hold ``k`` unseen items.
     """
-    sets = topic_sets(interest, top)
-    ranking = peer_ranking(events, sets, peers)
+    sets = stage_table(topic_sets(interest, top))
+    ranking = stage_table(peer_ranking(events, sets, peers))
     plain = ranking.filter(F.col("rank") <= peers).select(
         F.concat(F.col("topic_set"), F.lit("#")).alias("list"), "peer"
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as tx
 from folioweave.operators.ranking import top_overall, top_per_key
 from folioweave.rules import queries as rules
-from folioweave.session import stage_table
+from folioweave.session import spread, stage_table
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -27,21 +27,22 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def token_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
+def token_matches(posts: DataFrame, terms: DataFrame, shortest: int = 1) -> DataFrame:
     """(token, term, occurrences of the term inside the token).
 
     ``terms``: ``term`` (distinct, without white space).  Tokens meet terms by
     equality on the term's first three letters (all of a shorter term), which
     must occur somewhere in the token; the rest is verified on the pair.
+    ``shortest`` is the least term length the caller lets through.
     """
-    wanted = terms.filter(F.length("term") > 0).select("term").distinct().select(
+    wanted = terms.filter(F.length("term") >= shortest).select("term").distinct().select(
         "term", F.substring("term", 1, 3).alias("head")
     )
     heads = wanted.select("head").distinct()
-    places = posts.select("token").distinct().select(
+    places = spread(posts.select("token").distinct(), "token").select(
         "token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i")
     )
-    grams = F.array(*[F.substring(F.col("token"), F.col("i"), F.lit(n)) for n in (1, 2, 3)])
+    grams = F.array(*[F.substring(F.col("token"), F.col("i"), F.lit(n)) for n in range(min(3, shortest), 4)])
     vocabulary = places.select("token", F.explode(grams).alias("head"))
     return (
         vocabulary.join(heads, "head", "left_semi")
@@ -53,9 +54,9 @@ def token_matches(posts: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(posts: DataFrame, terms: DataFrame) -> DataFrame:
+def term_counts(posts: DataFrame, terms: DataFrame, shortest: int = 2) -> DataFrame:
     """(chunk, term, count) for the wanted terms: Python-style ``str.count``."""
-    matched = token_matches(posts, terms.select("term").distinct())
+    matched = token_matches(posts, terms.select("term").distinct(), shortest)
     return (
         posts.join(matched, "token")
         .groupBy("chunk_id", "term")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.session import widen
+
 AS_OF = "2024-01-31 00:00:00"
 
 # Action weights in the vocabulary of the events table.
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return widen(table(spark, sf_dir, "events"), "user_id").select(
         "event_id",
         "user_id",
         "ts",
@@ -47,7 +49,7 @@ AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 # --- corpus -----------------------------------------------------------------
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return widen(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ st AS (SELECT doc_id, any_value(source) AS source, string_agg(raw_text, chr(10)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations")
+    return widen(table(spark, sf_dir, "conversations"), "conv_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,26 @@ def small_table(df: DataFrame, max_rows: int) -> DataFrame:
 
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a small frame whose rows are about to multiply.
+
+    Adaptive execution merges small shuffle outputs into few tasks, which is
+    wrong just before an explode or a fan-out join.  A fixed partition count is
+    left alone, and later grouping by supersets of ``keys`` needs no exchange.
+    """
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores.
+
+    One small file is one task.  Such an input is hash-partitioned by its key,
+    so that heavy row-wise work runs in parallel; an input with enough splits
+    is returned as it is and never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
