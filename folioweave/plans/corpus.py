@@ -513,8 +513,8 @@ r2 AS (SELECT *, len(regexp_extract_all(t2, '[0-9]{16}')) AS n_card, regexp_repl
 r3 AS (SELECT *, len(regexp_extract_all(t3, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS n_address, regexp_replace(t3, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', '[ADDRESS]', 'g') AS t4 FROM r2)"""
 
 
-@query("t15_redaction", rf"""WITH {REDACT} SELECT doc_id, md5(trim(regexp_replace(t4, '\s{{2,}}', ' ', 'g'))) AS digest, CAST(n_email + n_phone + n_card + n_address AS INTEGER) AS redaction_count,
-concat_ws(',', CASE WHEN n_email > 0 THEN 'email' END, CASE WHEN n_phone > 0 THEN 'phone' END, CASE WHEN n_card > 0 THEN 'card' END, CASE WHEN n_address > 0 THEN 'address' END) AS flags FROM r3""")
+@query("t15_redaction", rf"""WITH {REDACT}, rs AS (SELECT *, trim(regexp_replace(t4, '\s{{2,}}', ' ', 'g')) AS s FROM r3) SELECT doc_id, md5(CASE WHEN length(s) < 10 THEN 'Tình huống pháp lý cần tư vấn.' ELSE s END) AS digest, CAST(n_email + n_phone + n_card + n_address AS INTEGER) AS redaction_count,
+concat_ws(',', CASE WHEN n_email > 0 THEN 'email' END, CASE WHEN n_phone > 0 THEN 'phone' END, CASE WHEN n_card > 0 THEN 'card' END, CASE WHEN n_address > 0 THEN 'address' END) AS flags FROM rs""")
 def t15(spark, sf):
     out = cleaning.redact(documents(spark, sf), PII)
     return out.select("doc_id", F.md5("safe_summary").alias("digest"), "redaction_count", F.array_join("risk_flags", ",").alias("flags"))
