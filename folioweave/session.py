@@ -1,4 +1,4 @@
-"""Session defaults and lineage cutting.
+"""Session defaults and stage tables.
 
 Nothing in the operators depends on these settings; they are the values the
 tests and the benchmark use.  On a cluster the submitter's session is used as is.
@@ -6,11 +6,17 @@ tests and the benchmark use.  On a cluster the submitter's session is used as is
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: list[str] = []
+
 
 def local_session(cores: int | str = "*", app: str = "folioweave") -> SparkSession:
     partitions = "8" if cores == "*" else str(cores)
@@ -29,47 +35,50 @@ def local_session(cores: int | str = "*", app: str = "folioweave") -> SparkSessi
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder for checkpoints and stage tables.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``.  Only when
-    that is unset (tests, one machine) is a local folder chosen.
+    The cluster names it in ``spark.checkpoint.dir``.  Without that setting a
+    folder below /tmp is chosen on a local master only; elsewhere it is an error,
+    because executors could not see each other's files.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder for checkpoints and stage tables."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and context.getCheckpointDir() is None and not re.match(r"local(\[[^,]*\])?$", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return configured or context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder, removed when the Python process ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(remove_folders, spark)
+    _FOLDERS.append(path)
+    return path
+
+
+def remove_folders(spark: SparkSession, *paths: str) -> None:
+    """Delete the given stage folders, or all of this process that are left."""
+    for path in paths or tuple(_FOLDERS):
+        with contextlib.suppress(Py4JError, OSError):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _FOLDERS:
+            _FOLDERS.remove(path)
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write a stage result that several consumers read, as Parquet.
 
     Later reads prune columns and push filters; a lost executor re-reads the
     files instead of recomputing the stage.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_table(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for ``df`` only when it is proven to hold at most ``max_rows``.
-
-    Above the bound the frame is returned unhinted, so that the join falls back
-    to a shuffled strategy that adaptive execution may still improve.
-    """
-    from pyspark.sql import functions as F
-
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

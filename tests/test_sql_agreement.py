@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 import check
+from folioweave.plans import catalog
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = catalog.all_queries()
+SQL = catalog.all_sql()
 NO_SQL = {"r14_approximate_top_k", "r14_recall_at_10", "r34_embed_texts", "s01_file_manifest"}
 
 
