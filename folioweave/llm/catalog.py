@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, quality_rules, sharding, simhash
+from folioweave.llm import bpe, chat, ppm, quality_rules, sharding, simhash, warc
 from folioweave.plans.registry import QueryFn
 
 #: Vocabulary files, by default where the public package keeps them.
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_byte_ppm")
+def code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
+    return ppm.score_documents(table(spark, sf_dir, "documents"), fold != 2)
+
+
 @query("op2_quality_rules")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +43,58 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(docs, model)
 
 
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
+     w AS (SELECT h, max(page_id) AS first FROM d GROUP BY h),
+     b AS (SELECT h, first, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || h[i])::INTEGER), 4, '0')), lambda x, y: x || y) AS bits FROM w)
+SELECT d.page_id, d.n AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         1 + 16 * bits[5*i+1]::INTEGER + 8 * bits[5*i+2]::INTEGER + 4 * bits[5*i+3]::INTEGER + 2 * bits[5*i+4]::INTEGER + bits[5*i+5]::INTEGER]),
+         lambda x, y: x || y) AS payload_digest,
+       CASE WHEN d.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> first THEN first END AS refers_to
+FROM d JOIN b USING (h)
+"""
+
+
+@query("op6_range_warc", OP6)
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, folder).select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+OP7 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+f AS (
+  SELECT *, row_number() OVER w AS i, lead(1) OVER w IS NULL AS last,
+         sum(15 + length(role) + length(text) + 3 * length(role || text) - length(replace(role || text, chr(92), ''))
+           - length(replace(role || text, '<', '')) - length(replace(role || text, '>', ''))) OVER (
+           PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR last))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op7_prefix_targets", OP7)
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("bigint"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said)
+    )
+    return chat.read_back(chat.expand_replies(turns.union(probe)))
+
+
 @query("op8_two_pass_shuffle")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
