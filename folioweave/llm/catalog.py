@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, chat, ppm, quality_rules, sharding, simhash, warc
+from folioweave.llm import bpe, chat, html_extract, ppm, quality_rules, sharding, simhash, token_counts, warc
 from folioweave.plans.registry import QueryFn
 
 #: Vocabulary files, by default where the public package keeps them.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
@@ -43,6 +44,16 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(docs, model)
 
 
+@query("op4_trie_token_counts")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
+@query("op5_article_text")
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 OP6 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),

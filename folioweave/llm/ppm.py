@@ -47,7 +47,7 @@ def longest_slots(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarra
         if k == 0:
             continue
         if k < order:  # contexts of k bytes that begin at the word's start are the longest there
-            begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            begins = np.flatnonzero(np.diff(owner, prepend=-1))
             key, owner = key[begins], owner[begins]
         keys.append(key)
         owners.append(owner)
