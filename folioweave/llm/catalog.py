@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, chat, html_extract, ppm, quality_rules, sharding, simhash, token_counts, warc
+from folioweave.llm import bpe, chat, decontaminate, html_extract, ppm, quality_rules, sharding, simhash, token_counts, warc
 from folioweave.plans.registry import QueryFn
 
 #: Vocabulary files, by default where the public package keeps them.
@@ -44,6 +44,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(docs, model)
 
 
+@query("op3_latent_decontamination")
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_trie_token_counts")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
