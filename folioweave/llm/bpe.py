@@ -237,23 +237,26 @@ def decode_ids(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> D
     return _map(chosen, vocabulary, f"id {kind}, text string", ["id"], columns).withColumnRenamed("id", id_col)
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_tokens, ids_sha256, decoded_sha256)`` per row, without shipping the ids.
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``(id_col, n_tokens, ids_sha256, decoded_sha256)`` per row, and ``ids`` if asked for.
 
-    Each text is encoded and its ids are decoded in the same task.
+    Each text is encoded and its ids are decoded in the same task; the digests are
+    of the decimal ids joined by one space and of the decoded text.
     """
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def columns(model, texts):
         by_text = {str(i): t for i, t in model.texts.items()}.__getitem__
-        counts, ids, decoded = [], [], []
+        counts, digests, decoded, ids = [], [], [], []
         for line in model.encode(texts):
             parts = line.split()
             counts.append(len(parts))
-            ids.append(hashlib.sha256(line.encode()).hexdigest())
+            digests.append(hashlib.sha256(line.encode()).hexdigest())
             decoded.append(hashlib.sha256(" ".join(map(by_text, parts)).encode()).hexdigest())
-        return {"n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded}
+            ids.append(np.array(parts, np.int32) if with_ids else None)
+        made = {"n_tokens": counts, "ids_sha256": digests, "decoded_sha256": decoded}
+        return made | {"ids": ids} if with_ids else made
 
-    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _map(chosen, vocabulary, schema, ["id"], columns).withColumnRenamed("id", id_col)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.llm import bpe, chat, decontaminate, html_extract, ppm, quality_rules, sharding, simhash, token_counts, warc
+from folioweave.llm.common import table, word_bpe_path
 from folioweave.plans.registry import QueryFn
 
-#: Vocabulary files, by default where the public package keeps them.
-WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: The vocabulary of the token counts, where the public package keeps it.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 _QUERIES: dict[str, QueryFn] = {}
@@ -27,10 +28,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 @query("op1_byte_ppm")
 def code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7))
@@ -132,7 +129,10 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_verified_bpe")
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), WORD_BPE)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
 def all_queries() -> dict[str, QueryFn]:
