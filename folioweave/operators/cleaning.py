@@ -171,7 +171,8 @@ def personal_facts(turns: DataFrame, patterns: dict[str, str] | None = None) ->
     """First stated value of each personal fact per user.
 
     ``turns``: ``user_id, seq, text``.  Matching is a projection; only matches
-    reach the exchange, reduced to one per user and fact on the map side.
+    reach the exchange, reduced to one per user and fact on the map side.  Where no
+    name is declared, a self-introduction by one word that is no role counts.
     """
     chosen = rules.FACT_PATTERNS if patterns is None else patterns
     stop = F.array(*map(F.lit, rules.NAME_STOPWORDS))
@@ -180,8 +181,12 @@ def personal_facts(turns: DataFrame, patterns: dict[str, str] | None = None) ->
         value = F.trim(F.regexp_extract("text", pattern, 1))
         ok = value != ""
         if fact == "name":
+            value = F.trim(F.element_at(F.split(value, r"[,.\n;:]"), 1))
             words = F.split(F.lower(value), r"\s+")
-            ok = ok & (F.size(words) <= 4) & (F.length(value) >= 2) & ~F.arrays_overlap(words, stop)
+            ok = (value != "") & (F.size(words) <= 4) & F.length(value).between(2, 45) & ~F.arrays_overlap(words, stop)
+            single = F.regexp_extract("text", rules.SINGLE_NAME, 1)
+            stated = (single != "") & ~F.array_contains(stop, F.lower(single))
+            value, ok = F.when(ok, value).otherwise(single), ok | stated
         if fact == "age":
             ok = ok & value.try_cast("int").between(10, 100)
         found.append(F.when(ok, F.struct(F.lit(fact).alias("fact"), value.alias("value"))))

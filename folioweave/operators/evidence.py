@@ -17,7 +17,7 @@ WORD = "[a-z0-9_]"
 
 @dataclass(frozen=True)
 class Cues:
-    """Possession cues; longer phrases of a list win over shorter ones."""
+    """Possession cues in order; at equal distance the earlier one counts."""
 
     positive: Sequence[str] = tuple(rules.POSITIVE_BEFORE)
     possessive: Sequence[str] = tuple(rules.POSSESSIVE_AFTER)
@@ -35,11 +35,25 @@ def _either(phrases: Sequence[str]) -> str:
     return "|".join(sorted(phrases, key=len, reverse=True))
 
 
-def last_before(context: Column, phrases: Sequence[str]) -> tuple[Column, Column]:
-    """(phrase, characters between it and the end) of the last whole phrase."""
-    pattern = rf"(?s)^(?:.*[^a-z0-9_])?({_either(phrases)})([^a-z0-9_].*)?$"
-    phrase = F.regexp_extract(context, pattern, 1)
-    return phrase, F.when(phrase != "", F.length(F.regexp_extract(context, pattern, 2)))
+def nearest_before(context: Column, phrases: Sequence[str], limit: int, hidden: dict[str, Column] | None = None) -> Column:
+    """``(gap, nth, phrase)`` of the whole phrase that ends nearest to the context's end.
+
+    Of equal gaps the phrase that is earlier in the list wins; null beyond ``limit``.
+    ``hidden`` gives some phrases another text of the same length to search.
+    """
+    spots = []
+    for nth, phrase in enumerate(phrases):
+        where = (hidden or {}).get(phrase, context)
+        pattern = rf"(?s)^(?:.*[^a-z0-9_])?(?:{phrase})((?:[^a-z0-9_].*)?)$"
+        gap = F.length(F.regexp_extract(where, pattern, 1))
+        spot = F.struct(gap.alias("gap"), F.lit(nth).alias("nth"), F.lit(phrase).alias("phrase"))
+        spots.append(F.when(F.contains(where, F.lit(phrase)) & where.rlike(pattern) & (gap <= limit), spot))
+    return F.array_min(F.array(*spots))
+
+
+def after_last(context: Column, phrase: Column) -> Column:
+    """Characters after the last occurrence of the phrase, inside words too."""
+    return F.length(F.call_function("substring_index", context, phrase, F.lit(-1)))
 
 
 def first_after(context: Column, phrases: Sequence[str]) -> Column:
@@ -93,14 +107,11 @@ def possession(found: DataFrame, cues: Cues | None = None, default_present: Colu
     masked = F.regexp_replace(
         before, rf"({'|'.join(c.negators)}) {c.bare}([^a-z0-9_]|$)", f"$1 {'x' * len(c.bare)}$2"
     )
-    pos_phrase, pos_at = last_before(masked, c.positive)
-    neg_phrase, neg_at = last_before(before, c.negative_before)
-    _, unc_at = last_before(before, c.uncertain_before)
     measured = found.withColumns(
         {
-            "_p": pos_phrase, "_pa": F.when(pos_at <= lim["positive"], pos_at),
-            "_n": neg_phrase, "_na": F.when(neg_at <= lim["negative_before"], neg_at),
-            "_u": F.coalesce(unc_at <= lim["uncertain_before"], F.lit(False))
+            "_p": nearest_before(before, c.positive, lim["positive"], {c.bare: masked})["phrase"],
+            "_n": nearest_before(before, c.negative_before, lim["negative_before"])["phrase"],
+            "_u": nearest_before(before, c.uncertain_before, lim["uncertain_before"]).isNotNull()
             | F.coalesce(first_after(after, c.uncertain_after) <= lim["uncertain_after"], F.lit(False)),
             "_nf": F.coalesce(first_after(after, c.negative_after) <= lim["negative_after"], F.lit(False)),
             "_po": F.coalesce(first_after(after, c.possessive) <= lim["possessive"], F.lit(False)),
@@ -108,16 +119,16 @@ def possession(found: DataFrame, cues: Cues | None = None, default_present: Colu
             "_d": F.coalesce(default_present, F.lit(False)) if default_present is not None else F.lit(False),
         }
     )
-    has_pos, has_neg = F.col("_pa").isNotNull(), F.col("_na").isNotNull()
-    only_negated = (F.col("_p") == c.bare) & F.col("_n").endswith(c.bare)
-    real_neg = has_neg & ~(has_pos & only_negated)
+    has_pos, has_neg = F.col("_p").isNotNull(), F.col("_n").isNotNull()
+    real_neg = has_neg & ~F.coalesce((F.col("_p") == c.bare) & F.col("_n").endswith(c.bare), F.lit(False))
+    nearer = after_last(before, F.col("_p")) <= after_last(before, F.col("_n"))
     def judged(name: str, value: float) -> Column:
         return F.struct(F.lit(name).alias("s"), F.lit(value).alias("c"))
 
     verdict = (
         F.when(F.col("_h") | F.col("_u"), judged("uncertain", 0.72))
         .when(has_pos & F.col("_nf"), judged("contradicted", 0.82))
-        .when(real_neg & has_pos & (F.col("_pa") <= F.col("_na")), judged("present", 0.86))
+        .when(real_neg & has_pos & nearer, judged("present", 0.86))
         .when(real_neg, judged("missing", 0.88))
         .when(F.col("_nf"), judged("missing", 0.80))
         .when(has_pos, judged("present", 0.90))

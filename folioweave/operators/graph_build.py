@@ -269,27 +269,27 @@ def amendments(docs: DataFrame, laws: DataFrame, number: str = rules.AMENDED_NUM
                phrases=tuple(rules.AMENDMENTS), window: int = rules.AMENDMENT_WINDOW) -> DataFrame:
     """OVERRIDES / INVALIDATES / AMENDS edges between documents.
 
-    ``docs``: ``doc_id, text``; ``laws``: ``law_key, target`` (one per number).
-    The text before each number is cut to the window and classified by the
-    strongest phrase in it; splitting at the numbers keeps everything in the row.
+    ``docs``: ``doc_id, text``; ``laws``: ``law_key, target`` (one per number, upper
+    case, its first part without leading zeros).  The number and the text before it,
+    cut to the window, are classified by the strongest phrase in them; splitting at
+    the numbers keeps everything in the row.
     """
     # pieces that end with a number; a fold carries the last characters read
     pieces = F.regexp_extract_all("text", F.lit(rf"(?s).*?{number}"), F.lit(0))
-    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<law_key:string,before:string>>").alias("out"))
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<law_key:string,seen:string>>").alias("out"))
 
     def step(acc, piece):
         key = F.regexp_extract(piece, rf"{number}$", 1)
-        upto = F.concat(acc["tail"], F.substring(piece, F.lit(1), F.length(piece) - F.length(key)))
-        hit = F.struct(key.alias("law_key"), F.right(upto, F.lit(window)).alias("before"))
-        return F.struct(
-            F.right(F.concat(acc["tail"], piece), F.lit(window)).alias("tail"),
-            F.concat(acc["out"], F.array(hit)).alias("out"),
-        )
+        named = F.regexp_extract(piece, rf"({number})$", 1)
+        upto = F.concat(acc["tail"], piece)
+        hit = F.struct(key.alias("law_key"), F.right(upto, F.length(named) + window).alias("seen"))
+        return F.struct(F.right(upto, F.lit(window)).alias("tail"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
     joined = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    rows = docs.select("doc_id", F.explode(joined).alias("m"))
-    low = F.lower("m.before")
-    kind = F.coalesce(*[F.when(low.rlike(p), F.lit(k)) for k, p in phrases])
+    rows = docs.select("doc_id", F.explode(joined).alias("m")).select(
+        "doc_id", F.struct(F.upper(F.regexp_replace("m.law_key", r"^0+(?=\d)", "")).alias("law_key"), F.col("m.seen").alias("seen")).alias("m")
+    )
+    kind = F.coalesce(*[F.when(F.col("m.seen").rlike(p), F.lit(k)) for k, p in phrases])
     found = rows.select("doc_id", F.col("m.law_key").alias("law_key"), kind.alias("edge_type")).filter(
         F.col("edge_type").isNotNull()
     ).distinct()

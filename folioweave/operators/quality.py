@@ -183,7 +183,7 @@ def stage_latency(traces: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"), F.round(F.avg((F.col("status") == "error").cast("double")), 6).alias("error_share"),
         F.round(F.avg("duration_ms"), 6).alias("mean_ms"), F.max("duration_ms").alias("max_ms"),
     )
-    counts = traces.groupBy("stage", F.round("duration_ms", 2).alias("duration_ms")).agg(F.count(F.lit(1)).alias("c"))
+    counts = traces.groupBy("stage", "duration_ms").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("stage")
     run = counts.withColumns(
         {"upto": F.sum("c").over(w.orderBy("duration_ms")), "n": F.sum("c").over(w)}

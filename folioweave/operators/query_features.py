@@ -195,8 +195,25 @@ def related_first(results: DataFrame, related: DataFrame, floor: float = 0.55) -
     )
 
 
-def prefix_counts(queries: DataFrame, length: int = 30) -> DataFrame:
-    """How many queries share the normalised opening of each query."""
-    key = F.substring(tx.normalize(F.col("text")), 1, length)
-    counted = queries.groupBy(key.alias("opening")).agg(F.count(F.lit(1)).alias("n_similar"))
-    return queries.withColumn("opening", key).join(counted, "opening").drop("text")
+def prefix_counts(queries: DataFrame, length: int = 30, read: int = 60) -> DataFrame:
+    """How many texts contain the opening of each query, at any place and in any case.
+
+    The opening is the first ``read`` characters without full stops, trimmed and cut
+    to ``length``.  A text contains it if one of its windows of that length equals
+    it, so the search is an equality join; windows are made for the opening lengths
+    that occur, at most ``length`` + 1 of them, once for each distinct text.
+    """
+    low = F.lower("text")
+    opening = F.substring(F.trim(F.replace(F.substring(low, 1, read), F.lit("."), F.lit(""))), 1, length)
+    keyed = queries.withColumn("opening", opening)
+    sizes = sorted(r["n"] for r in keyed.select(F.length("opening").alias("n")).distinct().where("n is not null").collect())
+
+    def windows(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length("low") - n + 1)
+        made = F.transform(places, lambda at: F.substring(F.col("low"), at, F.lit(n))) if n else F.array(F.lit(""))
+        return F.when(F.length("low") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    texts = queries.where("text is not null").groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("copies"))
+    held = texts.select("copies", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(windows, sizes)))).alias("opening"))
+    counted = held.join(keyed.select("opening").distinct(), "opening", "left_semi").groupBy("opening").agg(F.sum("copies").alias("n_similar"))
+    return keyed.join(counted, "opening", "left").drop("text").fillna(0, ["n_similar"])

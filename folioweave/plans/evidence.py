@@ -47,13 +47,21 @@ def _values(rows):
 
 
 FOLD = r"trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^a-z0-9_\s/.\-]', ' ', 'g'), '\s+', ' ', 'g'))"
-B = r"(?s)^(?:.*[^a-z0-9_])?({p})([^a-z0-9_].*)?$"
 A = r"(?s)^(.*?[^a-z0-9_]|)(?:{p})(?:[^a-z0-9_].*)?$"
 
 
-def _b(ctx, phrases, limit):
-    pat = B.format(p=_either(phrases))
-    return f"CASE WHEN regexp_extract({ctx}, '{pat}', 1) <> '' AND length(regexp_extract({ctx}, '{pat}', 2)) <= {limit} THEN length(regexp_extract({ctx}, '{pat}', 2)) END"
+def _near(ctx, phrases, limit, hidden=None):
+    """SQL of the phrase that ends nearest to the end of ctx, by trying every place."""
+    spots = []
+    for nth, p in enumerate(phrases):
+        t = (hidden or {}).get(p, ctx)
+        places = (
+            f"list_max(list_filter(range(1, length({t}) + 1), lambda i: substr({t}, i, {len(p)}) = '{p}'"
+            f" AND NOT regexp_matches(CASE WHEN i > 1 THEN substr({t}, i - 1, 1) ELSE '' END || '.', '^[a-z0-9_]')"
+            f" AND NOT regexp_matches(substr({t}, i + {len(p)}, 1), '[a-z0-9_]')))"
+        )
+        spots.append(f"{{'gap': length({t}) - ({places} + {len(p) - 1}), 'nth': {nth}, 'phrase': '{p}'}}")
+    return f"list_min(list_filter([{', '.join(spots)}], lambda s: s.gap <= {limit}))"
 
 
 def _a(phrases, limit):
@@ -70,11 +78,11 @@ ast AS (SELECT text_id, folded, evidence_id, alias, CAST(list_sum(list_transform
 ac AS (SELECT text_id, evidence_id, alias, CAST(start AS INTEGER) AS start, substr(folded, greatest(start - 80, 0) + 1, least(start, 80)) AS before, substr(folded, start + length(alias) + 1, 80) AS after FROM ast),
 ment AS (SELECT * FROM ac WHERE NOT regexp_matches(before, '[a-z0-9_]$') AND NOT regexp_matches(after, '^[a-z0-9_]')),
 mk AS (SELECT *, regexp_replace(before, '({'|'.join(CUES.negators)}) co([^a-z0-9_]|$)', '\1 xx\2', 'g') AS masked FROM ment),
-me AS (SELECT *, regexp_extract(masked, '{B.format(p=_either(CUES.positive))}', 1) AS p, {_b('masked', CUES.positive, 90)} AS pa, regexp_extract(before, '{B.format(p=_either(CUES.negative_before))}', 1) AS n, {_b('before', CUES.negative_before, 45)} AS na,
- {_b('before', CUES.uncertain_before, 45)} IS NOT NULL OR {_a(CUES.uncertain_after, 18)} AS u, {_a(CUES.negative_after, 42)} AS nf, {_a(CUES.possessive, 30)} AS po, contains(before, 'er') AND (contains(before, 'thing') OR contains(before, 'zu der')) AS h FROM mk),
-mr AS (SELECT *, na IS NOT NULL AND NOT (pa IS NOT NULL AND p = 'co' AND ends_with(n, 'co')) AS rn FROM me),
-st AS (SELECT text_id, evidence_id, alias, start, CASE WHEN h OR u THEN 'uncertain' WHEN pa IS NOT NULL AND nf THEN 'contradicted' WHEN rn AND pa <= na THEN 'present' WHEN rn THEN 'missing' WHEN nf THEN 'missing' WHEN pa IS NOT NULL THEN 'present' WHEN po AND na IS NULL THEN 'present' ELSE 'uncertain' END AS status,
- CASE WHEN h OR u THEN 0.72::DOUBLE WHEN pa IS NOT NULL AND nf THEN 0.82::DOUBLE WHEN rn AND pa <= na THEN 0.86::DOUBLE WHEN rn THEN 0.88::DOUBLE WHEN nf THEN 0.80::DOUBLE WHEN pa IS NOT NULL THEN 0.90::DOUBLE WHEN po AND na IS NULL THEN 0.85::DOUBLE ELSE 0.45::DOUBLE END AS status_confidence FROM mr),
+mz AS (SELECT *, {_near('before', CUES.positive, 90, {'co': 'masked'})}.phrase AS p, {_near('before', CUES.negative_before, 45)}.phrase AS n, {_near('before', CUES.uncertain_before, 45)} IS NOT NULL OR {_a(CUES.uncertain_after, 18)} AS u,
+ {_a(CUES.negative_after, 42)} AS nf, {_a(CUES.possessive, 30)} AS po, contains(before, 'er') AND (contains(before, 'thing') OR contains(before, 'zu der')) AS h FROM mk),
+mr AS (SELECT *, length(string_split(before, p)[-1]) AS pa, length(string_split(before, n)[-1]) AS na, n IS NOT NULL AND NOT coalesce(p = 'co' AND ends_with(n, 'co'), false) AS rn FROM mz),
+st AS (SELECT text_id, evidence_id, alias, start, CASE WHEN h OR u THEN 'uncertain' WHEN p IS NOT NULL AND nf THEN 'contradicted' WHEN rn AND p IS NOT NULL AND pa <= na THEN 'present' WHEN rn THEN 'missing' WHEN nf THEN 'missing' WHEN p IS NOT NULL THEN 'present' WHEN po AND n IS NULL THEN 'present' ELSE 'uncertain' END AS status,
+ CASE WHEN h OR u THEN 0.72::DOUBLE WHEN p IS NOT NULL AND nf THEN 0.82::DOUBLE WHEN rn AND p IS NOT NULL AND pa <= na THEN 0.86::DOUBLE WHEN rn THEN 0.88::DOUBLE WHEN nf THEN 0.80::DOUBLE WHEN p IS NOT NULL THEN 0.90::DOUBLE WHEN po AND n IS NULL THEN 0.85::DOUBLE ELSE 0.45::DOUBLE END AS status_confidence FROM mr),
 mg0 AS (SELECT text_id, evidence_id, count(*) AS mentions, max(status_confidence) FILTER (status = 'contradicted') AS c, max(status_confidence) FILTER (status = 'missing') AS m, max(status_confidence) FILTER (status = 'present') AS p, max(status_confidence) AS a FROM st GROUP BY 1, 2),
 mg AS (SELECT text_id, evidence_id, mentions, CASE WHEN c IS NOT NULL OR (m IS NOT NULL AND p IS NOT NULL) THEN 'contradicted' WHEN m IS NOT NULL THEN 'missing' WHEN p IS NOT NULL THEN 'present' ELSE 'uncertain' END AS status,
  CASE WHEN c IS NOT NULL OR (m IS NOT NULL AND p IS NOT NULL) THEN 0.8::DOUBLE ELSE coalesce(m, p, a) END AS status_confidence FROM mg0),

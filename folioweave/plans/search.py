@@ -58,11 +58,10 @@ ENT = [
 
 # --- fixtures -----------------------------------------------------------------
 
-def short_queries(spark, sf):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
+def bench_queries(spark, sf):
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.concat(F.lit("Article "), F.col("item_id") % 50 + 1, F.lit(" "), words).alias("text"),
+        F.concat(F.lit("Article "), F.col("item_id") % 50 + 1, F.lit(" "), "text").alias("text"),
     )
 
 
@@ -77,7 +76,7 @@ def corpus_chunks(spark, sf):
 def query_parts(spark, sf):
     terms = qf.search_terms(F.col("text"))
     ref = F.try_element_at(references(F.col("text")), F.lit(1))
-    return short_queries(spark, sf).select("query_id", "text", terms.alias("terms"), ref.alias("ref"))
+    return bench_queries(spark, sf).select("query_id", "text", terms.alias("terms"), ref.alias("ref"))
 
 
 def expanded_terms(spark, sf, parts):
@@ -86,7 +85,7 @@ def expanded_terms(spark, sf, parts):
 
 
 QS = rf"""{ROMAN_CTE}, {ALIAS_SQL},
-q0 AS (SELECT item_id AS query_id, 'Article ' || (item_id % 50 + 1) || ' ' || array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS text FROM benchmark),
+q0 AS (SELECT item_id AS query_id, 'Article ' || (item_id % 50 + 1) || ' ' || text AS text FROM benchmark),
 q1 AS (SELECT *, regexp_extract(lower(text), '{REF_PAT}', 1) AS g1, regexp_extract(lower(text), '{REF_PAT}', 2) AS g2, regexp_extract(lower(text), '{REF_PAT}', 3) AS g3, regexp_extract(lower(text), '{REF_PAT}', 4) AS g4 FROM q0),
 q AS (SELECT query_id, text, {canon_sql('g1', 'g2', 'g3', 'g4', 'rom.n')} AS ref FROM q1 LEFT JOIN rom ON rom.r = g2),
 qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(text), '[\s,;.:()\[\]]+')) AS term FROM q UNION ALL SELECT query_id, ref FROM q) WHERE term <> ''),
@@ -104,9 +103,9 @@ sc AS (SELECT query_id, chunk_id, match_type, round(CASE WHEN tokens > 500 THEN
 sr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20)"""
 
 
-def search_results(spark, sf, k=20):
+def search_results(spark, sf, k=20, chunks=None):
     parts = query_parts(spark, sf)
-    return lexical.multi_pass_search(parts, corpus_chunks(spark, sf), expanded_terms(spark, sf, parts), k)
+    return lexical.multi_pass_search(parts, chunks or corpus_chunks(spark, sf), expanded_terms(spark, sf, parts), k)
 
 
 # --- lexical ------------------------------------------------------------------
@@ -179,7 +178,7 @@ def r08(spark, sf):
 @query("r09_hit_rate", f"WITH {SEARCH}, n AS (SELECT query_id, count(*) FILTER (score >= 0.6) AS n FROM sr GROUP BY 1) SELECT count(*) AS queries, count(*) FILTER (coalesce(n, 0) >= 5) AS hits, round(avg(CASE WHEN coalesce(n, 0) >= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_rate FROM q LEFT JOIN n USING (query_id)")
 def r09(spark, sf):
     good = search_results(spark, sf).filter(F.col("score") >= 0.6)
-    return lexical.hit_rate(short_queries(spark, sf), good, 5)
+    return lexical.hit_rate(bench_queries(spark, sf), good, 5)
 
 
 TF = QS + """,
@@ -202,7 +201,7 @@ def r10(spark, sf):
 SELECT query_id, chunk_id, hits, round(0.42::DOUBLE + least(0.45::DOUBLE, hits * 0.09::DOUBLE), 3) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.42::DOUBLE + least(0.45::DOUBLE, hits * 0.09::DOUBLE), 3) DESC, chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 10""")
 def r12(spark, sf):
     keys = query_parts(spark, sf).select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 3)
-    return lexical.ranked_fallback(corpus_chunks(spark, sf), keys, short_queries(spark, sf), 10)
+    return lexical.ranked_fallback(corpus_chunks(spark, sf), keys, bench_queries(spark, sf), 10)
 
 
 @query("r21_reference_display", rf"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'article_' || (doc_id % 50 + 1) ELSE nullif(regexp_extract(text || ' Article ' || (doc_id % 7), '(?:Article|Section)\s+[0-9]+'), '') END AS shown FROM documents""")
@@ -225,7 +224,7 @@ def r31(spark, sf):
     return lexical.reference_context(query_parts(spark, sf).select("query_id", "ref"), chunks, 3)
 
 
-@query("r32_similar_queries", r"""WITH o AS (SELECT conv_id, turn, substr(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 30) AS opening FROM conversations), c AS (SELECT opening, count(*) AS n_similar FROM o GROUP BY 1) SELECT conv_id, turn, opening, n_similar FROM o JOIN c USING (opening)""")
+@query("r32_similar_queries", r"""WITH o AS (SELECT conv_id, turn, lower(text) AS low, substr(trim(replace(substr(lower(text), 1, 60), '.', '')), 1, 30) AS opening FROM conversations) SELECT a.conv_id, a.turn, a.opening, count(b.conv_id) AS n_similar FROM o a LEFT JOIN o b ON contains(b.low, a.opening) GROUP BY ALL""")
 def r32(spark, sf):
     return qf.prefix_counts(conversations(spark, sf).select("conv_id", "turn", "text"))
 
@@ -755,7 +754,7 @@ def r29(spark, sf):
         "query_id", F.concat(F.lit("article_"), F.col("chunk_id") % 50 + 1).alias("ref"), "score"
     )
     q = F.col("query_id")
-    cited = short_queries(spark, sf).select(
+    cited = bench_queries(spark, sf).select(
         "query_id",
         F.posexplode(
             F.array(F.concat(F.lit("article_"), q % 50 + 1), F.concat(F.lit("article_"), q * 7 % 90 + 1))

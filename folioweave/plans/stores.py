@@ -21,7 +21,7 @@ from folioweave.plans.fixtures import (
 )
 from folioweave.plans.graph import chunk_table, parts
 from folioweave.plans.registry import query
-from folioweave.plans.search import SEARCH, corpus_chunks, search_results, short_queries
+from folioweave.plans.search import SEARCH, corpus_chunks, search_results, bench_queries
 from folioweave.plans.structure import HI, UN, structured
 from folioweave.session import shared_folder, stage_table
 from folioweave.sources import stores
@@ -489,11 +489,14 @@ def q09(spark, sf):
     return quality.knowledge_base_scorecard(rows)
 
 
-@query("r33_corpus_evidence_search", f"WITH {SEARCH}, m AS (SELECT query_id, s.chunk_id, CASE WHEN rank <= 5 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, c.confidence, c.degraded FROM sr s JOIN ck c USING (chunk_id) WHERE c.lang = 'en' OR c.chunk_id % 2 = 0), b AS (SELECT query_id, count(*) AS n_chunks, count(*) FILTER (w = 2) AS n_seeds, count(*) FILTER (degraded) AS n_degraded, count(*) FILTER (NOT degraded AND confidence >= 0.65) AS n_authoritative, round(sum(confidence * w) / sum(w), 6) AS confidence FROM m GROUP BY 1) SELECT *, CASE WHEN n_seeds = 0 THEN 'unsupported' WHEN n_authoritative = 0 THEN 'partially_supported' WHEN n_degraded > n_chunks // 2 THEN 'partially_supported' ELSE 'supported' END AS status FROM b")
+SCOPED = SEARCH.replace("lang FROM documents)", "lang FROM documents WHERE lang = 'en' OR doc_id % 2 = 0)")
+
+
+@query("r33_corpus_evidence_search", f"WITH {SCOPED}, m AS (SELECT query_id, s.chunk_id, CASE WHEN rank <= 5 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, c.confidence, c.degraded FROM sr s JOIN ck c USING (chunk_id)), b AS (SELECT query_id, count(*) AS n_chunks, count(*) FILTER (w = 2) AS n_seeds, count(*) FILTER (degraded) AS n_degraded, count(*) FILTER (NOT degraded AND confidence >= 0.65) AS n_authoritative, round(sum(confidence * w) / sum(w), 6) AS confidence FROM m GROUP BY 1) SELECT *, CASE WHEN n_seeds = 0 THEN 'unsupported' WHEN n_authoritative = 0 THEN 'partially_supported' WHEN n_degraded > n_chunks // 2 THEN 'partially_supported' ELSE 'supported' END AS status FROM b")
 def r33(spark, sf):
-    chunks = corpus_chunks(spark, sf)
-    allowed = chunks.filter((F.col("lang") == "en") | (F.col("chunk_id") % 2 == 0)).select("chunk_id")
-    found = stage_table(search_results(spark, sf).join(allowed, "chunk_id", "left_semi"))
+    # the tenant's scope comes before the search, so that its 20 best are all in scope
+    chunks = corpus_chunks(spark, sf).filter((F.col("lang") == "en") | (F.col("chunk_id") % 2 == 0))
+    found = stage_table(search_results(spark, sf, chunks=chunks))
     seeds = found.filter(F.col("rank") <= 5).select("query_id", "chunk_id")
     return traversal.evidence_bundles(
         seeds, found.select("query_id", "chunk_id"), chunks.select("chunk_id", "confidence", "degraded")

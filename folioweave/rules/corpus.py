@@ -129,7 +129,7 @@ VI_QUICK_KEYWORDS = (
 # Redaction rules, applied in this order.
 _VI_UPPER = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝĂĐƠƯẠẢẤẦẨẪẬẮẰẲẴẶẸẺẼẾỀỂỄỆỈỊỌỎỐỒỔỖỘỚỜỞỠỢỤỦỨỪỬỮỰỲỴỶỸ"
 REDACTIONS = [
-    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    ("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
     (
         "phone",
         r"(?<!\d)(?:0|\+84|84)[\s.\-]?(?:3[2-9]|5[6-9]|7[06-9]|8[0-9]|9[0-9])"
@@ -139,7 +139,8 @@ REDACTIONS = [
     ("citizen_id", r"(?<!\d)\d{9}(?!\d)|(?<!\d)\d{12}(?!\d)", "[CMND/CCCD]"),
     (
         "address",
-        r"(?:số\s*)?\d+(?:[/\-]\d+)*\s+(?:đường|phố|ngõ|hẻm|thôn|ấp|khu phố)\s+[^,.\n]{2,60}",
+        r"(?:số\s*)?\d+(?:[/\-]\d+)*\s+(?:[A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝĂĐÊƠƯẠẢẤẦẨẪẬẮẰẲẴẶẸẺẼẾỀỂỄỆỈỊỌỎỐỒỔỖỘỚỜỞỠỢỤỦỨỪỬỮỰỲỴỶỸ]"
+        r"[a-zàáâãèéêìíòóôõùúýăđêơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]+(?:\s+[A-Za-zÀ-ỹ]+){0,3})",
         "[ĐỊA CHỈ]",
     ),
     (
@@ -167,8 +168,16 @@ SAFE_SUMMARIES = {
 SCRUB_MARK = "[đã lọc]"
 SCRUB_RULES = [
     ("format", r"(?i)<\|(?:system|user|assistant)\|>|\[/?(?:INST|SYS|SYSTEM)\]|(?:^|\n)\s*(?:system|assistant)\s*:"),
-    ("injection", r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|above)\s+(?:instructions?|prompts?|rules?)"),
-    ("role_switch", r"(?i)\b(?:you\s+are\s+now|act\s+as|pretend\s+to\s+be|your\s+new\s+(?:role|persona|identity))\b"),
+    (
+        "injection",
+        r"(?is)\b(?:ignore|forget|disregard|override|bypass)\b.{0,40}"
+        r"(?:previous|prior|above|all|system|instruction|rule|prompt|constraint)",
+    ),
+    (
+        "role_switch",
+        r"(?i)\b(?:you\s+are\s+now|act\s+as|pretend\s+to\s+be|from\s+now\s+on\s+you\s+are"
+        r"|your\s+new\s+(?:role|persona|identity))\b",
+    ),
 ]
 FIELD_LIMITS = {"name": 80, "occupation": 100, "location": 100, "notes": 500, "summary": 150}
 
@@ -188,6 +197,8 @@ FACT_PATTERNS = {
         r"|Lâm Đồng|Đắk Lắk)"
     ),
 }
+# Fixed value: a self-introduction by one word, used where no name is declared.
+SINGLE_NAME = r"(?iU)(?:tôi là|mình là)\s+(\p{L}{2,20})"
 NAME_STOPWORDS = [
     "giáo", "viên", "kỹ", "sư", "luật", "bác", "sĩ", "sinh", "học", "công", "nhân", "nông", "dân",
     "kế", "toán", "giám", "đốc", "nạn", "bị", "đơn", "nguyên", "chủ", "người", "ai", "gì", "thợ",

@@ -8,7 +8,7 @@ CONCEPTS = [
     ("Condition", "QUALIFIED_BY", r"nếu |trong trường hợp|trường hợp |khi ", 0.70),
     ("Exception", "EXCEPTED_BY", r"trừ trường hợp|ngoại trừ|không áp dụng|trừ khi", 0.70),
     ("Penalty", "ENFORCED_BY", r"xử phạt|bị phạt|phạt tiền|phạt cảnh cáo|xử lý vi phạm", 0.75),
-    ("DefinedTerm", "DEFINES", r"có nghĩa là|được hiểu là|được định nghĩa là|là loại|là hành vi|là việc", 0.75),
+    ("DefinedTerm", "DEFINES", r"có nghĩa là|được hiểu là|được định nghĩa là|là loại|là hành vi|là việc|là tổ chức|là cá nhân", 0.75),
 ]
 LAW_NUMBER = r"(?iU)(?:số\s+)?(\d{1,3}/\d{4}/(?:QH|UBTVQH|HĐNN)\d+)"
 
@@ -38,11 +38,11 @@ DEGRADED_FACTOR = 0.7
 UNKNOWN_EDGE_WEIGHT = 0.5
 AUTHORITY = 0.65
 
-# Amendment phrases before a law number, strongest first.
+# Amendment phrases around a law number, strongest first, and the number.
 AMENDMENT_WINDOW = 200
 AMENDMENTS = [
-    ("OVERRIDES", r"thay thế"),
-    ("INVALIDATES", r"bãi bỏ|hết hiệu lực"),
-    ("AMENDS", r"sửa đổi|bổ sung"),
+    ("OVERRIDES", r"(?iu)thay\s+thế|thay\s+cho|thay\s+bằng"),
+    ("INVALIDATES", r"(?iu)bãi\s+bỏ|hủy\s+bỏ|bãi\s+bỏ\s+toàn\s+bộ"),
+    ("AMENDS", r"(?iu)sửa\s+đổi|bổ\s+sung|sửa\s+đổi,?\s+bổ\s+sung"),
 ]
-AMENDED_NUMBER = r"(\d{1,3}/\d{4}/[A-ZĐ\-]+\d*)"
+AMENDED_NUMBER = r"(?iu)(?:số\s+)?(\d{1,3}/\d{4}/(?:QH|UBTVQH|HĐNN)\d+)"

@@ -7,7 +7,7 @@ DOMAIN_KEYWORDS = [
     ("dat_dai", ["đất", "sổ đỏ", "quyền sử dụng đất", "qsd đất", "thửa đất", "mảnh đất", "lấn chiếm", "tranh chấp đất", "thu hồi đất", "bồi thường đất", "giải phóng mặt bằng", "ranh giới", "đất đai", "giấy chứng nhận qsd", "gcn", "luật đất đai", "so do", "ranh gioi", "tranh chap dat"]),
     ("hop_dong", ["hợp đồng", "điều khoản", "ký kết", "vi phạm hợp đồng", "phạt vi phạm", "bồi thường thiệt hại", "đơn phương chấm dứt", "bên mua", "bên bán", "thanh toán", "giao hàng", "dịch vụ", "thuê nhà", "mua bán", "xây dựng"]),
     ("lao_dong", ["lao động", "người lao động", "người sử dụng lao động", "sa thải", "thôi việc", "nghỉ việc", "lương", "tiền lương", "bảo hiểm xã hội", "bhxh", "hợp đồng lao động", "nghỉ phép", "kỷ luật", "tai nạn lao động", "luật lao động"]),
-    ("doanh_nghiep", ["doanh nghiệp", "công ty", "cổ đông", "cổ phần", "thành lập công ty", "giải thể", "phá sản", "vốn điều lệ", "điều lệ công ty", "hội đồng quản trị", "ban giám đốc", "tnhh"]),
+    ("doanh_nghiep", ["doanh nghiệp", "công ty", "cổ đông", "cổ phần", "thành lập công ty", "giải thể", "phá sản", "vốn điều lệ", "điều lệ công ty", "hội đồng quản trị", "ban giám đốc", "tnhh", "cổ phần"]),
     ("dan_su", ["dân sự", "tranh chấp dân sự", "tài sản", "thừa kế", "di chúc", "hôn nhân", "ly hôn", "nuôi con", "quyền tài sản", "bồi thường", "thiệt hại ngoài hợp đồng"]),
     ("hinh_su", ["hình sự", "tội phạm", "bị cáo", "truy tố", "xét xử", "tù giam", "phạt tù", "điều tra", "khởi tố", "cơ quan điều tra", "viện kiểm sát"]),
     ("hanh_chinh", ["hành chính", "cơ quan nhà nước", "khiếu nại hành chính", "tố cáo", "quyết định hành chính", "ủy ban nhân dân", "ubnd", "giấy phép", "xử phạt vi phạm hành chính", "khiếu nại"]),
@@ -44,7 +44,7 @@ CASE_MARKS = ["tranh_chap", "vi_pham", "khieu_nai"]
 ENTITIES = [
     ("laws", r"(?iU)(?:Luật|Nghị định|Thông tư|Điều|Khoản|Điểm)\s+[\w\s/\-.]+?\d{4}", 4),
     ("amounts", r"(?iU)\d[\d.,]*\s*(?:tỷ|triệu|nghìn|ngàn|đồng|VNĐ|USD|%)", 4),
-    ("dates", r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\b\d{4}\b", 3),
+    ("dates", r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|(?U)\b(?:năm\s*)?\d{4}\b", 3),
     ("parties", r"(?iU)(?:nguyên đơn|bị đơn|người bán|người mua|chủ nhà|người thuê|công ty\s+\w+|ông\s+\w+|bà\s+\w+)", 3),
     ("locations", r"(?iU)(?:tại|ở|tỉnh|huyện|xã|phường|quận|thành phố)\s+[\w\s]{2,30}", 3),
 ]
