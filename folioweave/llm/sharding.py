@@ -24,9 +24,9 @@ def shuffle_into_shards(
 
     Pass 1 scatters the rows over buckets of about ``bucket_bytes`` by a seeded
     hash of the id.  Pass 2 takes one bucket at a time, brings it into a fixed
-    order, applies a Fisher-Yates shuffle seeded by the bucket and deals the rows
-    out by their place in the whole order, so that shards differ by at most one
-    row.  The result has the input's columns and ``shard`` int and ``slot`` bigint
+    order and applies a Fisher-Yates shuffle seeded by the bucket.  Buckets follow
+    one another, and the whole order is cut into shards that differ by at most one
+    row; so a bucket is written to one shard, or two where a cut falls into it.  The result has the input's columns and ``shard`` int and ``slot`` bigint
     (gapless from 0 in each shard); input columns of these two names are replaced.
 
     Equal rows are dealt like any others; ids, texts and other columns may be null.
@@ -35,8 +35,9 @@ def shuffle_into_shards(
     """
     spark = docs.sparkSession
     rows = docs.drop("shard", "slot")
-    total = rows.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    buckets = max(-(-total // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = rows.agg(F.sum(F.octet_length(text_col)).alias("size"), F.count(F.lit(1)).alias("n")).first()
+    cuts = np.arange(shards + 1) * total["n"] // shards
+    buckets = max(-(-(total["size"] or 0) // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(buckets)).cast("int").alias("__bucket")
     # one short row for each bucket, not for each document
     counts = rows.select(bucket).groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -52,8 +53,9 @@ def shuffle_into_shards(
         fixed = pc.sort_indices(marks, sort_keys=[("i", "ascending"), ("t", "ascending")]).to_numpy()
         order = np.random.default_rng([seed, key[0].as_py()]).permutation(fixed)
         at = place.column("first")[0].as_py() + np.arange(len(order))
+        shard = np.searchsorted(cuts, at, side="right") - 1
         taken = members.take(pa.array(order))
-        return taken.append_column("shard", pa.array((at % shards).astype(np.int32))).append_column("slot", pa.array(at // shards))
+        return taken.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(at - cuts[shard]))
 
     dealt = rows.select("*", bucket).groupBy("__bucket").cogroup(before.groupBy("__bucket")).applyInArrow(deal, schema)
     folder = folder or new_folder(spark, "shards")
