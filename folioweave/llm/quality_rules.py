@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import map_slices
 
 #: Hash bits of the feature space.
-BITS = 18
+BITS = 17
+#: Tasks that hold the labelled sample while it is fitted; each sends one gradient a step.
+FIT_TASKS = 4
 #: Labelled rows that the classifier is fitted on at most; those with the least id hashes.
 MAX_LABELLED = 4000
 #: One in so many of them is kept for calibration.
@@ -161,6 +163,7 @@ def fit_quality(
         .groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
         .select("id", F.col("label").cast("double").alias("label"), featured("text").alias("features"))
         .withColumn("part", F.pmod(F.xxhash64(F.col("id"), F.lit("part")), F.lit(CALIBRATE_ONE_IN)))
+        .repartition(FIT_TASKS)
         .persist()
     )
     try:
