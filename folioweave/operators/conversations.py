@@ -143,7 +143,11 @@ def by_profile(items: DataFrame, requests: DataFrame, general: str = "general",
     ``items``: ``item_id, tags array, priority``; ``requests``: ``request_id,
     tag``.  Both sides meet by equality on exploded tags.
     """
-    tagged = items.select("item_id", "priority", F.explode("tags").alias("tag"))
+    # a request has at most two tags and takes the best of both, so each tag is cut before the join
+    tagged = top_per_key(
+        items.select("item_id", "priority", F.explode("tags").alias("tag")).distinct(), ["tag"],
+        [F.asc("priority"), F.asc("item_id")], limit,
+    ).select("item_id", "priority", "tag")
     wanted = requests.select("request_id", F.explode(F.array_distinct(F.array(F.col("tag"), F.lit(general)))).alias("tag"))
     found = wanted.join(tagged, "tag").select("request_id", "item_id", "priority").distinct()
     return top_per_key(found, ["request_id"], [F.asc("priority"), F.asc("item_id")], limit)

@@ -226,8 +226,10 @@ def reference_context(refs: DataFrame, chunks: DataFrame, per_ref: int = 3) -> D
     of the citation as one token sequence; chunks carry ``refs`` and ``cited``
     (wordings found in the text).
     """
-    keyed = chunks.select("chunk_id", F.explode(F.array_union("refs", "cited")).alias("ref"))
-    found = refs.join(keyed, "ref").select("query_id", "ref", "chunk_id").distinct()
+    keyed = chunks.select("chunk_id", F.explode(F.array_union("refs", "cited")).alias("ref")).distinct()
+    # the order doesn't depend on the query, so a much cited reference is cut before it meets its queries
+    first = top_per_key(keyed, ["ref"], [F.asc("chunk_id")], per_ref).select("ref", "chunk_id")
+    found = refs.join(first, "ref").select("query_id", "ref", "chunk_id").distinct()
     return top_per_key(found, ["query_id", "ref"], [F.asc("chunk_id")], per_ref)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -163,25 +164,31 @@ def _stateful(events: DataFrame, key: str, order: list[str], output: str, step)
 
 
 class ProfileStep:
-    """Counters per topic, last action and the last queries of a user."""
+    """Counters per topic, last action and the last queries of a user.
+
+    What is recent is kept with its time and event id, so files may arrive in any order.
+    """
 
     @staticmethod
     def start():
-        return {"counts": {}, "last": "", "recent": []}
+        return {"counts": {}, "last": [], "recent": []}
 
     @staticmethod
     def apply(state, row):
-        topic = str(row.topic)
+        topic, at = str(row.topic), [pd.Timestamp(row.ts).value, int(row.event_id)]
         state["counts"][topic] = state["counts"].get(topic, 0) + 1
-        state["last"] = row.action
-        state["recent"] = (state["recent"] + [int(row.item)])[-RECENT_QUERIES:]
+        state["last"] = max(state["last"], [*at, row.action])
+        recent = state["recent"]
+        if len(recent) < RECENT_QUERIES or [*at, int(row.item)] > recent[0]:
+            insort(recent, [*at, int(row.item)])
+            del recent[:-RECENT_QUERIES]
 
     @staticmethod
     def finish(key, state):
         counts = sorted(state["counts"].items(), key=lambda kv: int(kv[0]))
         return {
-            "user_id": key, "last_action": state["last"], "total": sum(state["counts"].values()),
-            "counters": ",".join(f"{k}={v}" for k, v in counts), "recent": ",".join(map(str, state["recent"])),
+            "user_id": key, "last_action": state["last"][2], "total": sum(state["counts"].values()),
+            "counters": ",".join(f"{k}={v}" for k, v in counts), "recent": ",".join(str(r[2]) for r in state["recent"]),
         }
 
 
