@@ -243,3 +243,29 @@ def relaxed(tiers: DataFrame, minimum: int) -> DataFrame:
         F.coalesce(F.min(F.when(F.col("n") >= minimum, F.col("tier"))), F.max("tier")).alias("tier")
     )
     return tiers.join(chosen, ["query_id", "tier"], "left_semi")
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Best ``k`` chunks per query by BM25 over white-space tokens of the whole corpus.
+
+    ``queries``: ``query_id, text``; ``chunks``: ``chunk_id, content``.  Tokens are
+    lower-cased.  Only terms that some query uses are counted per chunk, and those
+    counts are added up before they move; document frequencies and the mean length
+    are aggregates of all chunks.  A query term counts once.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    terms = asked.select("term").distinct()
+    sized = chunks.select("chunk_id", words(F.col("content")).alias("w")).withColumn("length", F.size("w"))
+    counts = (
+        sized.select("chunk_id", "length", F.explode("w").alias("term"))
+        .join(terms, "term", "left_semi")
+        .groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(frequent, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "mean")
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = counts.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
+    return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -197,6 +197,17 @@ def r10(spark, sf):
     return lexical.term_frequency_score(corpus_chunks(spark, sf), keywords_of(spark, sf))
 
 
+@query("r11_bm25", r"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM benchmark),
+d AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), t AS (SELECT chunk_id, len(w) AS length, unnest(w) AS term FROM d),
+c AS (SELECT chunk_id, length, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+g AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))), 6) AS score FROM q JOIN f USING (term) JOIN c USING (term), s WHERE term <> '' GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
+def r11(spark, sf):
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.bm25(queries, corpus_chunks(spark, sf).select("chunk_id", "content"))
+
+
 @query("r12_ranked_fallback", f"""WITH {QS}, kw AS (SELECT query_id, term FROM qt WHERE length(term) >= 3), h AS (SELECT q.query_id, c.chunk_id, (SELECT count(*) FROM kw k WHERE k.query_id = q.query_id AND contains(c.low, k.term)) AS hits FROM q, ck c)
 SELECT query_id, chunk_id, hits, round(0.42::DOUBLE + least(0.45::DOUBLE, hits * 0.09::DOUBLE), 3) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(0.42::DOUBLE + least(0.45::DOUBLE, hits * 0.09::DOUBLE), 3) DESC, chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 10""")
 def r12(spark, sf):
