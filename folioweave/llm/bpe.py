@@ -50,7 +50,14 @@ class WordBpe:
         self.specials = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.longest = max(map(len, self.ids))
         self.letters = byte_letters()
+        self.tree: dict = {}
+        for text, token in self.ids.items():
+            node = self.tree
+            for letter in text:
+                node = node.setdefault(letter, {})
+            node[""] = token
         self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.fits: dict[int, bool] = {}
 
     # -- text to words ---------------------------------------------------------
@@ -85,22 +92,45 @@ class WordBpe:
 
     def greedy(self, piece: str) -> list[int]:
         """The longest vocabulary entry at each place, from the left."""
-        text = "".join([self.letters[b] for b in piece.encode()])
-        out, at, ids = [], 0, self.ids
-        while at < len(text):
-            last = ids.get(text[at:] + self.end) if len(text) - at <= self.longest else None
-            if last is not None:
+        text = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+        out, at, size, ids = [], 0, len(text), self.ids
+        while at < size:
+            if size - at <= self.longest and (last := ids.get(text[at:] + self.end)) is not None:
                 out.append(last)
                 break
-            for stop in range(min(len(text) - 1, at + self.longest), at, -1):
-                if (one := ids.get(text[at:stop])) is not None:
+            node, stop = self.tree, at
+            for i in range(at, size - 1):
+                node = node.get(text[i])
+                if node is None:
                     break
+                if "" in node:
+                    one, stop = node[""], i + 1
             out.append(one)
             at = stop
         return out
 
     def exact(self, symbols: list[int]) -> list[int]:
-        """The merges in order of rank, leftmost first, on a linked list with a heap."""
+        """The merges in order of rank, leftmost first."""
+        return self._merge_short(symbols) if len(symbols) <= 24 else self._merge_long(symbols)
+
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        ids, merges, none = list(symbols), self.merges, (len(self.merges), -1)
+        found = [merges.get(pair, none) for pair in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = merges.get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The same on a linked list with a heap, for long words."""
         ids, after = list(symbols), list(range(1, len(symbols) + 1))
         before, alive = list(range(-1, len(symbols) - 1)), [True] * len(symbols)
         heap = [(m[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := self.merges.get((a, b)))]
@@ -158,19 +188,37 @@ class WordBpe:
         fine = np.logical_and.reduceat(good, ends - sizes + 1)
         return [p if ok else self.exact(self.symbols(w)) for p, ok, w in zip(proposed, fine, pieces)]
 
+    def pieces(self, word: str) -> list[str]:
+        """The parts that the vocabulary's pattern cuts a word into."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
+
     def learn(self, words: set[str]) -> None:
-        """Encode words that are not remembered yet."""
+        """Encode words that are not remembered yet.
+
+        Two generations of words are kept: when the younger is full the older one
+        goes, so that frequent words stay.
+        """
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         if len(self.fits) > REMEMBERED:
             self.fits.clear()
-        new = [w for w in words if w not in self.words]
-        split = [self.pattern.findall(w) if w[0] != " " else [] for w in new]
-        pieces = list({p for s in split for p in s})
-        known = dict(zip(pieces, self.encode_pieces(pieces))) if pieces else {}
-        for word, parts in zip(new, split):
-            ids = [self.special[word[1:]]] if word[0] == " " else [t for p in parts for t in known[p]]
-            self.words[word] = " ".join(map(str, ids))
+        known, older = self.words, self.older
+        fresh = words - known.keys()
+        known.update((w, older[w]) for w in fresh & older.keys())
+        split = {w: self.pieces(w) for w in fresh if w not in known and w[0] != " "}
+        missing = list({p for parts in split.values() for p in parts} - known.keys())
+        if missing:
+            known.update(zip(missing, (" ".join(map(str, ids)) for ids in self.encode_pieces(missing))))
+        for word, parts in split.items():
+            if word not in known:
+                known[word] = " ".join([known[p] for p in parts])
+        for word in fresh:
+            if word[0] == " ":
+                known[word] = str(self.special[word[1:]])
 
     def encode(self, texts: list[str | None]) -> list[str]:
         """Ids in decimal, joined by one space; null and empty texts give the empty string."""
