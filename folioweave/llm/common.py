@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of one slice that a task turns into Python objects at a time.
-SLICE_ROWS = 256
+#: Rows and bytes of one slice that a task turns into Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +43,21 @@ def row_id() -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into short ones, which bounds the Python objects alive."""
+    """Cut Arrow batches into slices of few rows and few bytes, which bounds the Python objects alive.
+
+    A row that is larger than the bound is a slice of its own.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            full = int(np.searchsorted(ends, ends[start] - sizes[start] + SLICE_BYTES, side="right"))
+            stop = min(start + rows, max(full, start + 1), batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def map_slices(
