@@ -123,38 +123,44 @@ class Members:
 
     A run is taken as a record if the members before it are complete and it
     decodes to a WARC header; otherwise the magic was part of compressed data and
-    the run continues the open member.
+    the run continues the open member.  Until the first record of a byte range is
+    certain, runs that are none belong to a member that began in an earlier range.
     """
 
     def __init__(self):
-        self.open: bytes | None = None  # what an unfinished member has so far
+        self.open: list[bytes] = []  # the runs of an unfinished member
         self.decoder, self.text, self.begun = None, b"", False
 
-    def feed(self, run: bytes, carried: bool = False) -> tuple[dict | None, bytes | None]:
-        """A finished record, or a run that only an earlier byte range can place."""
-        data = run if carried else MAGIC + run
-        if self.open is not None:
+    def feed(self, run: bytes, carried: bool = False) -> tuple[list[dict], list[bytes]]:
+        """Records that the run completes, and runs that only an earlier range can place."""
+        records: list[dict] = []
+        rests: list[bytes] = []
+        waiting = [run if carried else MAGIC + run]
+        while waiting:
+            data = waiting.pop(0)
+            if not self.open:
+                self.decoder, self.text = zlib.decompressobj(_GZIP), b""
+            self.open.append(data)
             try:
                 self.text += self.decoder.decompress(data)
-                self.open += data
-                return self._closed(), None
-            except zlib.error:  # the open member is damaged; the run may be a record
-                self.open = None
-        self.decoder = zlib.decompressobj(_GZIP)
-        try:
-            self.text = self.decoder.decompress(data)
-        except zlib.error:
-            return None, None if self.begun else data
-        if self.text and not self.text.startswith(b"WARC/"[: len(self.text)]):
-            return None, None if self.begun else data
-        self.open, self.begun = data, True
-        return self._closed(), None
-
-    def _closed(self) -> dict | None:
-        if not self.decoder.eof:
-            return None
-        self.open = None
-        return parse_record(self.text)
+                good = b"WARC/".startswith(self.text[:5])
+            except zlib.error:
+                good = False
+            if not good:  # no member began here, or it is damaged; the later runs are looked at anew
+                first, *later = self.open
+                if not self.begun:
+                    rests.append(first)
+                self.open, waiting = [], later + waiting
+                continue
+            self.begun = self.begun or len(self.text) >= 5
+            if self.decoder.eof:
+                record = parse_record(self.text)
+                if record is not None:
+                    records.append(record)
+                elif not self.begun:
+                    rests += self.open
+                self.open = []
+        return records, rests
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,26 +184,28 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     def out(rows):
         return pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=target)
 
+    def left_over(place, state, seq):
+        return [{"path": place[0], "start": place[1], "seq": seq + 1 + i, "rest": r} for i, r in enumerate(state.open)]
+
     def scan(batches):
         place, state, seq = None, None, 0
         for piece in slices(batches, 64):
             rows = []
             for path, start, run in zip(*(c.to_pylist() for c in piece.columns)):
                 if (path, start) != place:
-                    if state is not None and state.open is not None:
-                        rows.append({"path": place[0], "start": place[1], "seq": seq, "rest": state.open})
+                    if state is not None:
+                        rows += left_over(place, state, seq)
                     place, state, seq = (path, start), Members(), 0
                     if start == 0:  # what stands before the first magic
                         continue
-                seq += 1
-                record, rest = state.feed(run)
-                if record is not None:
-                    rows.append(record)
-                elif rest is not None:
+                records, rests = state.feed(run)
+                for rest in rests:
+                    seq += 1
                     rows.append({"path": path, "start": start, "seq": seq, "rest": rest})
+                rows += records
             yield out(rows)
-        if state is not None and state.open is not None:
-            yield out([{"path": place[0], "start": place[1], "seq": seq + 1, "rest": state.open}])
+        if state is not None:
+            yield out(left_over(place, state, seq))
 
     def join_up(batches):
         path, state = None, None
@@ -206,9 +214,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for at, rest in zip(piece.column(0).to_pylist(), piece.column(3).to_pylist()):
                 if at != path:
                     path, state = at, Members()
-                record, _ = state.feed(rest, carried=True)
-                if record is not None:
-                    rows.append(record)
+                rows += state.feed(rest, carried=True)[0]
             yield out(rows)
 
     found = runs.mapInArrow(scan, struct)

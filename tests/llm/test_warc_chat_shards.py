@@ -82,8 +82,8 @@ def test_large_member_ends_in_zero():
     assert out[-1] == 0
     state = warc.Members()
     first, *more = out.split(warc.MAGIC)[1:]
-    found = [state.feed(first)[0]] + [state.feed(m)[0] for m in more]
-    assert [f["payload_bytes"] for f in found if f] == [17 << 20]
+    found = [record for m in (first, *more) for record in state.feed(m)[0]]
+    assert [f["payload_bytes"] for f in found] == [17 << 20]
 
 
 TALKS = [
