@@ -290,7 +290,7 @@ def next_actions(
         F.max_by("action", F.struct("ts", "event_id")).alias("last_action")
     )
     planned = latest.join(
-        F.broadcast(transitions), F.col("last_action") == F.col("action")
+        transitions, F.col("last_action") == F.col("action")
     ).select(
         "user_id",
         F.concat_ws("_", F.lit("seq"), "last_action", "next_action").alias("rec_id"),

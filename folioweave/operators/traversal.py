@@ -63,6 +63,10 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
     follow = usable_edges(edges, policy)
     facts = nodes.select("node_id", F.col("confidence").alias("node_conf"), "degraded")
     claims = policy.max_fan_out * (policy.max_nodes + 1)
+    # the first edge to each target and its place below its source don't depend on the query
+    pair = Window.partitionBy("src", "dst").orderBy("edge_id")
+    single = follow.withColumn("_e", F.row_number().over(pair)).filter(F.col("_e") == 1).drop("_e")
+    ranked = stage_table(single.withColumn("edge_no", F.row_number().over(Window.partitionBy("src").orderBy("edge_id"))))
 
     start = (
         seeds.join(facts, "node_id")
@@ -81,10 +85,10 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
             F.col("score").alias("parent_score"),
         )
         seen = done.select("query_id", F.col("node_id").alias("dst"))
-        reach = frontier.join(follow, "src").join(seen, ["query_id", "dst"], "left_anti")
-        # parallel edges to one target count once, at their first place
-        first = Window.partitionBy("query_id", "src", "dst").orderBy("edge_id")
-        nearest = reach.withColumn("_e", F.row_number().over(first)).filter(F.col("_e") == 1).drop("_e")
+        # targets that a query has seen push the wanted ones back by at most their number
+        most = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        near = ranked.filter(F.col("edge_no") <= claims + most).drop("edge_no")
+        nearest = frontier.join(near, "src").join(seen, ["query_id", "dst"], "left_anti")
         by_parent = Window.partitionBy("query_id", "src").orderBy("edge_id")
         capped = nearest.withColumn("nth", F.row_number().over(by_parent)).filter(F.col("nth") <= claims)
         taken = (

@@ -118,8 +118,9 @@ def article_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Article-level pieces between 60 and 900 characters.
 
     A longer article is cut into its paragraphs, and a longer paragraph into
-    consecutive slices, so that no text is lost.  A document without any piece
-    yields its whole text if that is long enough.
+    consecutive slices.  Articles and paragraphs below MIN_ARTICLE characters are
+    left out, as the format demands.  A document without any piece yields its whole
+    text if that is long enough.
     """
     body = tx.strip_tags(F.col(text))
     base = docs.select(key, body.alias("body"))
