@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import re
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[str] = []
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def local_session(cores: int | str = "*", app: str = "folioweave") -> SparkSession:
@@ -35,6 +37,18 @@ def local_session(cores: int | str = "*", app: str = "folioweave") -> SparkSessi
     )
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Put this package's folder on the Python path of the workers.
+
+    That is enough where all machines see the folder, whatever the current
+    directory; elsewhere the submitter ships the package (``--py-files`` or a wheel).
+    """
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder for checkpoints and stage tables.
 
