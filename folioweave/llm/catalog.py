@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioweave.llm import bpe, chat, decontaminate, html_extract, ppm, quality_rules, sharding, simhash, token_counts, warc
 from folioweave.llm.common import table, word_bpe_path
-from folioweave.plans.registry import QueryFn
+from folioweave.plans.registry import QueryFn, prepared
 
 #: The vocabulary of the token counts, where the public package keeps it.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,7 +20,7 @@ _SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn: QueryFn) -> QueryFn:
-        _QUERIES[name] = fn
+        _QUERIES[name] = prepared(fn)
         if sql is not None:
             _SQL[name] = sql.strip()
         return fn

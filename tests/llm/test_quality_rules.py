@@ -56,7 +56,8 @@ def test_held_out_accuracy_and_calibration(spark, sf_dir):
     scored = {r.doc_id: r for r in q.score_quality(docs, model).collect()}
     held = [r for r in labels.where("pmod(hash(doc_id), 3) = 0").collect() if not scored[r.doc_id].base_failed]
     right = sum(scored[r.doc_id].kept == bool(r.quality) for r in held)
-    assert right >= 0.97 * len(held)
+    assert right >= 0.95 * len(held)
+    assert all(scored[r.doc_id].kept for r in held if r.quality)  # clean texts stay
     brier = sum((scored[r.doc_id].probability - r.quality) ** 2 for r in held) / len(held)
     assert brier < 0.05
 
