@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes of one slice that a task turns into Python objects at a time.
-SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

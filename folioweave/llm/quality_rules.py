@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,7 +61,7 @@ def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def ngram_slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+def ngram_slots(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram family the feature slot and the text number of every n-gram.
 
     Bytes and words keep their case.  A word's code is a polynomial hash taken
@@ -68,15 +69,15 @@ def ngram_slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-    out, wide = [], data.astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends, prepend=0))
+    wide = data.astype(np.uint64)
     for n in _BYTE_ORDERS:
         codes = np.zeros(max(0, len(data) - n + 1), np.uint64)
         for k in range(n):
             codes |= wide[k : len(data) - n + 1 + k] << np.uint64(8 * k)
         inside = np.flatnonzero(owner[: len(codes)] == owner[n - 1 :])
         inside = inside[inside + n < ends[owner[inside]]]  # not over the separator
-        out.append((_slot(codes[inside], n), owner[inside]))
+        yield _slot(codes[inside], n), owner[inside]
     blank = _BLANK[data]
     first = np.flatnonzero(~blank & np.append(True, blank[:-1]))
     after = np.flatnonzero(blank & np.append(False, ~blank[:-1]))
@@ -89,8 +90,7 @@ def ngram_slots(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         for k in range(1, n):
             codes = codes * np.uint64(0x9E3779B1) + code[k : len(code) - n + 1 + k]
         inside = whose[: len(codes)] == whose[n - 1 :]
-        out.append((_slot(codes[inside], 16 + n), whose[: len(codes)][inside]))
-    return out
+        yield _slot(codes[inside], 16 + n), whose[: len(codes)][inside]
 
 
 def margins(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
