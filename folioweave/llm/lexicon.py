@@ -47,6 +47,27 @@ def count_words(docs: DataFrame, words: Callable[[str | None], list[bytes]], tex
     return chosen.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(lexicon: DataFrame, values: list[str]) -> dict[bytes, tuple[float, ...]]:
+    """The values of at most FREQUENT of the most frequent words, none of them longer than FREQUENT_BYTES.
+
+    Counts are put into classes of about 1 %; as many whole classes are taken, from
+    the top, as stay within the bound.  So only a histogram and the words themselves
+    reach the driver, however many tasks hold the lexicon.
+    """
+    short = lexicon.where((F.octet_length("word") <= FREQUENT_BYTES) & (F.col("n") > 0))
+    classed = short.withColumn("class", F.floor(F.log2("n") * 64).cast("int"))
+    room, least = FREQUENT, None
+    for row in sorted(classed.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["class"]
+    if least is None:
+        return {}
+    rows = classed.where(F.col("class") >= least).select("word", *values).collect()
+    return {bytes(r[0]): tuple(map(float, r[1:])) for r in rows}
+
+
 def sum_over_words(
     docs: DataFrame, lexicon: DataFrame, values: list[str], words: Callable[[str | None], list[bytes]],
     id_col: str, text_col: str, keep: list[str] = [],  # noqa: B006
@@ -60,11 +81,7 @@ def sum_over_words(
     without words have zero sums.
     """
     spark = docs.sparkSession
-    top = (
-        lexicon.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT)
-        .select("word", *values).collect()
-    )
-    shared = spark.sparkContext.broadcast({bytes(r[0]): tuple(map(float, r[1:])) for r in top})
+    shared = spark.sparkContext.broadcast(frequent_words(lexicon, values))
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate([id_col, *keep]))
     n_keep = 1 + len(keep)
     sums = [f"s{i}" for i in range(len(values))]
