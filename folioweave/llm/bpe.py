@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folioweave.llm.common import map_slices
 
 #: Words whose encoding a task remembers; beyond that it starts afresh.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 _SELF = 0xFFFF_FFFF
 _LOADED: dict[str, "WordBpe"] = {}
 

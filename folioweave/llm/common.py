@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -60,6 +63,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             start = stop
 
 
+def release_memory() -> None:
+    """Give freed memory back at the end of a task; Spark keeps the worker process for later ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_slices(
     df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict | None]], rows: int = SLICE_ROWS
 ) -> DataFrame:
@@ -78,6 +89,7 @@ def map_slices(
             if made is not None:
                 arrays = [pa.array(made[f.name], type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        release_memory()
 
     return df.mapInArrow(run, struct)
 
