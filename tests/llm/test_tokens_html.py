@@ -94,3 +94,14 @@ def test_covered_runs_match_brute_force(spark):
     pages = spark.createDataFrame([(i, "http://h/", " ".join(s)) for i, s in enumerate(streams)], "page_id int, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract_text(pages, long=5).collect()}
     assert [got[i] for i in range(12)] == [" ".join(s) for s in plain_cover(streams, 5)]
+
+
+def test_copies_of_an_unmarked_page_and_pages_without_a_host_stay(spark):
+    body = "<p>a page of twelve words that stands twice on its one host</p>"
+    menu = "<div>one menu of eight words for all pages here</div>"
+    data = [(1, "http://h/1", body), (1, "http://h/1", body), (2, "http://h/2", body), (3, None, body), (4, None, body + "more"), (5, "/x", body + "yet"),
+            (6, "http://g/6", menu + body), (7, "http://g/7", menu + body), (8, "http://g/8", menu + "<p>other</p>")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(3)
+    text = "a page of twelve words that stands twice on its one host"
+    got = sorted((r.page_id, r.text) for r in html_extract.extract_text(pages).collect())
+    assert got == [(1, text), (1, text), (2, text), (3, text), (4, text + " more"), (5, text + " yet"), (6, text), (7, text), (8, "other")]
