@@ -135,3 +135,15 @@ def test_few_rows_and_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     assert sorted(r.slot for r in sharding.shuffle_into_shards(docs).collect()) == [0, 0]
     assert sharding.shuffle_into_shards(docs.where(F.lit(False))).count() == 0
+
+
+def test_one_id_spreads_over_buckets(spark, tmp_path, monkeypatch):
+    rows = [(None if i % 3 else i, "the same text " * 4) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = sharding.shuffle_into_shards(docs, shards=4, bucket_bytes=4000, folder=str(tmp_path / "out")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    # one bucket would hold all 400 rows of the null id without a break of two buckets' own rows
+    nulls = [sum(i is None for i in order[at : at + 75]) for at in range(0, 600, 75)]
+    assert all(25 <= n <= 70 for n in nulls)
