@@ -7,12 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, chat, decontaminate, html_extract, ppm, quality_rules, sharding, simhash, token_counts, warc
+from folioweave.llm import bpe, chat, decontaminate, html_extract, packing, ppm, quality_rules, sharding, simhash, token_counts, warc
 from folioweave.llm.common import table, word_bpe_path
 from folioweave.plans.registry import QueryFn, prepared
 
 #: The vocabulary of the token counts, where the public package keeps it.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: The byte-level vocabulary of the packed sequences.
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
@@ -132,6 +134,11 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+@query("op11_best_two_fit")
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTES)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
