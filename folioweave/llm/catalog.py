@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import bpe, chat, decontaminate, html_extract, packing, ppm, quality_rules, sharding, simhash, token_counts, warc
+from folioweave.llm import bpe, chat, clustering, decontaminate, html_extract, packing, ppm, quality_rules, sharding, simhash, token_counts, warc
 from folioweave.llm.common import table, word_bpe_path
 from folioweave.plans.registry import QueryFn, prepared
 
@@ -139,6 +139,42 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTES)
 
 
+def cluster_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """The rounds of ``op12`` one after another, every vector against every centroid."""
+    steps = [
+        f"""
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT vec_id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM v),
+c0 AS MATERIALIZED (
+  SELECT c, generate_subscripts(v, 1) AS d, unnest(v) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v QUALIFY c < {k}))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, c, s FROM (SELECT vec_id, c, sum((e.x - c{i}.x) * (e.x - c{i}.x))::BIGINT AS s FROM e JOIN c{i} USING (d) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS MATERIALIZED (SELECT c, d, sum(x) AS t, count(*) AS n FROM a{i} JOIN e USING (vec_id) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (
+  SELECT c, d, coalesce((t - ((t % n) + n) % n) // n, x)::BIGINT AS x FROM c{i} LEFT JOIN m{i} USING (c, d))""")
+    return f"""
+WITH {",".join(steps)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, s AS distance, (sum(s) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(s) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)
+"""
+
+
+@query("op12_rotated_centroids", cluster_sql())
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
