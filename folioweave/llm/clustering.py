@@ -41,11 +41,11 @@ def _integers(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(-1, width)
 
 
-def _moments(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+def _moments(rows: DataFrame, width: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Number, sums and products of the components over all rows.
 
-    A task adds up its rows and Spark adds up the tasks: ``width`` rows of
-    ``width`` sums each, whatever the size of the table.
+    A task adds up its rows and Spark adds up the tasks: one row for each pair of
+    components, whatever the size of the table.
     """
 
     def run(batches):
@@ -54,13 +54,16 @@ def _moments(rows: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
             x = _integers(batch.column(0), width).astype(np.float64)
             n, total, product = n + len(x), total + x.sum(0), product + x.T @ x
         if n:
-            columns = {"i": np.arange(width), "n": np.full(width, n), "total": total} | {f"p{j}": product[:, j] for j in range(width)}
-            yield pa.RecordBatch.from_pydict(columns)
+            # the last row holds the sums and the number
+            whole = np.vstack([np.column_stack([product, total]), [*total, n]])
+            i, j = np.indices(whole.shape)
+            yield pa.RecordBatch.from_pydict({"i": i.ravel(), "j": j.ravel(), "s": whole.ravel()})
 
-    schema = "i bigint, n bigint, total double, " + ", ".join(f"p{j} double" for j in range(width))
-    made = rows.select("v").mapInArrow(run, schema).groupBy("i").agg(*[F.sum(c).alias(c) for c in ("n", "total", *(f"p{j}" for j in range(width)))])
-    found = sorted(made.collect(), key=lambda r: r["i"])
-    return found[0]["n"], np.array([r["total"] for r in found]), np.array([[r[f"p{j}"] for j in range(width)] for r in found])
+    made = rows.select("v").mapInArrow(run, "i bigint, j bigint, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    whole = np.zeros((width + 1, width + 1))
+    for r in made:
+        whole[r["i"], r["j"]] = r["s"]
+    return whole[width, width], whole[:width, width], whole[:width, :width]
 
 
 def rotation(rows: DataFrame, width: int, leading: int = LEADING) -> tuple[np.ndarray, np.ndarray]:
@@ -121,28 +124,34 @@ class _Filter:
         return x, *nearest(x, lead, rest, self.centroids, self.lead, self.rest, reach)
 
 
-def _sums(vectors: DataFrame, now: _Filter) -> list:
-    """Row number and component sums of every non-empty cluster, added up by the tasks and then by Spark."""
+def _moved(vectors: DataFrame, now: _Filter) -> list[list[int]]:
+    """The next centroids; component sums are added up by the tasks and then by Spark.
+
+    ``LARGEST`` leaves room for 2**36 rows of that size in a sum.
+    """
     k, width = now.centroids.shape
     shared = vectors.sparkSession.sparkContext.broadcast(now)
 
     def run(batches):
-        total, n = np.zeros((k, width), np.int64), np.zeros(k, np.int64)
+        # the last column counts
+        total = np.zeros((k, width + 1), np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 x, number, _, _ = shared.value.assign(batch.slice(start, ROWS), 0)
                 order = np.argsort(number, kind="stable")
                 heads = np.flatnonzero(np.diff(number[order], prepend=-1))
-                total[number[order][heads]] += np.add.reduceat(x[order], heads)
-                n += np.bincount(number, minlength=k)
-        there = np.flatnonzero(n)
-        if len(there):
-            yield pa.RecordBatch.from_pydict({"cluster": there, "n": n[there]} | {f"s{j}": total[there, j] for j in range(width)})
+                total[number[order][heads], :width] += np.add.reduceat(x[order], heads)
+                total[:, width] += np.bincount(number, minlength=k)
+        cluster, part = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"cluster": cluster, "part": part, "s": total[cluster, part]})
 
-    schema = "cluster bigint, n bigint, " + ", ".join(f"s{j} bigint" for j in range(width))
-    made = vectors.select("v", "lead", "rest").mapInArrow(run, schema).groupBy("cluster")
-    # LARGEST leaves room for 2**36 rows of that size
-    return made.agg(*[F.sum(c).alias(c) for c in ("n", *(f"s{j}" for j in range(width)))]).collect()
+    made = vectors.select("v", "lead", "rest").mapInArrow(run, "cluster bigint, part bigint, s bigint")
+    sums = np.zeros((k, width + 1), np.int64)
+    for r in made.groupBy("cluster", "part").agg(F.sum("s").alias("s")).collect():
+        sums[r["cluster"], r["part"]] = r["s"]
+    n = sums[:, width:]
+    # floor division rounds down for negative sums too
+    return np.where(n > 0, sums[:, :width] // np.maximum(n, 1), now.centroids).tolist()
 
 
 def first_centroids(rows: DataFrame, k: int, label: str) -> list[list[int]]:
@@ -194,8 +203,7 @@ def cluster_vectors(
 
     stored = stage_table(map_slices(rows, f"id {kind}, v array<int>, lead array<double>, rest double", rotate, rows=ROWS))
     for _ in range(rounds):
-        for row in _sums(stored, _Filter(centroids, mean, directions)):
-            centroids[row["cluster"]] = [int(row[f"s{j}"]) // row["n"] for j in range(width)]
+        centroids = _moved(stored, _Filter(centroids, mean, directions))
     final = spark.sparkContext.broadcast(_Filter(centroids, mean, directions))
 
     def assign():
