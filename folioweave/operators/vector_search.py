@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours for whole tables of queries.
+"""Exact nearest neighbours for whole tables of queries.
 
 Neither side is broadcast and no pair is emitted before it is among the best
 ``k`` of its cell: both sides are cut into cells of bounded size, every query
@@ -9,20 +9,24 @@ only means more cells.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from folioweave.operators.ranking import top_per_key
+from folioweave.session import stage_table
 
 CELL_ROWS = 16384
 BLOCK_ROWS = 2048
 SCORE_DIGITS = 6
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+def unit_rows(column: pd.Series) -> np.ndarray:
+    """Vectors as rows of length one; zero vectors stay zero."""
     data = np.stack([np.asarray(v, dtype=np.float64) for v in column])
     length = np.linalg.norm(data, axis=1, keepdims=True)
     return np.divide(data, length, out=np.zeros_like(data), where=length > 0)
@@ -34,12 +38,12 @@ def _best_in_cell(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, min_score
         return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
     corpus = corpus.sort_values("item_id", kind="stable")
     items = corpus["item_id"].to_numpy()
-    right = _matrix(corpus["vector"])
+    right = unit_rows(corpus["vector"])
     out_q, out_i, out_s = [], [], []
     for start in range(0, len(queries), BLOCK_ROWS):
         block = queries.iloc[start : start + BLOCK_ROWS]
         ids = block["query_id"].to_numpy()
-        scores = np.round(_matrix(block["vector"]) @ right.T, SCORE_DIGITS)
+        scores = np.round(unit_rows(block["vector"]) @ right.T, SCORE_DIGITS)
         if skip_self:
             scores[ids[:, None] == items[None, :]] = -np.inf
         take = min(k, scores.shape[1])
@@ -126,49 +130,6 @@ def filtered_after(found: DataFrame, corpus_filter: DataFrame, k: int) -> DataFr
     return top_per_key(kept, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 
-def _hyperplanes(dim: int, tables: int, planes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, planes, dim))
-
-
-def bucketed(df: DataFrame, dim: int, tables: int, planes: int, seed: int = 17) -> DataFrame:
-    """One row per hash table with the bucket of the row's vector."""
-    normals = _hyperplanes(dim, tables, planes, seed).reshape(tables * planes, dim)
-    powers = 1 << np.arange(planes)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def buckets(vectors: pd.Series) -> pd.Series:
-        data = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        bits = (data @ normals.T > 0).reshape(len(data), tables, planes)
-        return pd.Series(list((bits * powers).sum(axis=2).astype(np.int32)))
-
-    return df.select("*", F.posexplode(buckets("vector")).alias("hash_table", "bucket"))
-
-
-def approximate_top_k(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    dim: int,
-    tables: int = 24,
-    planes: int = 4,
-    skip_self: bool = False,
-) -> DataFrame:
-    """Random-hyperplane buckets, then exact scores inside equal buckets.
-
-    Two vectors at angle t share a bucket of p planes with chance (1 - t/pi)**p
-    per table.  The defaults reach neighbours of cosine 0.3; where neighbours
-    are closer than that, more planes and fewer tables compare far fewer pairs
-    at the same recall, which ``recall`` measures against the exact result.
-    """
-    return top_k_similar(
-        bucketed(queries, dim, tables, planes),
-        bucketed(corpus, dim, tables, planes),
-        k,
-        on=["hash_table", "bucket"],
-        skip_self=skip_self,
-    )
-
-
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Mean share of the true neighbours that were found."""
     hits = truth.join(found.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi")
@@ -219,25 +180,36 @@ def interest_vectors(
 
 
 def item_based(
-    events: DataFrame, neighbours: DataFrame, docs: DataFrame, seeds: int = 5, per_seed: int = 10, k: int = 10
+    events: DataFrame, neighbours: Callable[[DataFrame, int], DataFrame], items: DataFrame, docs: DataFrame,
+    seeds: int = 5, per_seed: int = 10, k: int = 10, prefetch: int = 30,
 ) -> DataFrame:
-    """Items similar to what a user read last.
+    """Items similar to what a user read last, without what the user has seen.
 
-    ``neighbours``: ``query_id, item_id, score, rank`` computed once per chunk
-    and shared by all users who read it; ``docs``: ``item_id, doc``.
+    ``neighbours(queries, n)`` returns the ``n`` nearest items of each query item as
+    ``query_id, item_id, score, rank`` and is shared by all users who read it;
+    ``items``: ``query_id, vector``; ``docs``: ``item_id, doc``.  Seen documents are
+    taken out before the cut at ``per_seed``: a seed that has fewer left, although it
+    has more neighbours than were fetched, is asked again four times as deep.
     """
-    last = events.groupBy("user_id", "item").agg(F.max(F.struct("ts", "event_id")).alias("last"))
-    recent = top_per_key(last, ["user_id"], [F.desc("last"), F.asc("item")], seeds).select(
+    last = stage_table(events.groupBy("user_id", "item").agg(F.max(F.struct("ts", "event_id")).alias("last")))
+    recent = stage_table(top_per_key(last, ["user_id"], [F.desc("last"), F.asc("item")], seeds).select(
         "user_id", F.col("item").cast("bigint").alias("query_id")
-    )
-    near = neighbours.join(docs, "item_id").select("query_id", "item_id", "score", "doc")
-    candidates = recent.join(near, "query_id")
+    ))
     seen = last.select("user_id", F.col("item").cast("bigint").alias("doc"))
-    fresh = candidates.join(seen, ["user_id", "doc"], "left_anti")
-    kept = top_per_key(
-        fresh, ["user_id", "query_id"], [F.desc("score"), F.asc("item_id")], per_seed
-    )
-    sums = kept.groupBy("user_id", "doc").agg(F.sum("score").alias("raw"))
+    wanted, depth, parts = recent, prefetch, []
+    while True:
+        asked = items.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
+        near = stage_table(neighbours(asked, depth).join(docs, "item_id").select("query_id", "item_id", "score", "doc"))
+        fresh = wanted.join(near, "query_id").join(seen, ["user_id", "doc"], "left_anti")
+        kept = stage_table(top_per_key(fresh, ["user_id", "query_id"], [F.desc("score"), F.asc("item_id")], per_seed))
+        cut = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= depth).select("query_id")
+        enough = kept.where(F.col("rank") == per_seed).select("user_id", "query_id")
+        short = stage_table(wanted.join(cut, "query_id", "left_semi").join(enough, ["user_id", "query_id"], "left_anti"))
+        parts.append(kept.join(short, ["user_id", "query_id"], "left_anti"))
+        if short.isEmpty():
+            break
+        wanted, depth = short, depth * 4
+    sums = reduce(DataFrame.unionByName, parts).groupBy("user_id", "doc").agg(F.sum("score").alias("raw"))
     best = F.max("raw").over(Window.partitionBy("user_id"))
     scored = sums.select("user_id", "doc", F.round(F.col("raw") / best, 6).alias("item_score"))
     return top_per_key(scored, ["user_id"], [F.desc("item_score"), F.asc("doc")], k)

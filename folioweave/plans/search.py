@@ -9,6 +9,7 @@ from folioweave.functions.numbers import freshness
 from folioweave.operators import collaborative as cf
 from folioweave.operators import fusion, interactions as ix, lexical
 from folioweave.operators import query_features as qf
+from folioweave.operators import vector_index as vi
 from folioweave.operators import vector_search as vs
 from folioweave.operators.hierarchy import references
 from folioweave.operators.ranking import top_per_key
@@ -413,14 +414,33 @@ def r28(spark, sf):
 
 @query("r14_approximate_top_k")
 def r14(spark, sf):
-    return vs.approximate_top_k(as_queries(spark, sf), as_corpus(spark, sf), 10, DIM, skip_self=True)
+    return vi.search(vi.build_index(as_corpus(spark, sf)), as_queries(spark, sf), 10, skip_self=True)
 
 
 @query("r14_recall_at_10")
 def r14_recall(spark, sf):
-    found = vs.approximate_top_k(as_queries(spark, sf), as_corpus(spark, sf), 10, DIM, skip_self=True)
+    index = vi.build_index(as_corpus(spark, sf))
+    found = vi.search(index, as_queries(spark, sf), 10, skip_self=True)
     truth = vs.top_k_similar(as_queries(spark, sf), as_corpus(spark, sf), 10, skip_self=True)
-    return vs.recall(found, truth, 10)
+    return vs.recall(found, truth, 10).join(vi.compared_pairs(index, as_queries(spark, sf)))
+
+
+@query("r35_clause_similarity_approximate")
+def r35_approximate(spark, sf):
+    # filtered search inside the probed lists first, the whole index where that finds too little
+    index = vi.build_index(as_corpus(spark, sf, "label"), 5, keep=["label"])
+    strict = vi.search(index, as_queries(spark, sf, "label"), 5, on=["label"], min_score=0.3, skip_self=True)
+    wide = vi.search(index, as_queries(spark, sf), 5, skip_self=True)
+    return clause_tiers(strict, wide)
+
+
+@query("b12_similar_users_approximate")
+def b12_approximate(spark, sf):
+    users = user_vectors(spark, sf).select("user_id", "vector")
+    index = vi.build_index(users.select(F.col("user_id").alias("item_id"), "vector"), 15)
+    return vi.search(index, users.select(F.col("user_id").alias("query_id"), "vector"), 15, skip_self=True).select(
+        F.col("query_id").alias("user_id"), F.col("item_id").alias("peer"), "score", "rank"
+    )
 
 
 @query("r06_semantic_pass", f"""WITH {PAIRS}, found AS (SELECT query_id, item_id FROM pr WHERE ql = il QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 3),
@@ -455,7 +475,15 @@ def p10(spark, sf):
 
 @query("r35_clause_similarity", f"WITH {PAIRS}{RELAX} SELECT query_id, count(*) AS n, max(score) AS best, CAST(any_value(tier) AS INTEGER) AS tier FROM tt JOIN tc USING (query_id, tier) GROUP BY 1")
 def r35(spark, sf):
-    return tiered(spark, sf).groupBy("query_id").agg(
+    return clause_summary(tiered(spark, sf))
+
+
+def clause_tiers(strict, wide):
+    return clause_summary(lexical.relaxed(strict.withColumn("tier", F.lit(0)).unionByName(wide.withColumn("tier", F.lit(1))), 2))
+
+
+def clause_summary(found):
+    return found.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.first("tier").alias("tier")
     )
 
@@ -511,7 +539,7 @@ def b12(spark, sf):
     return similar_users(spark, sf)
 
 
-ICF = """nn AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 30),
+ICF = """nn AS (SELECT * FROM pr),
 sd AS (SELECT user_id, item FROM (SELECT user_id, item, max(ts) AS m, max(event_id) AS x FROM ev GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY m DESC, x DESC, item) <= 5),
 cd AS (SELECT s.user_id, n.query_id, n.item_id, n.score, n.item_id % 100 AS doc FROM sd s JOIN nn n ON n.query_id = s.item WHERE NOT EXISTS (SELECT 1 FROM ev v WHERE v.user_id = s.user_id AND v.item = n.item_id % 100)),
 cs AS (SELECT user_id, doc, sum(score) AS raw FROM (SELECT * FROM cd QUALIFY row_number() OVER (PARTITION BY user_id, query_id ORDER BY score DESC, item_id) <= 10) GROUP BY 1, 2),
@@ -519,10 +547,15 @@ icf AS (SELECT user_id, doc, round(raw / max(raw) OVER (PARTITION BY user_id), 6
 ic AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY item_score DESC, doc) AS INTEGER) AS rank FROM icf QUALIFY rank <= 10)"""
 
 
-def item_based(spark, sf):
-    near = vs.top_k_similar(as_queries(spark, sf), as_corpus(spark, sf), 30, skip_self=True)
+def item_based(spark, sf, index=None):
     docs = vectors(spark, sf).select(F.col("vec_id").alias("item_id"), (F.col("vec_id") % 100).alias("doc"))
-    return vs.item_based(interactions(spark, sf), near, docs)
+
+    def near(queries, n):
+        if index is not None:
+            return vi.search(index, queries, n, skip_self=True)
+        return vs.top_k_similar(queries, as_corpus(spark, sf), n, skip_self=True)
+
+    return vs.item_based(interactions(spark, sf), near, as_queries(spark, sf), docs)
 
 
 @query("b10_item_based_cf", f"WITH {EV}, {PAIRS}, {ICF} SELECT user_id, doc, item_score, rank FROM ic")
@@ -530,6 +563,11 @@ def b10(spark, sf):
     return item_based(spark, sf)
 
 
+@query("b10_item_based_cf_approximate")
+def b10_approximate(spark, sf):
+    return item_based(spark, sf, vi.build_index(as_corpus(spark, sf), 30))
+
+
 @query("b20_document_recommender", f"""WITH {EV}, {PAIRS}, {ICF}, {IV},
 ui AS (SELECT user_id, item, sum({WEIGHT_SQL}) AS w FROM ev GROUP BY 1, 2), up AS (SELECT DISTINCT a.user_id, b.user_id AS peer FROM ui a JOIN ui b ON a.item = b.item AND a.user_id <> b.user_id),
 co AS (SELECT p.user_id, u.item, sum(u.w) AS s FROM up p JOIN ui u ON u.user_id = p.peer WHERE NOT EXISTS (SELECT 1 FROM ui o WHERE o.user_id = p.user_id AND o.item = u.item) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p.user_id ORDER BY sum(u.w) DESC, u.item) <= 10),

@@ -8,7 +8,10 @@ from folioweave.plans import catalog
 
 QUERIES = catalog.all_queries()
 SQL = catalog.all_sql()
-NO_SQL = {"r14_approximate_top_k", "r14_recall_at_10", "r34_embed_texts", "s01_file_manifest"}
+NO_SQL = {
+    "r14_approximate_top_k", "r14_recall_at_10", "r34_embed_texts", "s01_file_manifest", "r35_clause_similarity_approximate",
+    "b12_similar_users_approximate", "b10_item_based_cf_approximate",
+}
 
 
 @pytest.fixture(scope="module")
