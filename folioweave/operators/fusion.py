@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.operators.bounded_search import half_up_column
 from folioweave.operators.ranking import top_per_key
 from folioweave.rules import queries as rules
 
@@ -76,7 +77,7 @@ def fuse(
     names = ["vector", "tf", "graph", "behavior"]
     scaled = min_max(boosted, "query_id", names)
     score = sum((F.col(n) * w[n] for n in names[1:]), F.col(names[0]) * w[names[0]])
-    fused = scaled.withColumn("fusion_score", F.round(score, 6))
+    fused = scaled.withColumn("fusion_score", half_up_column(score))
     return top_per_key(fused, ["query_id"], [F.desc("fusion_score"), F.asc("item_id")], limit)
 
 

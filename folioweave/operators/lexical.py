@@ -8,10 +8,12 @@ to the first letters of the terms by equality, never over text × term pairs.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as tx
+from folioweave.operators.bounded_search import bounded_top_k, half_up, half_up_column
 from folioweave.operators.ranking import top_overall, top_per_key
 from folioweave.rules import queries as rules
 from folioweave.session import spread, stage_table
@@ -85,6 +87,20 @@ def passage_score(match_type: Column, confidence: Column, degraded: Column, tf:
     return F.when(tokens > 500, F.greatest(raised - penalty, F.lit(0.0))).otherwise(raised)
 
 
+#: Marks of a chunk: found by an own term, by an expanded one, by reference.  The highest decides the match type.
+_OWN, _WIDE, _REF = 1, 2, 4
+#: References among the terms begin with this, which no term contains.
+_REF_MARK = "\n"
+
+
+def _passage_scores(total, mark, facts, size):
+    """``passage_score`` over arrays; facts: degradation factor, confidence, negative length penalty."""
+    kind = np.where(mark >= _REF, rules.MATCH_BASE["canonical_ref"], np.where(mark >= _WIDE, rules.MATCH_BASE["alias_keyword"], rules.MATCH_BASE["keyword"]))
+    base = kind * facts[:, 0] * facts[:, 1]
+    raised = np.minimum(base + np.minimum(total / (size * 3), 1.0) * 0.25, 1.0) if size > 0 else base
+    return half_up(np.maximum(raised + facts[:, 2], 0.0))
+
+
 def multi_pass_search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -96,71 +112,44 @@ def multi_pass_search(
 
     ``queries``: ``query_id, terms array, ref``; ``chunks``: ``chunk_id, content,
     confidence, degraded, refs array``; ``expanded``: ``query_id, term``;
-    ``semantic``: ``query_id, chunk_id, score``.
+    ``semantic``: ``query_id, chunk_id, score``.  Matches meet their queries inside
+    blocks of chunks, and at most ``k`` rows a query leave one (``bounded_search``).
     """
     posts = stage_table(postings(chunks))
     own = queries.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 2)
     wide = expanded.filter(F.length("term") >= 2)
     counts = term_counts(posts, own.unionByName(wide.select("query_id", "term")))
-
-    refs = chunks.select("chunk_id", F.explode("refs").alias("ref"))
-    by_ref = reference_hits(queries.filter(F.col("ref").isNotNull()).select("query_id", "ref"), refs)
-    tags = (
-        own.withColumns({"own": F.lit(1), "wide": F.lit(0)})
-        .unionByName(wide.select("query_id", "term", F.lit(0).alias("own"), F.lit(1).alias("wide")))
-        .groupBy("query_id", "term")
-        .agg(F.max("own").alias("own"), F.max("wide").alias("wide"))
+    refs = chunks.select("chunk_id", F.explode("refs").alias("ref")).distinct()
+    found = counts.select("chunk_id", "term", F.least("n", F.lit(3)).alias("impact")).unionByName(
+        refs.select("chunk_id", F.concat(F.lit(_REF_MARK), "ref").alias("term"), F.lit(0).cast("bigint").alias("impact"))
     )
-    lexical = (
-        counts.join(tags, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(
-            F.sum(F.when(F.col("own") == 1, F.least(F.col("n"), F.lit(3))).otherwise(0)).alias("tf"),
-            F.max("own").alias("own"),
-            F.max("wide").alias("wide"),
-        )
-        .withColumn("via_ref", F.lit(0))
-    )
-    reference = by_ref.select(
-        "query_id", "chunk_id", F.lit(0).cast("bigint").alias("tf"), F.lit(0).alias("own"),
-        F.lit(0).alias("wide"), F.lit(1).alias("via_ref"),
+    found = stage_table(found)
+    asked = (
+        own.select("query_id", "term", F.lit(_OWN).alias("mark"))
+        .unionByName(wide.select("query_id", "term", F.lit(_WIDE).alias("mark")))
+        .unionByName(queries.where("ref is not null").select("query_id", F.concat(F.lit(_REF_MARK), "ref").alias("term"), F.lit(_REF).alias("mark")))
+        .groupBy("query_id", "term").agg(F.bit_or("mark").alias("mark"))
     )
-    merged = (
-        lexical.unionByName(reference)
-        .groupBy("query_id", "chunk_id")
-        .agg(*[F.max(c).alias(c) for c in ("tf", "own", "wide", "via_ref")])
+    sizes = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    tagged = asked.join(sizes, "query_id", "left").select(
+        "query_id", "term", F.col("mark").bitwiseAND(F.lit(_OWN)).alias("weight"), "mark", F.coalesce("n", F.lit(0)).alias("size")
     )
-    match_type = (
-        F.when(F.col("via_ref") == 1, "canonical_ref").when(F.col("wide") == 1, "alias_keyword").otherwise("keyword")
+    tokens = F.floor(F.length("content") / 4)
+    penalty = F.when(tokens > 500, F.least(F.log10(tokens / 500) * 0.075, F.lit(0.15))).otherwise(0.0)
+    facts = chunks.select(
+        "chunk_id", F.array(F.when(F.col("degraded"), 0.7).otherwise(1.0), F.greatest("confidence", F.lit(0.3)), -penalty).alias("facts")
     )
-    sizes = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    facts = chunks.select("chunk_id", "confidence", "degraded", F.floor(F.length("content") / 4).alias("tokens"))
-    scored = (
-        merged.withColumn("match_type", match_type)
-        .join(facts, "chunk_id")
-        .join(sizes, "query_id", "left")
-        .select(
-            "query_id", "chunk_id", "match_type",
-            F.round(
-                passage_score(
-                    F.col("match_type"), F.col("confidence"), F.col("degraded"), F.col("tf"),
-                    F.coalesce("n_terms", F.lit(0)), F.col("tokens"),
-                ),
-                6,
-            ).alias("score"),
-        )
+    best = bounded_top_k(found, facts, tagged, k, _passage_scores)
+    match_type = F.when(F.col("mark") >= _REF, "canonical_ref").when(F.col("mark") >= _WIDE, "alias_keyword").otherwise("keyword")
+    scored = best.select("query_id", "chunk_id", match_type.alias("match_type"), "score", "rank")
+    if semantic is None:
+        return scored
+    near = semantic.filter(F.col("score") >= rules.SEMANTIC_THRESHOLD)
+    lexical = near.join(found, "chunk_id").join(asked, ["query_id", "term"], "left_semi").select("query_id", "chunk_id")
+    extra = near.join(lexical, ["query_id", "chunk_id"], "left_anti").select(
+        "query_id", "chunk_id", F.lit("semantic").alias("match_type"), F.round(F.col("score") * 0.9, 6).alias("score")
     )
-    if semantic is not None:
-        extra = semantic.filter(F.col("score") >= rules.SEMANTIC_THRESHOLD).join(
-            scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"
-        )
-        scored = scored.unionByName(
-            extra.select(
-                "query_id", "chunk_id", F.lit("semantic").alias("match_type"),
-                F.round(F.col("score") * 0.9, 6).alias("score"),
-            )
-        )
-    return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return top_per_key(scored.drop("rank").unionByName(extra), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def hit_rate(queries: DataFrame, results: DataFrame, min_results: int = 1) -> DataFrame:
@@ -190,7 +179,7 @@ def term_frequency_score(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
         .join(sizes, "query_id")
         .select(
             "query_id", "chunk_id",
-            F.round(F.least(F.lit(1.0), F.col("n") / F.col("words") / F.col("n_keywords") * 20), 6).alias("score"),
+            half_up_column(F.least(F.lit(1.0), F.col("n") / F.col("words") / F.col("n_keywords") * 20)).alias("score"),
         )
     )
 
@@ -201,10 +190,10 @@ def ranked_fallback(chunks: DataFrame, keywords: DataFrame, queries: DataFrame,
     A query with fewer than ``k`` hits is filled up with the first chunks, for
     which twice ``k`` chunks by id are enough.
     """
-    present = (
-        term_counts(stage_table(postings(chunks)), keywords).join(keywords, "term")
-        .groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    )
+    found = term_counts(stage_table(postings(chunks)), keywords).select("chunk_id", "term", F.lit(1).alias("impact"))
+    asked = keywords.distinct().select("query_id", "term", F.lit(1).alias("weight"), F.lit(1).alias("mark"), F.lit(0).alias("size"))
+    facts = chunks.select("chunk_id", F.array().cast("array<double>").alias("facts"))
+    present = bounded_top_k(found, facts, asked, k, _capped_hits).select("query_id", "chunk_id", F.col("total").cast("bigint").alias("hits"))
     first = top_overall(chunks.select("chunk_id"), [F.asc("chunk_id")], 2 * k).agg(
         F.collect_list("chunk_id").alias("ids")
     )
@@ -257,15 +246,27 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, k1: float = 1.2, b:
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
     sized = chunks.select("chunk_id", words(F.col("content")).alias("w")).withColumn("length", F.size("w"))
-    counts = (
+    counts = stage_table(
         sized.select("chunk_id", "length", F.explode("w").alias("term"))
         .join(terms, "term", "left_semi")
         .groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # one row
     frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(frequent, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", idf.alias("idf"), "mean")
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = counts.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * tf), 6).alias("score"))
-    return top_per_key(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    asked = asked.join(frequent, "term").crossJoin(F.broadcast(whole)).select(
+        "query_id", "term", idf.alias("weight"), F.lit(1).alias("mark"), F.lit(0).alias("size")
+    )
+    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    found = counts.crossJoin(F.broadcast(whole)).select("chunk_id", "term", impact.alias("impact"))
+    facts = chunks.select("chunk_id", F.array().cast("array<double>").alias("facts"))
+    return bounded_top_k(found, facts, asked, k, _sums).select("query_id", "chunk_id", "score", "rank")
+
+
+def _capped_hits(total, mark, facts, size):
+    # beyond five hits the score stays the same
+    return np.minimum(total, 5.0)
+
+
+def _sums(total, mark, facts, size):
+    return half_up(total)

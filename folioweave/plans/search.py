@@ -11,6 +11,7 @@ from folioweave.operators import fusion, interactions as ix, lexical
 from folioweave.operators import query_features as qf
 from folioweave.operators import vector_index as vi
 from folioweave.operators import vector_search as vs
+from folioweave.operators.bounded_search import half_up_column
 from folioweave.operators.hierarchy import references
 from folioweave.operators.ranking import top_per_key
 from folioweave.plans.behaviour import weekly_interest
@@ -168,7 +169,7 @@ def r07(spark, sf):
         F.lit("canonical_ref"), F.col("confidence"), F.col("degraded"), F.coalesce("tf", F.lit(0)),
         F.col("n_terms"), F.col("tokens"),
     )
-    return joined.select("query_id", "chunk_id", F.round(score, 6).alias("score"))
+    return joined.select("query_id", "chunk_id", half_up_column(score).alias("score"))
 
 
 @query("r08_multi_pass_search", f"WITH {SEARCH} SELECT query_id, chunk_id, match_type, score, rank FROM sr")

@@ -32,7 +32,7 @@ def local_session(cores: int | str = "*", app: str = "folioweave") -> SparkSessi
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
 

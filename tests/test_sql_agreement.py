@@ -14,9 +14,13 @@ NO_SQL = {
 }
 
 
-@pytest.fixture(scope="module")
-def con(sf_dir):
-    return check.connect(sf_dir)
+@pytest.fixture
+def con(sf_dir, tmp_path):
+    """A connection of its own for each query: an error in one leaves the others alone."""
+    connection = check.connect(sf_dir)
+    connection.execute(f"SET memory_limit = '3GB'; SET threads = 4; SET temp_directory = '{tmp_path}'")
+    yield connection
+    connection.close()
 
 
 def test_only_known_queries_lack_sql():
