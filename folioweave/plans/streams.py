@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as tx
 from folioweave.operators import query_features as qf
 from folioweave.plans.corpus import TOPIC_CASE, TOPICS
-from folioweave.plans.fixtures import AS_OF_SQL, EV, table
+from folioweave.plans.fixtures import AS_OF, AS_OF_SQL, EV, table
 from folioweave.plans.registry import query
 from folioweave.plans.search import DOMAINS, OVERRIDES, SESSION
 from folioweave.streaming import jobs
 
 
+#: After the last window over the events has closed.
+STREAM_END = "2100-01-01 00:00:00"
+
+
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     item = F.get_json_object("props", "$.k").cast("int")
@@ -24,8 +28,8 @@ def event_stream(spark, sf):
 
 @query("x01_intake", f"WITH {EV} SELECT action, count(*) AS n, count(DISTINCT event_id) AS ids FROM ev GROUP BY 1")
 def x01(spark, sf):
-    path = jobs.drain(jobs.intake(event_stream(spark, sf)), "append", jobs.append_batch)
-    return spark.read.parquet(path).groupBy("action").agg(
+    accepted, _ = jobs.take_in(event_stream(spark, sf), table(spark, sf, "events"))
+    return accepted.groupBy("action").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids")
     )
 
@@ -34,22 +38,22 @@ def x01(spark, sf):
 r AS (SELECT user_id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY ts, event_id) AS recent FROM (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30) GROUP BY 1),
 l AS (SELECT user_id, arg_max(action, (ts, event_id)) AS last_action FROM ev GROUP BY 1) SELECT user_id, last_action, total, counters, recent FROM k JOIN r USING (user_id) JOIN l USING (user_id)""")
 def x02(spark, sf):
-    path = jobs.drain(jobs.running_profiles(event_stream(spark, sf)), "update", jobs.replace_batch)
+    path = jobs.drain(jobs.running_profiles(event_stream(spark, sf)), "update", jobs.update_batch)
     return jobs.latest_per_key(spark, path, ["user_id"])
 
 
 @query("x03_sessions", f"""WITH {EV}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS s FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 24 HOUR) AS end_us, count(*) AS events FROM n GROUP BY user_id, no""")
 def x03(spark, sf):
-    path = jobs.drain(jobs.sessions(event_stream(spark, sf)), "complete", jobs.replace_batch)
-    return jobs.newest(spark, path)
+    path = jobs.drain_windows(jobs.sessions, event_stream(spark, sf), STREAM_END)
+    return spark.read.parquet(path).drop("epoch")
 
 
 @query("x04_session_preferences", f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, topic, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev),
 f AS (SELECT user_id, i, [topic] AS p FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, CASE WHEN list_contains(list_slice(f.p, 1, 3), o.topic) THEN f.p ELSE list_slice([o.topic] || f.p, 1, 10) END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
 SELECT user_id, least(max(i), 50) AS turns, array_to_string(arg_max(p, i), ',') AS preferences FROM f GROUP BY 1""")
 def x04(spark, sf):
-    path = jobs.drain(jobs.session_preferences(event_stream(spark, sf)), "update", jobs.replace_batch)
+    path = jobs.drain(jobs.session_preferences(event_stream(spark, sf)), "update", jobs.update_batch)
     return jobs.latest_per_key(spark, path, ["user_id"])
 
 
@@ -57,23 +61,23 @@ def x04(spark, sf):
 def x05(spark, sf):
     timed = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     cached = timed.withColumn("expires_at", F.expr("ts + make_interval(0, 0, 0, 0, item)"))
-    path = jobs.drain(jobs.expiring_context(cached), "complete", jobs.replace_batch)
-    alive = jobs.newest(spark, path).filter(F.col("expires_at") > F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    return alive.select("user_id", "item", F.unix_micros("expires_at").alias("expires_us"))
+    path = jobs.drain(jobs.expiring_context(cached), "update", jobs.update_batch)
+    alive = F.col("expires_us") > F.unix_micros(F.lit(AS_OF).cast("timestamp"))
+    return jobs.latest_per_key(spark, path, ["user_id"]).filter(alive).select("user_id", "item", "expires_us")
 
 
 @query("x06_spaced_reflections", f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev),
 f AS (SELECT user_id, i, ts AS last, 1 AS ok FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, CASE WHEN o.ts - f.last >= INTERVAL 24 HOUR THEN o.ts ELSE f.last END, CASE WHEN o.ts - f.last >= INTERVAL 24 HOUR THEN 1 ELSE 0 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
 SELECT user_id, CAST(sum(ok) AS BIGINT) AS allowed, CAST(sum(1 - ok) AS BIGINT) AS refused FROM f GROUP BY 1""")
 def x06(spark, sf):
-    path = jobs.drain(jobs.spaced_reflections(event_stream(spark, sf), 86400.0), "update", jobs.replace_batch)
+    path = jobs.drain(jobs.spaced_reflections(event_stream(spark, sf), 86400.0), "update", jobs.update_batch)
     return jobs.latest_per_key(spark, path, ["user_id"])
 
 
 @query("x07_popularity", f"WITH {EV} SELECT item, action, count(*) AS n FROM ev GROUP BY 1, 2")
 def x07(spark, sf):
-    path = jobs.drain(jobs.popularity(event_stream(spark, sf)), "update", jobs.upsert_counts)
-    return jobs.newest(spark, path).select("item", "action", "n")
+    path = jobs.drain(jobs.popularity(event_stream(spark, sf)), "update", jobs.merge_counts(["item", "action"]))
+    return jobs.merged_counts(spark, path, ["item", "action"])
 
 
 @query("x08_incremental_corpus", f"SELECT {TOPIC_CASE} AS topic, count(*) AS docs, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1")
@@ -96,8 +100,8 @@ def x08_status(spark, sf):
 
 @query("x09_sliding_topics", f"WITH {EV}, x AS (SELECT topic, date_trunc('day', ts) - to_days(CAST(d AS INTEGER)) AS s FROM ev, range(14) r(d)) SELECT epoch_us(s) AS start_us, topic, count(*) AS n FROM x GROUP BY 1, 2")
 def x09(spark, sf):
-    path = jobs.drain(jobs.sliding_topics(event_stream(spark, sf)), "complete", jobs.replace_batch)
-    return jobs.newest(spark, path)
+    path = jobs.drain_windows(jobs.sliding_topics, event_stream(spark, sf), STREAM_END)
+    return spark.read.parquet(path).drop("epoch")
 
 
 @query("x10_domain_continuity", f"""WITH RECURSIVE {SESSION}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM se),
@@ -109,5 +113,5 @@ def x10(spark, sf):
         F.col("conv_id").alias("session_id"), "turn", F.size(F.split("text", " ")).alias("words"),
         "domain", "domain_hits", "primary",
     )
-    path = jobs.drain(jobs.domain_continuity(scored), "update", jobs.replace_batch)
+    path = jobs.drain(jobs.domain_continuity(scored), "update", jobs.update_batch)
     return jobs.latest_per_key(spark, path, ["session_id"])

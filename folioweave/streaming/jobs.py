@@ -7,26 +7,28 @@ failed or repeated run resumes instead of starting over.
 
 from __future__ import annotations
 
-import json
+import contextlib
 import uuid
-from bisect import insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folioweave.session import shared_folder
-from folioweave.sources.stores import upsert
+from folioweave.session import new_folder, remove_folders, shared_folder
+from folioweave.streaming.ordered import (
+    ContextStep,
+    PreferenceStep,
+    ProfileStep,
+    SpacingStep,
+    keyed_in_order,
+)
 
-# State bounds.
-RECENT_QUERIES = 30
-HISTORY_TURNS = 50
-PREFERENCES = 10
-PREFERENCE_WINDOW = 3
 SESSION_GAP = "24 hours"
 LATENESS = "1 hour"
+#: Batches of counters between two compactions.
+COMPACT_EVERY = 16
+#: Keyed state lives in a store on the executors' disks, with a log of changes in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str, files_per_trigger: int = 100) -> DataFrame:
@@ -39,13 +41,28 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str, files_pe
     )
 
 
+@contextlib.contextmanager
+def _state_store(spark: SparkSession):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(
     stream: DataFrame,
     mode: str,
     sink: Callable[[DataFrame, int, str], None],
     folder: str | None = None,
+    progress: list | None = None,
 ) -> str:
-    """Process everything available into ``folder`` and return its path."""
+    """Process everything available into ``folder`` and return its path.
+
+    ``progress`` receives the reports of the batches, with the sizes of their state.
+    """
     spark = stream.sparkSession
     target = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = (
@@ -54,8 +71,11 @@ def drain(
         .trigger(availableNow=True)
         .foreachBatch(lambda batch, epoch: sink(batch, epoch, f"{target}/rows"))
     )
-    query = writer.start()
-    query.awaitTermination()
+    with _state_store(spark):
+        query = writer.start()
+        query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return f"{target}/rows"
 
 
@@ -64,18 +84,11 @@ def append_batch(batch: DataFrame, epoch: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def replace_batch(batch: DataFrame, epoch: int, path: str) -> None:
-    """Complete results: the newest epoch is the answer."""
+def update_batch(batch: DataFrame, epoch: int, path: str) -> None:
+    """Changed rows of an epoch; readers take the newest row of a key."""
     batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the last epoch written."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("epoch").alias("epoch"))
-    return rows.join(F.broadcast(last), "epoch", "left_semi").drop("epoch")
-
-
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Update-mode results: the value of the newest epoch per key."""
     rows = spark.read.parquet(path)
@@ -95,187 +108,144 @@ def intake(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def late_rows(events: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Rows that were too late for the intake, for the side table."""
-    return events.join(accepted.select("event_id"), "event_id", "left_anti")
-
-
-def sessions(events: DataFrame, gap: str = SESSION_GAP) -> DataFrame:
-    """Sessions that end after a period without activity."""
-    timed = with_event_time(events).withWatermark("ts", LATENESS)
-    return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(
-        "user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events"
-    )
-
-
-def popularity(events: DataFrame) -> DataFrame:
-    return events.groupBy("item", "action").agg(F.count(F.lit(1)).alias("n"))
-
-
-def upsert_counts(batch: DataFrame, epoch: int, path: str) -> None:
-    """Merge updated counters into a versioned table (one version per epoch)."""
-    spark = batch.sparkSession
-    fresh = batch.withColumn("version", F.lit(epoch))
-    if epoch == 0:
-        merged = fresh
-    else:
-        old = spark.read.parquet(f"{path}/epoch={epoch - 1}").select(*fresh.columns)
-        merged = upsert(old, fresh, ["item", "action"], ["version"])
-    merged.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-
-def sliding_topics(events: DataFrame, length: str = "14 days", slide: str = "1 day") -> DataFrame:
-    """Topic counts per sliding window."""
-    timed = with_event_time(events).withWatermark("ts", LATENESS)
-    return timed.groupBy(F.window("ts", length, slide).alias("w"), "topic").agg(F.count(F.lit(1)).alias("n")).select(
-        F.unix_micros("w.start").alias("start_us"), "topic", "n"
-    )
-
+    """Rows that were too late for the intake, for the side table.
 
-def expiring_context(events: DataFrame) -> DataFrame:
-    """Latest cached context per session with the time it expires."""
-    return events.groupBy("user_id").agg(
-        F.max_by(F.struct("item", "expires_at"), F.struct("ts", "event_id")).alias("c")
-    ).select("user_id", F.col("c.item").alias("item"), F.col("c.expires_at").alias("expires_at"))
-
-
-def _ordered(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """Rows of one key in this micro-batch, whose size the trigger bounds."""
-    frames = list(parts)
-    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    return rows.sort_values(by, kind="stable")
+    A repeated event has its first occurrence among the accepted ones; what has none came late.
+    """
+    return events.join(accepted.select("event_id"), "event_id", "left_anti")
 
 
-def _stateful(events: DataFrame, key: str, order: list[str], output: str, step) -> DataFrame:
-    """Keyed state kept as one small JSON text; ``step(state, row)`` updates it.
+def take_in(events: DataFrame, arrived: DataFrame, folder: str | None = None, lateness: str = LATENESS) -> tuple[DataFrame, DataFrame]:
+    """Run the intake; the accepted rows, and the late ones as a table of their own beside them.
 
-    ``step.finish(key, state)`` gives the output row of an update.
+    ``arrived`` reads the files of the stream ``events`` as a table.
     """
+    spark = events.sparkSession
+    path = drain(intake(events, lateness), "append", append_batch, folder)
+    accepted = spark.read.parquet(path)
+    side = f"{path.removesuffix('/rows')}/late"
+    late_rows(arrived, accepted).write.mode("overwrite").parquet(side)
+    return accepted, spark.read.parquet(side)
 
-    def run(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = json.loads(state.get[0]) if state.exists else step.start()
-        for row in _ordered(parts, order).itertuples(index=False):
-            step.apply(current, row)
-        state.update((json.dumps(current),))
-        yield pd.DataFrame([step.finish(group[0], current)])
-
-    return events.groupBy(key).applyInPandasWithState(
-        run, output, "state string", "update", GroupStateTimeout.NoTimeout
-    )
 
+def drain_windows(
+    job: Callable[[DataFrame, str], DataFrame], events: DataFrame, end: str, folder: str | None = None, progress: list | None = None,
+) -> str:
+    """Run a windowed ``job`` in append mode over a stream that has an end, and return its path.
 
-class ProfileStep:
-    """Counters per topic, last action and the last queries of a user.
-
-    What is recent is kept with its time and event id, so files may arrive in any order.
+    Windows in append mode appear when the watermark has passed them.  A stream that
+    has ended never moves its watermark again, so its last windows would stay open.
+    When everything is read, a row that has only its time, ``end``, arrives from a
+    second source and closes them.
     """
+    spark = events.sparkSession
+    closing, schema = new_folder(spark, "closing"), events.schema
+    spark.createDataFrame([], schema).write.parquet(closing)
+    whole = job(events.unionByName(spark.readStream.schema(schema).parquet(closing)), end)
+    target = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    drain(whole, "append", append_batch, target, progress)
+    row = [(F.lit(end) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*row).write.mode("append").parquet(closing)
+    return drain(whole, "append", append_batch, target, progress)
 
-    @staticmethod
-    def start():
-        return {"counts": {}, "last": [], "recent": []}
 
-    @staticmethod
-    def apply(state, row):
-        topic, at = str(row.topic), [pd.Timestamp(row.ts).value, int(row.event_id)]
-        state["counts"][topic] = state["counts"].get(topic, 0) + 1
-        state["last"] = max(state["last"], [*at, row.action])
-        recent = state["recent"]
-        if len(recent) < RECENT_QUERIES or [*at, int(row.item)] > recent[0]:
-            insort(recent, [*at, int(row.item)])
-            del recent[:-RECENT_QUERIES]
+def _timed(events: DataFrame, end: str | None) -> DataFrame:
+    """With a watermark, and without the closing row; another filter than one on the time would be moved below the watermark."""
+    timed = with_event_time(events).withWatermark("ts", LATENESS)
+    return timed if end is None else timed.where(F.col("ts") < F.lit(end).cast("timestamp"))
 
-    @staticmethod
-    def finish(key, state):
-        counts = sorted(state["counts"].items(), key=lambda kv: int(kv[0]))
-        return {
-            "user_id": key, "last_action": state["last"][2], "total": sum(state["counts"].values()),
-            "counters": ",".join(f"{k}={v}" for k, v in counts), "recent": ",".join(str(r[2]) for r in state["recent"]),
-        }
 
+def sessions(events: DataFrame, end: str | None = None, gap: str = SESSION_GAP) -> DataFrame:
+    """Sessions that end after a period without activity, for append mode: state holds open sessions only."""
+    timed = _timed(events, end)
+    return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(
+        "user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events"
+    )
 
-class PreferenceStep:
-    """Turn count (bounded history) and the preference list of a session."""
 
-    @staticmethod
-    def start():
-        return {"turns": 0, "preferences": []}
+def popularity(events: DataFrame) -> DataFrame:
+    return events.groupBy("item", "action").agg(F.count(F.lit(1)).alias("n"))
 
-    @staticmethod
-    def apply(state, row):
-        state["turns"] = min(state["turns"] + 1, HISTORY_TURNS)
-        topic = int(row.topic)
-        if topic not in state["preferences"][:PREFERENCE_WINDOW]:
-            state["preferences"] = ([topic] + state["preferences"])[:PREFERENCES]
 
-    @staticmethod
-    def finish(key, state):
-        return {"user_id": key, "turns": state["turns"], "preferences": ",".join(map(str, state["preferences"]))}
+def merge_counts(keys: list[str], every: int = COMPACT_EVERY) -> Callable[[DataFrame, int, str], None]:
+    """A sink that writes the changed counters of a batch and merges them now and then.
 
+    A batch costs what it changed.  Every ``every`` batches the newest value of each
+    key becomes the new base, and the files before it are deleted.
+    """
 
-class SpacingStep:
-    """How often an expensive job may run: at least ``gap`` seconds apart."""
+    def sink(batch: DataFrame, epoch: int, path: str) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if (epoch + 1) % every == 0:
+            merged = merged_counts(spark, path, keys, with_version=True)
+            merged.write.mode("overwrite").parquet(f"{path.removesuffix('/rows')}/base/epoch={epoch}")
+            first = max(0, epoch + 1 - every)
+            remove_folders(spark, *[f"{path}/epoch={e}" for e in range(first, epoch)], f"{path.removesuffix('/rows')}/base/epoch={first - 1}")
 
-    def __init__(self, gap: float):
-        self.gap = gap
+    return sink
 
-    @staticmethod
-    def start():
-        return {"last": None, "allowed": 0, "refused": 0}
 
-    def apply(self, state, row):
-        now = pd.Timestamp(row.ts).value / 1e9
-        if state["last"] is None or now - state["last"] >= self.gap:
-            state["last"], state["allowed"] = now, state["allowed"] + 1
-        else:
-            state["refused"] += 1
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
-    @staticmethod
-    def finish(key, state):
-        return {"user_id": key, "allowed": state["allowed"], "refused": state["refused"]}
 
+def merged_counts(spark: SparkSession, path: str, keys: list[str], with_version: bool = False) -> DataFrame:
+    """The newest value of every key in the base and the batches after it."""
+    rows = spark.read.parquet(path).drop("epoch")
+    base = f"{path.removesuffix('/rows')}/base"
+    if _exists(spark, base):
+        rows = rows.unionByName(spark.read.parquet(base).drop("epoch"))
+    values = [c for c in rows.columns if c not in (*keys, "version")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("_v"), F.max("version").alias("version"))
+    kept = newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values], "version")
+    return kept if with_version else kept.drop("version")
 
-class ContinuityStep:
-    """Domain a session is about; short weak turns inherit it."""
 
-    @staticmethod
-    def start():
-        return {"domain": None, "turn": -1}
+def sliding_topics(events: DataFrame, end: str | None = None, length: str = "14 days", slide: str = "1 day") -> DataFrame:
+    """Topic counts per sliding window, for append mode: state holds open windows only."""
+    timed = _timed(events, end)
+    return timed.groupBy(F.window("ts", length, slide).alias("w"), "topic").agg(F.count(F.lit(1)).alias("n")).select(
+        F.unix_micros("w.start").alias("start_us"), "topic", "n"
+    )
 
-    @staticmethod
-    def apply(state, row):
-        state["turn"] = int(row.turn)
-        if row.domain == "general":
-            return
-        firm = row.words > 15 or row.domain_hits >= 2 or bool(row.primary)
-        if state["domain"] is None or firm:
-            state["domain"] = row.domain
 
-    @staticmethod
-    def finish(key, state):
-        return {"session_id": key, "turn": state["turn"], "session_domain": state["domain"] or "general"}
+def expiring_context(events: DataFrame) -> DataFrame:
+    """Latest cached context per session with the time it expires; a timer then deletes it."""
+    return keyed_in_order(events, "user_id", ["item"], "user_id bigint, item int, expires_us bigint", ContextStep(), LATENESS, F.unix_micros("expires_at"))
 
 
 def running_profiles(events: DataFrame) -> DataFrame:
-    return _stateful(
-        events, "user_id", ["ts", "event_id"],
-        "user_id bigint, last_action string, total bigint, counters string, recent string", ProfileStep(),
+    return keyed_in_order(
+        events, "user_id", ["topic", "action", "item"],
+        "user_id bigint, last_action string, total bigint, counters string, recent string", ProfileStep(), LATENESS,
     )
 
 
 def session_preferences(events: DataFrame) -> DataFrame:
-    return _stateful(
-        events, "user_id", ["ts", "event_id"], "user_id bigint, turns bigint, preferences string", PreferenceStep()
-    )
+    return keyed_in_order(events, "user_id", ["topic"], "user_id bigint, turns bigint, preferences string", PreferenceStep(), LATENESS)
 
 
 def spaced_reflections(events: DataFrame, gap_seconds: float = 60.0) -> DataFrame:
-    return _stateful(
-        events, "user_id", ["ts", "event_id"], "user_id bigint, allowed bigint, refused bigint", SpacingStep(gap_seconds)
-    )
+    return keyed_in_order(events, "user_id", [], "user_id bigint, allowed bigint, refused bigint", SpacingStep(gap_seconds), LATENESS)
 
 
 def domain_continuity(turns: DataFrame) -> DataFrame:
-    """``turns``: ``session_id, turn, words, domain, domain_hits, primary``."""
-    return _stateful(turns, "session_id", ["turn"], "session_id bigint, turn bigint, session_domain string", ContinuityStep())
+    """Domain a session is about; short weak turns inherit it.
+
+    ``turns``: ``session_id, turn, words, domain, domain_hits, primary``.  A firm turn
+    decides for all weak ones after it, and the first named turn where none is firm.
+    So the first named and the last firm turn are the whole state, in whatever order
+    turns arrive.
+    """
+    named = F.col("domain") != "general"
+    firm = named & ((F.col("words") > 15) | (F.col("domain_hits") >= 2) | F.col("primary").cast("boolean"))
+    when = lambda c: F.when(c, F.col("turn"))
+    return turns.groupBy("session_id").agg(
+        F.max("turn").cast("bigint").alias("turn"),
+        F.coalesce(F.max_by("domain", when(firm)), F.min_by("domain", when(named)), F.lit("general")).alias("session_domain"),
+    )
 
 
 def incremental_corpus(spark: SparkSession, folder: str, schema, pattern: str, transform, target: str | None = None) -> DataFrame:
