@@ -77,8 +77,9 @@ FROM d JOIN b USING (h)
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, folder).select(
-        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to").cast("bigint").alias("refers_to"),
+        # the record of a page without an id is called null
+        F.expr("try_cast(record_id as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers_to as bigint)").alias("refers_to"),
     )
 
 

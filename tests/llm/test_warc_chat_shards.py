@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioweave.llm import chat, sharding, warc
+from folioweave.llm.catalog import all_queries
 
 
 def pages(spark):
@@ -147,3 +148,12 @@ def test_one_id_spreads_over_buckets(spark, tmp_path, monkeypatch):
     # one bucket would hold all 400 rows of the null id without a break of two buckets' own rows
     nulls = [sum(i is None for i in order[at : at + 75]) for at in range(0, 600, 75)]
     assert all(25 <= n <= 70 for n in nulls)
+
+
+def test_archive_query_on_pages_without_ids(spark, tmp_path):
+    rows = [(1, "u", "<p>a</p>"), (None, "v", "<p>b</p>"), (None, None, None), (3, "w", "<p>a</p>"), (3, "w", "<p>a</p>"), (None, "x", "<p>a</p>")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = all_queries()["op6_range_warc"](spark, str(tmp_path)).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == Counter(
+        [(1, "revisit", 3), (None, "response", None), (None, "response", None), (3, "response", None), (3, "response", None), (None, "revisit", 3)]
+    )
