@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.common import map_slices
 
-#: Words whose encoding a task remembers; beyond that it starts afresh.
-REMEMBERED = 60_000
+#: Bytes of a generation of remembered words, two of which a worker holds, and what one costs besides its letters.
+REMEMBERED, ENTRY = 96 << 20, 280
+#: Pairs of tokens whose test a worker remembers.
+PAIRS = 400_000
 _SELF = 0xFFFF_FFFF
+#: A merge is one number: its rank, and below that the new token.
+_TOKEN = (1 << 20) - 1
 _LOADED: dict[str, "WordBpe"] = {}
 
 
@@ -34,17 +38,20 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-level BPE vocabulary file: normaliser, word pattern, merges and special tokens."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, remembered: int = REMEMBERED):
         spec = json.loads(blob)
         model = spec["model"]
+        self.remembered, self.used = remembered, 0
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in (self.ids | self.special).items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.by_text = {str(i): t for i, t in self.texts.items()}
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+            self.merges[self.ids[left], self.ids[right]] = rank << 20 | self.ids[left + right]
+        self.no_merge = len(self.merges) << 20
         steps = {s["type"]: s for s in spec["pre_tokenizer"]["pretokenizers"]}
         self.pattern = regex.compile(steps["Split"]["pattern"]["Regex"])
         self.specials = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -58,6 +65,7 @@ class WordBpe:
             node[""] = token
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.spellings: dict[int, list[int]] = {}
         self.fits: dict[int, bool] = {}
 
     # -- text to words ---------------------------------------------------------
@@ -114,43 +122,48 @@ class WordBpe:
         return self._merge_short(symbols) if len(symbols) <= 24 else self._merge_long(symbols)
 
     def _merge_short(self, symbols: list[int]) -> list[int]:
-        ids, merges, none = list(symbols), self.merges, (len(self.merges), -1)
-        found = [merges.get(pair, none) for pair in zip(ids, ids[1:])]
+        ids, get, none = list(symbols), self.merges.get, self.no_merge
+        found = [get(pair, none) for pair in zip(ids, ids[1:])]
         while found:
             best = min(found)
-            if best is none:
+            if best == none:
                 break
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
-            del found[i]
+            new = ids[i] = best & _TOKEN
+            del found[i], ids[i + 1]
             if i:
-                found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+                found[i - 1] = get((ids[i - 1], new), none)
             if i < len(found):
-                found[i] = merges.get((ids[i], ids[i + 1]), none)
+                found[i] = get((new, ids[i + 1]), none)
         return ids
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """The same on a linked list with a heap, for long words."""
         ids, after = list(symbols), list(range(1, len(symbols) + 1))
         before, alive = list(range(-1, len(symbols) - 1)), [True] * len(symbols)
-        heap = [(m[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := self.merges.get((a, b)))]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := self.merges.get((a, b))) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or ids[i] != a or j >= len(ids) or ids[j] != b:
                 continue
-            ids[i] = self.merges[a, b][1]
+            ids[i] = self.merges[a, b] & _TOKEN
             alive[j], after[i] = False, after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < len(ids) and (m := self.merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right]))
+                if left >= 0 and right < len(ids) and (m := self.merges.get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (m, left, ids[left], ids[right]))
         return [t for t, on in zip(ids, alive) if on]
 
     def _spelled(self, token: int) -> list[int]:
-        text = self.texts[token]
+        """The single symbols of a token; all tokens together are as large as the vocabulary."""
+        if token not in self.spellings:
+            self.spellings[token] = self._spell(self.texts[token])
+        return self.spellings[token]
+
+    def _spell(self, text: str) -> list[int]:
         stem, ending = (text[: -len(self.end)], True) if text.endswith(self.end) and len(text) > len(self.end) else (text, False)
         letters = list(stem)
         if ending:
@@ -200,11 +213,11 @@ class WordBpe:
         """Encode words that are not remembered yet.
 
         Two generations of words are kept: when the younger is full the older one
-        goes, so that frequent words stay.
+        goes, so that frequent words stay.  Both are bounded in bytes.
         """
-        if len(self.words) > REMEMBERED:
-            self.words, self.older = {}, self.words
-        if len(self.fits) > REMEMBERED:
+        if self.used > self.remembered:
+            self.words, self.older, self.used = {}, self.words, 0
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         known, older = self.words, self.older
         fresh = words - known.keys()
@@ -219,6 +232,8 @@ class WordBpe:
         for word in fresh:
             if word[0] == " ":
                 known[word] = str(self.special[word[1:]])
+        # a letter of a word, and what it may become: a few digits
+        self.used += sum(ENTRY + 8 * len(w) for w in fresh) + sum(ENTRY + 8 * len(p) for p in missing)
 
     def encode(self, texts: list[str | None]) -> list[str]:
         """Ids in decimal, joined by one space; null and empty texts give the empty string."""
@@ -231,22 +246,22 @@ class WordBpe:
         return " ".join(map(self.texts.__getitem__, ids))
 
 
-def loaded(blob: bytes) -> WordBpe:
+def loaded(blob: bytes, remembered: int = REMEMBERED) -> WordBpe:
     """The vocabulary, parsed once per worker process."""
-    key = hashlib.sha256(blob).hexdigest()
+    key = f"{hashlib.sha256(blob).hexdigest()} {remembered}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordBpe(blob)
+        _LOADED[key] = WordBpe(blob, remembered)
     return _LOADED[key]
 
 
-def _map(docs: DataFrame, vocabulary: str, schema: str, keep: list[str], columns) -> DataFrame:
+def _map(docs: DataFrame, vocabulary: str, schema: str, keep: list[str], columns, remembered: int = REMEMBERED) -> DataFrame:
     """Apply ``columns(model, last column's values)``; the file goes to the tasks as one broadcast."""
     with open(vocabulary, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def start():
-        model = loaded(shared.value)
+        model = loaded(shared.value, remembered)
 
         def step(piece):
             made = columns(model, piece.column(len(keep)).to_pylist())
@@ -285,17 +300,20 @@ def decode_ids(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> D
     return _map(chosen, vocabulary, f"id {kind}, text string", ["id"], columns).withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED,
+) -> DataFrame:
     """``(id_col, n_tokens, ids_sha256, decoded_sha256)`` per row, and ``ids`` if asked for.
 
     Each text is encoded and its ids are decoded in the same task; the digests are
-    of the decimal ids joined by one space and of the decoded text.
+    of the decimal ids joined by one space and of the decoded text.  ``remembered``
+    is the memory in bytes for one generation of a worker's words.
     """
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def columns(model, texts):
-        by_text = {str(i): t for i, t in model.texts.items()}.__getitem__
+        by_text = model.by_text.__getitem__
         counts, digests, decoded, ids = [], [], [], []
         for line in model.encode(texts):
             parts = line.split()
@@ -307,4 +325,4 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         return made | {"ids": ids} if with_ids else made
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return _map(chosen, vocabulary, schema, ["id"], columns).withColumnRenamed("id", id_col)
+    return _map(chosen, vocabulary, schema, ["id"], columns, remembered).withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ def cases():
 
 
 def test_ids_and_decoding_equal_the_library(model, library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 700)  # forget often
+    monkeypatch.setattr(model, "remembered", 700 * bpe.ENTRY)  # forget often
     for at in range(0, len(cases()), 256):
         texts = cases()[at : at + 256]
         for text, line in zip(texts, model.encode(texts)):
