@@ -10,28 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioweave.llm import bpe, decontaminate, quality_rules, simhash
-from folioweave.llm.common import table, word_bpe_path
+from folioweave.llm.common import release_memory, table, word_bpe_path
 from folioweave.session import new_folder
 
+#: Bytes of words that a worker remembers when it encodes; the workers of earlier stages still live.
+REMEMBERED = 20 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that pass the base rules and the classifier fitted on ``labels``."""
+    release_memory()  # what earlier runs in this driver have freed
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of every group of near copies."""
+    release_memory()
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents without a passage of ``benchmark``."""
+    release_memory()
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
-    return bpe.round_trip(docs, word_bpe_path(), with_ids=True)
+    release_memory()
+    return bpe.round_trip(docs, word_bpe_path(), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [
