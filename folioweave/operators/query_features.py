@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as tx
 from folioweave.operators.hierarchy import references
 from folioweave.rules import queries as rules
+from folioweave.session import stage_table
 
 TOKEN_BREAK = r"[\s,;.:()\[\]]+"
 
@@ -195,25 +196,42 @@ def related_first(results: DataFrame, related: DataFrame, floor: float = 0.55) -
     )
 
 
+#: Characters of an opening by which it is looked up in texts.
+ANCHOR = 8
+
+
 def prefix_counts(queries: DataFrame, length: int = 30, read: int = 60) -> DataFrame:
     """How many texts contain the opening of each query, at any place and in any case.
 
     The opening is the first ``read`` characters without full stops, trimmed and cut
-    to ``length``.  A text contains it if one of its windows of that length equals
-    it, so the search is an equality join; windows are made for the opening lengths
-    that occur, at most ``length`` + 1 of them, once for each distinct text.
+    to ``length``.  Every place of a distinct text gives one row: the ANCHOR characters
+    there, which meet the beginnings of the openings by equality, and as many more
+    as an opening can have, on which a hit is verified.  Openings shorter than that
+    are whole words at most; the windows of their few lengths are compared as they are.
     """
     low = F.lower("text")
     opening = F.substring(F.trim(F.replace(F.substring(low, 1, read), F.lit("."), F.lit(""))), 1, length)
     keyed = queries.withColumn("opening", opening)
-    sizes = sorted(r["n"] for r in keyed.select(F.length("opening").alias("n")).distinct().where("n is not null").collect())
+    wanted = stage_table(keyed.select("opening").where("opening is not null").distinct())
+    texts = queries.where("text is not null").groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("copies"))
+    texts = stage_table(texts.withColumn("text_no", F.monotonically_increasing_id()))
+
+    long = wanted.where(F.length("opening") >= ANCHOR).withColumn("anchor", F.substring("opening", 1, ANCHOR))
+    places = F.sequence(F.lit(1), F.length("low") - ANCHOR + 1)
+    tails = F.transform(places, lambda at: F.substring(F.col("low"), at, F.lit(max(length, ANCHOR))))
+    tailed = texts.where(F.length("low") >= ANCHOR).select("text_no", "copies", F.explode(tails).alias("tail"))
+    anchored = tailed.withColumn("anchor", F.substring("tail", 1, ANCHOR))
+    found = anchored.join(long, "anchor").where(F.startswith("tail", "opening")).select("text_no", "copies", "opening").distinct()
+
+    short = wanted.where(F.length("opening") < ANCHOR)
+    sizes = sorted(r["n"] for r in short.select(F.length("opening").alias("n")).distinct().collect())  # fewer than ANCHOR
 
     def windows(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.length("low") - n + 1)
-        made = F.transform(places, lambda at: F.substring(F.col("low"), at, F.lit(n))) if n else F.array(F.lit(""))
+        starts = F.sequence(F.lit(1), F.length("low") - n + 1)
+        made = F.transform(starts, lambda at: F.substring(F.col("low"), at, F.lit(n))) if n else F.array(F.lit(""))
         return F.when(F.length("low") >= n, made).otherwise(F.array().cast("array<string>"))
 
-    texts = queries.where("text is not null").groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("copies"))
-    held = texts.select("copies", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(windows, sizes)))).alias("opening"))
-    counted = held.join(keyed.select("opening").distinct(), "opening", "left_semi").groupBy("opening").agg(F.sum("copies").alias("n_similar"))
+    whole = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(windows, sizes)))
+    few = texts.select("text_no", "copies", F.explode(whole).alias("opening")).join(short, "opening", "left_semi").select("text_no", "copies", "opening")
+    counted = found.unionByName(few).groupBy("opening").agg(F.sum("copies").alias("n_similar"))
     return keyed.join(counted, "opening", "left").drop("text").fillna(0, ["n_similar"])

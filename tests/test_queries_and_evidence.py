@@ -77,3 +77,17 @@ def test_feedback_is_bounded(spark):
     df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = ix.feedback_scores(df, "2024-01-31 00:00:00", {"useful": 0.09}).collect()
     assert {r["score"] for r in got} == {0.18}
+
+
+def test_openings_of_every_length_are_found_anywhere(spark):
+    import random
+
+    from folioweave.operators import query_features as qf
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c.D") for _ in range(rng.choice([0, 3, 7, 8, 9, 30, 31, 90]))) for _ in range(120)] + [None, "", "aaaaaaaa" * 9]
+    rows = list(enumerate(texts))
+    got = {r["id"]: (r["opening"], r["n_similar"]) for r in qf.prefix_counts(spark.createDataFrame(rows, "id int, text string")).collect()}
+    for i, text in rows:
+        opening = None if text is None else text.lower()[:60].replace(".", "").strip(" ")[:30]
+        assert got[i] == (opening, 0 if opening is None else sum(t is not None and opening in t.lower() for t in texts))
