@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.functions import text as tx
 from folioweave.rules import structure as rules
+from folioweave.session import spread
 
 
 def ordered_text(text: str = "raw_text", order: str = "pos", sep: str = "\n\n", when: Column | None = None) -> Column:
@@ -188,51 +195,81 @@ def form_chunks(structured: DataFrame) -> DataFrame:
 def flat_chunks(blocks: DataFrame, target: int = rules.FLAT_TARGET_TOKENS) -> DataFrame:
     """Greedy packing of consecutive blocks up to ``target`` tokens.
 
-    ``blocks``: ``doc_id, pos, raw_text, heading`` (heading text or null).  The
-    blocks of a document are gathered once; the fold runs over token counts and
-    only keeps the chunk starts.  A chunk carries the heading that is current
-    when the next chunk begins.
+    ``blocks``: ``doc_id, pos, raw_text, heading`` (heading text or null).  A
+    chunk carries the heading that is current when the next chunk begins.
+    Blocks with one position stay in one chunk, in the order of their texts.
+
+    Where chunks begin is a fold over the sizes alone, streamed in document
+    order, so no document is ever held as a whole; the texts meet the
+    beginnings in a window and are shuffled once.
     """
-    item = F.struct("pos", F.col("raw_text").alias("t"), F.col("heading").alias("h"))
-    docs = blocks.filter(F.col("raw_text") != "").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(item)).alias("b")
+    kept = blocks.filter(F.col("raw_text") != "").select("doc_id", "pos", "raw_text", "heading")
+    size = F.floor(F.length("raw_text") / 4)
+    places = kept.groupBy("doc_id", "pos").agg(F.sum(size).alias("size"))
+    # the exchange stands next to the sort: an aggregation between them may choose another one
+    ordered = spread(places, "doc_id").sortWithinPartitions("doc_id", "pos")
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+    begins = ordered.mapInArrow(
+        partial(_beginnings, target=target), f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, chunk_no int"
     )
-    sizes = F.transform("b", lambda s: F.floor(F.length(s["t"]) / 4).cast("int"))
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts")
+    rows = kept.withColumn("is_block", F.lit(1)).unionByName(
+        begins.withColumn("is_block", F.lit(0)), allowMissingColumns=True
     )
-
-    def step(acc, size):
-        opens = (acc["i"] == 0) | (acc["used"] + size > target)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(opens, size).otherwise(acc["used"] + size).alias("used"),
-            F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    packed = docs.withColumn("starts", F.aggregate(sizes, start, step, lambda acc: acc["starts"]))
-    spans = F.transform(
-        "starts",
-        lambda s, k: F.struct(
-            s.alias("from"),
-            F.coalesce(F.try_element_at("starts", k + 2), F.size("b")).alias("upto"),
-        ),
+    order = Window.partitionBy("doc_id").orderBy("pos", "is_block", "raw_text", "heading")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    packed = (
+        rows.withColumn("chunk_no", F.last("chunk_no", ignorenulls=True).over(run))
+        .withColumn("read", F.last("heading", ignorenulls=True).over(run))
+        .filter("is_block = 1")
+        # headings read so far, including the block that opens the next chunk
+        .withColumn("read", F.coalesce(F.lead("read").over(order), "read"))
     )
-    rows = packed.select("doc_id", "b", F.posexplode(spans).alias("chunk_no", "span"))
-    part = F.slice("b", F.col("span.from") + 1, F.col("span.upto") - F.col("span.from"))
-    # headings read so far, including the block that opens the next chunk
-    read = F.slice("b", F.lit(1), F.least(F.col("span.upto") + 1, F.size("b")))
-    seen = F.filter(F.transform(read, lambda s: s["h"]), lambda h: h.isNotNull())
-    return rows.select(
-        "doc_id", "chunk_no",
-        F.array_join(F.transform(part, lambda s: s["t"]), "\n\n").alias("content"),
-        F.aggregate(part, F.lit(0), lambda a, s: a + F.floor(F.length(s["t"]) / 4).cast("int")).alias("tokens"),
-        F.size(part).alias("n_blocks"),
-        F.element_at(part, 1)["pos"].alias("first_pos"),
-        F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit("")).alias("hierarchy"),
+    item = F.struct("pos", "raw_text", "heading")
+    return packed.groupBy("doc_id", "chunk_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["raw_text"]), "\n\n").alias("content"),
+        F.sum(size).cast("int").alias("tokens"),
+        F.count(F.lit(1)).cast("int").alias("n_blocks"),
+        F.min("pos").alias("first_pos"),
+        F.coalesce(F.max_by("read", item), F.lit("")).alias("hierarchy"),
     )
 
 
+def _beginnings(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
+    """Places at which a chunk begins; the rows come in document order.
+
+    Between batches only the current document, the tokens used and the chunk's
+    number are kept.
+    """
+    doc, used, number = None, 0, -1
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        docs = batch.column("doc_id")
+        code = docs.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        sums = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy())])
+        edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+        at, numbers = [], []
+        for first, end in pairwise(edges):
+            follows = first == 0 and number >= 0 and docs[0].as_py() == doc
+            if not follows:
+                used, number = 0, -1
+            here = first
+            while here < end:
+                # the first block that no longer fits, or the document's first block
+                full = int(np.searchsorted(sums, sums[here] + target - used, side="right")) - 1
+                opens = here if number < 0 else max(here, full)
+                if opens >= end:
+                    used += int(sums[end] - sums[here])
+                    break
+                number += 1
+                at.append(opens)
+                numbers.append(number)
+                used, here = int(sums[opens + 1] - sums[opens]), opens + 1
+        doc = docs[batch.num_rows - 1].as_py()
+        places = batch.select(["doc_id", "pos"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*places.columns, pa.array(numbers, pa.int32())], ["doc_id", "pos", "chunk_no"])
+
+
 def table_chunks(tables: DataFrame, parents: DataFrame) -> DataFrame:
     """Table texts as chunks linked to the nearest preceding article.
 
