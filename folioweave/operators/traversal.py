@@ -51,7 +51,9 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
     ``seeds``: ``query_id, node_id, seq`` (order of the seeds).  ``edges`` are
     followed in the order of ``edge_id``.  Result rows: ``query_id, node_id,
     depth, score, place`` (discovery order), ``kept``: false for nodes below the
-    score floor, which are seen but not expanded.
+    score floor, which are seen but not expanded, and the way a node was reached:
+    ``parent_place`` (the place of the node before it) and ``edge_id``, null for
+    seeds; ``with_paths`` follows them back.
 
     The state of a query is bounded by ``max_nodes`` results, so a node can lose
     at most ``max_nodes × max_fan_out`` targets to nodes before it.  Hence only
@@ -75,6 +77,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
         .select(
             "query_id", "node_id", F.lit(0).alias("depth"),
             F.greatest(F.col("node_conf"), F.lit(0.5)).alias("score"), F.col("seq").cast("bigint").alias("order_no"),
+            F.lit(None).cast("bigint").alias("parent_place"), F.lit(None).cast("string").alias("edge_id"),
         )
     )
     level = stage_table(_settle(start, None, policy))
@@ -93,7 +96,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
         capped = nearest.withColumn("nth", F.row_number().over(by_parent)).filter(F.col("nth") <= claims)
         taken = (
             capped.groupBy("query_id")
-            .agg(F.array_sort(F.collect_list(F.struct("parent_place", "nth", "dst", "parent_score", "gain"))).alias("c"))
+            .agg(F.array_sort(F.collect_list(F.struct("parent_place", "nth", "dst", "parent_score", "gain", "edge_id"))).alias("c"))
             .select("query_id", _claim(policy.max_fan_out).alias("t"))
             .select("query_id", F.posexplode("t").alias("order_no", "t"))
         )
@@ -106,7 +109,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
                 F.greatest(
                     F.when(F.col("degraded"), raw * rules.DEGRADED_FACTOR).otherwise(raw), F.lit(0.0)
                 ).alias("score"),
-                F.col("order_no").cast("bigint").alias("order_no"),
+                F.col("order_no").cast("bigint").alias("order_no"), "t.parent_place", "t.edge_id",
             )
         )
         level = stage_table(_settle(scored, done, policy))
@@ -116,7 +119,7 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, policy: Policy
 
 def _claim(fan_out: int):
     """Fold: every parent in turn takes its first ``fan_out`` free targets."""
-    item = "struct<parent_place:bigint,nth:int,dst:string,parent_score:double,gain:double>"
+    item = "struct<parent_place:bigint,nth:int,dst:string,parent_score:double,gain:double,edge_id:string>"
     start = F.struct(
         F.lit(-1).cast("bigint").alias("parent"), F.lit(0).alias("count"),
         F.array().cast("array<string>").alias("ids"), F.array().cast(f"array<{item}>").alias("out"),
@@ -136,7 +139,7 @@ def _claim(fan_out: int):
         "c",
         lambda c: F.struct(
             c["parent_place"].cast("bigint").alias("parent_place"), c["nth"].alias("nth"), c["dst"].alias("dst"),
-            c["parent_score"].alias("parent_score"), c["gain"].alias("gain"),
+            c["parent_score"].alias("parent_score"), c["gain"].alias("gain"), c["edge_id"].alias("edge_id"),
         ),
     )
     return F.aggregate(typed, start, step, lambda acc: acc["out"])
@@ -156,7 +159,36 @@ def _settle(level: DataFrame, before: DataFrame | None, policy: Policy) -> DataF
         placed = numbered.join(used, "query_id").withColumn("place", F.col("nth") + F.col("used")).drop("used")
     # a suppressed node counts only while the budget is not yet used up
     within = F.when(F.col("kept"), F.col("place") <= policy.max_nodes).otherwise(F.col("place") < policy.max_nodes)
-    return placed.filter(within).select("query_id", "node_id", "depth", "score", "place", "kept", "order_no")
+    return placed.filter(within).select(
+        "query_id", "node_id", "depth", "score", "place", "kept", "order_no", "parent_place", "edge_id"
+    )
+
+
+def with_paths(expanded: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """Rows of ``expand`` with ``path_nodes`` (from the seed to the node itself) and ``path_edges``.
+
+    Paths are rebuilt from the parents level by level.  A parent is always a
+    kept node, and its place is unique among the kept nodes of a query; a path
+    has at most ``max_depth`` edges.
+    """
+    policy = policy or Policy()
+    level = expanded.filter("depth = 0").select(
+        "*", F.array("node_id").alias("path_nodes"), F.array().cast("array<string>").alias("path_edges")
+    )
+    done = level
+    for depth in range(1, policy.max_depth + 1):
+        above = level.filter("kept").select(
+            "query_id", F.col("place").alias("parent_place"), F.col("path_nodes").alias("_n"), F.col("path_edges").alias("_e")
+        )
+        level = (
+            expanded.filter(F.col("depth") == depth).join(above, ["query_id", "parent_place"])
+            .select(
+                *expanded.columns, F.concat("_n", F.array("node_id")).alias("path_nodes"),
+                F.concat("_e", F.array("edge_id")).alias("path_edges"),
+            )
+        )
+        done = done.unionByName(level)
+    return done
 
 
 def stop_reasons(seeds: DataFrame, expanded: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -205,6 +237,61 @@ def evidence_bundles(seed_chunks: DataFrame, expanded: DataFrame, chunks: DataFr
     return sums.withColumn("status", status)
 
 
+def bundle_contents(
+    queries: DataFrame, seed_chunks: DataFrame, reached: DataFrame, chunks: DataFrame, authority: float = rules.AUTHORITY
+) -> DataFrame:
+    """What a query's bundle holds: evidence in order, citations, graph paths, warnings.
+
+    ``queries``: ``query_id``, one row each in the result; ``seed_chunks``:
+    ``query_id, chunk_id, seq``; ``reached``: kept rows of ``with_paths`` with
+    ``chunk_id`` (null for nodes that are no chunk); ``chunks``: ``chunk_id,
+    confidence, degraded, citations`` (array of strings or null).
+
+    Seeds come first in their order, then reached chunks by score and discovery,
+    each chunk once.  ``citations`` are the distinct non-empty citations in the
+    order of the evidence, ``paths`` the ways of the nodes that an edge reached,
+    best score first.  ``warnings`` are ``missing_chunk:<id>`` for chunks without
+    a row, ``below_authority`` if no chunk is authoritative, ``no_seeds``.  Lists
+    are bounded by the seeds and the node budget of a query.
+    """
+    place = lambda part, score, no: F.struct(
+        F.lit(part).alias("part"), score.alias("below"), no.cast("bigint").alias("no")
+    )
+    members = (
+        seed_chunks.select("query_id", "chunk_id", place(0, F.lit(0.0), F.col("seq")).alias("at"))
+        .unionByName(reached.filter(F.col("chunk_id").isNotNull()).select(
+            "query_id", "chunk_id", place(1, -F.col("score"), F.col("place")).alias("at")
+        ))
+        .groupBy("query_id", "chunk_id").agg(F.min("at").alias("at"))
+        .join(chunks.select("chunk_id", "confidence", "degraded", "citations", F.lit(True).alias("known")), "chunk_id", "left")
+    )
+    none = F.array().cast("array<string>")
+    row = F.struct("at", "chunk_id", F.coalesce("citations", none).alias("citations"))
+    held = members.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("known"), row))).alias("e"),
+        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("chunk_id")))).alias("missing"),
+        F.count_if(F.col("known") & ~F.col("degraded") & (F.col("confidence") >= authority)).alias("good"),
+        F.count_if(F.col("at.part") == 0).alias("seeds"),
+    )
+    ways = reached.filter(F.size("path_edges") > 0).groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "place", "path_nodes", "path_edges"))).alias("w")
+    )
+    all_of = queries.select("query_id").distinct().join(held, "query_id", "left").join(ways, "query_id", "left")
+    cited = F.flatten(F.transform("e", lambda s: s["citations"]))
+    return all_of.select(
+        "query_id",
+        F.coalesce(F.transform("e", lambda s: s["chunk_id"]), none).alias("evidence"),
+        F.coalesce(F.array_distinct(F.filter(cited, lambda c: c != "")), none).alias("citations"),
+        F.coalesce(F.transform("w", lambda s: s["path_nodes"]), F.array().cast("array<array<string>>")).alias("paths"),
+        F.coalesce(F.transform("w", lambda s: s["path_edges"]), F.array().cast("array<array<string>>")).alias("path_edges"),
+        F.concat(
+            F.coalesce(F.transform("missing", lambda m: F.concat(F.lit("missing_chunk:"), m)), none),
+            F.when((F.size("e") > 0) & (F.col("good") == 0), F.array(F.lit("below_authority"))).otherwise(none),
+            F.when(F.coalesce("seeds", F.lit(0)) == 0, F.array(F.lit("no_seeds"))).otherwise(none),
+        ).alias("warnings"),
+    )
+
+
 def excerpts(bundle_chunks: DataFrame, k: int = 5, authority: float = rules.AUTHORITY) -> DataFrame:
     """Authoritative chunks first (all if none), cut at a sentence end.
 

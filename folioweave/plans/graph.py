@@ -309,20 +309,26 @@ def expansion(spark, sf):
 
 
 WEIGHTS = "CASE edge_type WHEN 'CONTAINS' THEN 0.90::DOUBLE WHEN 'DERIVED_TO_CHUNK' THEN 0.80::DOUBLE WHEN 'CITES' THEN 0.85::DOUBLE WHEN 'REFERS_TO' THEN 0.75::DOUBLE END"
-BFS = GR + f""",
+START = f"SELECT doc_id AS query_id, {ROOT} AS node_id, 0 AS depth, 0.9::DOUBLE AS score, 1 AS place, true AS kept, NULL::BIGINT AS pp, NULL::VARCHAR AS eid FROM documents"
+LEVELS = f""",
 fe AS (SELECT src, dst, edge_id, {WEIGHTS} * confidence AS gain FROM edges WHERE confidence >= 0.60),
-l0 AS (SELECT doc_id AS query_id, {ROOT} AS node_id, 0 AS depth, 0.9::DOUBLE AS score, 1 AS place, true AS kept FROM documents)"""
+l0 AS ({START})"""
 for _d in (1, 2, 3):
     _seen = " UNION ALL ".join(f"SELECT query_id, node_id FROM l{i}" for i in range(_d))
     _used = " UNION ALL ".join(f"SELECT query_id, kept FROM l{i}" for i in range(_d))
-    BFS += f""",
+    LEVELS += f""",
 c{_d} AS (SELECT l.query_id, l.place AS pp, l.score AS ps, f.dst, min(f.edge_id) AS eid, arg_min(f.gain, f.edge_id) AS gain FROM l{_d - 1} l JOIN fe f ON f.src = l.node_id WHERE l.kept AND NOT EXISTS (SELECT 1 FROM ({_seen}) s WHERE s.query_id = l.query_id AND s.node_id = f.dst) GROUP BY 1, 2, 3, 4),
 d{_d} AS (SELECT * FROM c{_d} QUALIFY row_number() OVER (PARTITION BY query_id, dst ORDER BY pp) = 1),
 f{_d} AS (SELECT *, row_number() OVER (PARTITION BY query_id, pp ORDER BY eid) AS fan FROM d{_d} QUALIFY fan <= 10),
 s{_d} AS (SELECT f.query_id, f.dst AS node_id, {_d} AS depth, greatest(CASE WHEN n.degraded THEN (ps * gain - {_d} * 0.1::DOUBLE) * 0.7::DOUBLE ELSE ps * gain - {_d} * 0.1::DOUBLE END, 0.0::DOUBLE) AS score, pp, eid FROM f{_d} f JOIN nodes n ON n.node_id = f.dst),
 k{_d} AS (SELECT s.*, score >= 0.20 AS kept, sum(CAST(score >= 0.20 AS INTEGER)) OVER (PARTITION BY s.query_id ORDER BY pp, eid ROWS UNBOUNDED PRECEDING) + u.used AS place FROM s{_d} s JOIN (SELECT query_id, count(*) FILTER (kept) AS used FROM ({_used}) GROUP BY 1) u USING (query_id)),
-l{_d} AS (SELECT query_id, node_id, depth, score, place, kept FROM k{_d} WHERE CASE WHEN kept THEN place <= 30 ELSE place < 30 END)"""
-BFS += ", bfs AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"
+l{_d} AS (SELECT query_id, node_id, depth, score, place, kept, pp, eid FROM k{_d} WHERE CASE WHEN kept THEN place <= 30 ELSE place < 30 END)"""
+LEVELS += ", bfs AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"
+BFS = GR + LEVELS
+PATHS = ", p0 AS (SELECT *, [node_id] AS pn, []::VARCHAR[] AS pe FROM l0)"
+for _d in (1, 2, 3):
+    PATHS += f", p{_d} AS (SELECT l.*, list_append(p.pn, l.node_id) AS pn, list_append(p.pe, l.eid) AS pe FROM l{_d} l JOIN p{_d - 1} p ON p.query_id = l.query_id AND p.place = l.pp AND p.kept)"
+PATHS += ", pth AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"
 
 
 @query("v02_bounded_expansion", f"WITH {BFS} SELECT query_id, node_id, CAST(depth AS INTEGER) AS depth, round(score, 6) AS score, kept FROM bfs")
@@ -331,6 +337,15 @@ def v02(spark, sf):
     return found.select("query_id", "node_id", "depth", F.round("score", 6).alias("score"), "kept")
 
 
+@query("v02_paths", f"WITH {BFS}{PATHS} SELECT query_id, node_id, array_to_string(pn, '>') AS path_nodes, array_to_string(pe, '>') AS path_edges, kept FROM pth")
+def v02_paths(spark, sf):
+    _, found = expansion(spark, sf)
+    return traversal.with_paths(found).select(
+        "query_id", "node_id", F.array_join("path_nodes", ">").alias("path_nodes"),
+        F.array_join("path_edges", ">").alias("path_edges"), "kept",
+    )
+
+
 @query("w11_fan_out_cap", f"WITH {BFS} SELECT query_id, CAST(depth AS INTEGER) AS depth, count(*) AS reached FROM bfs GROUP BY 1, 2")
 def w11(spark, sf):
     _, found = expansion(spark, sf)
@@ -382,6 +397,62 @@ def v05(spark, sf):
     return bundles(spark, sf)
 
 
+# citations of a chunk: its own reference, then the articles its text cites
+CONTENTS = """,
+cc AS (SELECT g.chunk_id, g.confidence, g.degraded, list_concat(CASE WHEN g.ref IS NULL THEN [] ELSE [g.ref] END, coalesce(x.cits, [])) AS citations FROM gch g LEFT JOIN (SELECT doc_id || '__chunk' || lpad(CAST(article_no AS VARCHAR), 5, '0') AS chunk_id, list('Điều ' || cited ORDER BY first_pos, cited) AS cits FROM ci GROUP BY 1) x USING (chunk_id)),
+mm AS (SELECT query_id, chunk_id, min({'part': part, 'below': below, 'no': no}) AS spot FROM (SELECT query_id, chunk_id, 0 AS part, 0.0::DOUBLE AS below, seq::BIGINT AS no FROM seedc UNION ALL SELECT p.query_id, n.label, 1, -p.score, p.place::BIGINT FROM pth p JOIN nodes n USING (node_id) WHERE p.kept AND n.node_type = 'Chunk') GROUP BY 1, 2),
+he AS (SELECT query_id, list(chunk_id ORDER BY spot) AS ids, flatten(list(citations ORDER BY spot)) AS cits, count(*) FILTER (NOT degraded AND confidence >= 0.65) AS good, count(*) FILTER (spot.part = 0) AS seeds FROM mm JOIN cc USING (chunk_id) GROUP BY 1),
+hcits AS (SELECT query_id, string_agg(c, '|' ORDER BY i) AS citations FROM (SELECT query_id, c, min(i) AS i FROM (SELECT query_id, unnest(cits) AS c, unnest(range(len(cits))) AS i FROM he) GROUP BY 1, 2) WHERE c <> '' GROUP BY 1),
+wa AS (SELECT query_id, count(*) AS n_paths, string_agg(array_to_string(pn, '>'), '|' ORDER BY -score, place) AS ways FROM pth WHERE kept AND depth > 0 GROUP BY 1)
+SELECT r.query_id, coalesce(array_to_string(ids, '|'), '') AS evidence, coalesce(citations, '') AS citations, CAST(coalesce(n_paths, 0) AS INTEGER) AS n_paths, md5(coalesce(ways, '')) AS paths, array_to_string(list_concat(CASE WHEN good = 0 THEN ['below_authority'] ELSE [] END, CASE WHEN coalesce(seeds, 0) = 0 THEN ['no_seeds'] ELSE [] END), '|') AS warnings FROM rqs r LEFT JOIN he USING (query_id) LEFT JOIN hcits USING (query_id) LEFT JOIN wa USING (query_id)"""
+
+
+def cited_chunks(structured, chunks):
+    """Chunks with their citations."""
+    cited = hierarchy.article_citations(structured).groupBy("doc_id", "article_no").agg(
+        F.array_sort(F.collect_list(F.struct("first_pos", "cited"))).alias("c")
+    ).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("__chunk"), F.lpad(F.col("article_no").cast("string"), 5, "0")).alias("chunk_id"),
+        F.transform("c", lambda s: F.concat(F.lit("Điều "), s["cited"])).alias("c"),
+    )
+    own = F.when(F.col("ref").isNull(), F.array().cast("array<string>")).otherwise(F.array("ref"))
+    return chunks.join(cited, "chunk_id", "left").select(
+        "chunk_id", "confidence", "degraded",
+        F.concat(own, F.coalesce("c", F.array().cast("array<string>"))).alias("citations"),
+    )
+
+
+def shown_contents(bundles):
+    """Lists as strings, paths as a digest."""
+    return bundles.select(
+        "query_id", F.array_join("evidence", "|").alias("evidence"), F.array_join("citations", "|").alias("citations"),
+        F.size("paths").alias("n_paths"),
+        F.md5(F.array_join(F.transform("paths", lambda p: F.array_join(p, ">")), "|")).alias("paths"),
+        F.array_join("warnings", "|").alias("warnings"),
+    )
+
+
+def reached_chunks(nodes, found):
+    """Kept nodes with their paths; ``chunk_id`` where the node is a chunk."""
+    labels = nodes.select("node_id", F.when(F.col("node_type") == "Chunk", F.col("label")).alias("chunk_id"))
+    return traversal.with_paths(found).filter("kept").join(labels, "node_id")
+
+
+SEEDC = ", seedc AS (SELECT doc_id AS query_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, chunk_id) AS seq FROM gch QUALIFY seq <= 2), rqs AS (SELECT doc_id AS query_id FROM documents)"
+
+
+@query("v05_bundle_contents", f"WITH {BFS}{PATHS}{SEEDC}{CONTENTS}")
+def v05_contents(spark, sf):
+    s, u = parts(spark, sf)
+    chunks = stage_table(chunk_table(u))
+    nodes, found = expansion(spark, sf)
+    seeds = top_per_key(chunks, ["doc_id"], [F.desc("confidence"), F.asc("chunk_id")], 2).select(
+        F.col("doc_id").alias("query_id"), "chunk_id", F.col("rank").alias("seq")
+    )
+    out = traversal.bundle_contents(seeds_of(spark, sf), seeds, reached_chunks(nodes, found), cited_chunks(s, chunks))
+    return shown_contents(out)
+
+
 @query("a10_seed_weighted_mean", f"WITH {GR}, s AS (SELECT doc_id, confidence, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, chunk_id) <= 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM gch) SELECT doc_id, round(sum(confidence * w) / sum(w), 6) AS confidence FROM s GROUP BY 1")
 def a10(spark, sf):
     _, u = parts(spark, sf)

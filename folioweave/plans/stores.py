@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from folioweave.functions import text as tx
 from folioweave.operators import conversations as cv
+from folioweave.operators import graph_build as gb
 from folioweave.operators import interactions as ix
 from folioweave.operators import lexical, quality, traversal
 from folioweave.operators import query_features as qf
 from folioweave.operators.ranking import top_per_key
+from folioweave.plans import graph
 from folioweave.plans.behaviour import FEEDBACK, risk_table
 from folioweave.plans.corpus import FLAGS, PII, REDACT, TOPIC_CASE, TOPICS
 from folioweave.plans.fixtures import (
@@ -21,7 +23,7 @@ from folioweave.plans.fixtures import (
 )
 from folioweave.plans.graph import chunk_table, parts
 from folioweave.plans.registry import query
-from folioweave.plans.search import SEARCH, corpus_chunks, search_results, bench_queries
+from folioweave.plans.search import SEARCH, bench_queries, corpus_chunks, query_parts, search_results
 from folioweave.plans.structure import HI, UN, structured
 from folioweave.session import shared_folder, stage_table
 from folioweave.sources import stores
@@ -501,3 +503,35 @@ def r33(spark, sf):
     return traversal.evidence_bundles(
         seeds, found.select("query_id", "chunk_id"), chunks.select("chunk_id", "confidence", "degraded")
     )
+
+
+R33_LEVELS = graph.LEVELS.replace(
+    graph.START, f"SELECT s.query_id, {graph.ROOT.replace('doc_id', 's.chunk_id')} AS node_id, 0 AS depth, 0.9::DOUBLE AS score, s.rank AS place, true AS kept, NULL::BIGINT AS pp, NULL::VARCHAR AS eid FROM found s WHERE s.rank <= 5"
+)
+R33_SEEDS = """, seedc AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS seq FROM (SELECT f.query_id, g.chunk_id, f.rank FROM found f JOIN gch g ON g.doc_id = f.chunk_id WHERE f.rank <= 5 QUALIFY row_number() OVER (PARTITION BY f.query_id, g.doc_id ORDER BY g.confidence DESC, g.chunk_id) = 1)),
+rqs AS (SELECT DISTINCT query_id FROM asked)"""
+
+
+@query("r33_graph_evidence", f"WITH found AS (WITH {SCOPED} SELECT query_id, chunk_id, rank FROM sr), asked AS (SELECT item_id AS query_id FROM benchmark), {graph.GR}{R33_LEVELS}{graph.PATHS}{R33_SEEDS}{graph.CONTENTS}")
+def r33_graph(spark, sf):
+    """Scope, search, expansion from the documents found, bundle."""
+    chunks = corpus_chunks(spark, sf).filter((F.col("lang") == "en") | (F.col("chunk_id") % 2 == 0))
+    hits = stage_table(
+        search_results(spark, sf, chunks=chunks).filter(F.col("rank") <= 5)
+        .select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    )
+    nodes, edges = graph.whole_graph(spark, sf)
+    nodes, edges = stage_table(nodes), stage_table(edges)
+    s, units = graph.parts(spark, sf)
+    pieces = stage_table(graph.chunk_table(units))
+    starts = hits.select(
+        "query_id", gb.node_id(F.col("doc_id"), "Document", F.lit("root")).alias("node_id"), F.col("rank").alias("seq")
+    )
+    # the surest chunk of each document found is a seed
+    best = top_per_key(pieces, ["doc_id"], [F.desc("confidence"), F.asc("chunk_id")], 1).select("doc_id", "chunk_id")
+    seeds = hits.join(best, "doc_id").select("query_id", "chunk_id", F.col("rank").alias("seq"))
+    found = traversal.expand(starts, nodes, edges)
+    out = traversal.bundle_contents(
+        query_parts(spark, sf).select("query_id"), seeds, graph.reached_chunks(nodes, found), graph.cited_chunks(s, pieces)
+    )
+    return graph.shown_contents(out)
