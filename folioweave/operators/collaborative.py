@@ -152,18 +152,46 @@ def topic_sets(interest: DataFrame, top: int = 3) -> DataFrame:
     )
 
 
+def peer_candidates(counts: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
+    """(topic_set, user_id) pairs among which the ``limit`` most active users of every set must be.
+
+    ``counts``: ``user_id, topic, n``; ``wanted``: ``topic_set, topic``.  The
+    first ``limit`` users of each topic give every set a total that its answer
+    reaches at least.  Whoever reaches it in a set of ``m`` topics has an
+    ``m``-th of it in one of them, so only that head of each topic's list is
+    read.  Lists are cut by powers of two, an equi-join reads the cuts needed.
+    """
+    first = top_per_key(counts, ["topic"], [F.desc("n"), F.asc("user_id")], limit).select("topic", "user_id", "n")
+    known = wanted.join(first, "topic").groupBy("topic_set", "user_id").agg(F.sum("n").alias("total"))
+    last = top_per_key(known, ["topic_set"], [F.desc("total"), F.asc("user_id")], limit).filter(F.col("rank") == limit)
+    sizes = wanted.groupBy("topic_set").agg(F.count(F.lit(1)).alias("m"))
+    # a set without ``limit`` known users has topics with fewer users each: all of them are read
+    floors = sizes.join(last.select("topic_set", "total"), "topic_set", "left").select(
+        "topic_set", F.greatest(F.ceil(F.coalesce("total", F.lit(0)) / F.col("m")), F.lit(1)).alias("floor")
+    )
+    cut = lambda n: F.length(F.bin(n))
+    needed = wanted.join(floors, "topic_set").select(
+        "topic_set", "topic", "floor", F.explode(F.sequence(cut(F.col("floor")), F.lit(63))).alias("cut")
+    )
+    lists = spread(counts.withColumn("cut", cut(F.col("n"))), "user_id")
+    return needed.join(lists, ["topic", "cut"]).filter(F.col("n") >= F.col("floor")).select("topic_set", "user_id").distinct()
+
+
 def peer_ranking(events: DataFrame, sets: DataFrame, limit: int = 20) -> DataFrame:
     """Users ranked by activity in a topic set; one ranking per distinct set.
 
     Users with the same topic set have the same ranking except for themselves,
-    so ``limit + 1`` rows per set serve all of them.
+    so ``limit + 1`` rows per set serve all of them.  Totals are formed for the
+    candidates of a set only.
     """
-    counts = known_topic(events).groupBy("user_id", "topic").agg(F.count(F.lit(1)).alias("n"))
-    wanted = spread(sets.select("topic_set").distinct(), "topic_set").select(
+    counts = stage_table(known_topic(events).groupBy("user_id", "topic").agg(F.count(F.lit(1)).alias("n")))
+    wanted = sets.select("topic_set").distinct().select(
         "topic_set", F.explode(F.split("topic_set", ",").cast("array<int>")).alias("topic")
     )
     overlap = (
-        wanted.join(spread(counts, "user_id"), "topic").groupBy("topic_set", "user_id").agg(F.sum("n").alias("overlap"))
+        peer_candidates(counts, wanted, limit + 1).join(wanted, "topic_set")
+        .join(counts, ["user_id", "topic"])
+        .groupBy("topic_set", "user_id").agg(F.sum("n").alias("overlap"))
     )
     return top_per_key(
         overlap, ["topic_set"], [F.desc("overlap"), F.asc("user_id")], limit + 1
