@@ -316,24 +316,31 @@ def type_violations(rows: DataFrame, column: str, allowed: list[str]) -> DataFra
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node and edge histograms with density in one tall table."""
-    by_node = nodes.groupBy(F.concat(F.lit("node:"), "node_type").alias("metric")).agg(
-        F.count(F.lit(1)).cast("double").alias("value")
-    )
-    by_edge = edges.groupBy(F.concat(F.lit("edge:"), "edge_type").alias("metric")).agg(
-        F.count(F.lit(1)).cast("double").alias("value")
+    """``metric, value``: histograms, density, documents with citations and aliases, type coverage and edge families.
+
+    Coverage is the share, in percent, of the closed type set that occurs; types
+    outside it have a histogram row and nothing else.
+    """
+    by_node = nodes.groupBy("node_type").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    # a document counts once for each edge type it has, so both document figures come out of one aggregation
+    by_edge = edges.groupBy("edge_type").agg(
+        F.count(F.lit(1)).cast("double").alias("value"),
+        F.countDistinct(F.when(F.col("edge_type").isin("CITES", "ALIAS_OF"), F.col("doc_id"))).cast("double").alias("docs"),
     )
-    totals = nodes.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)).join(
-        edges.agg(
-            F.count(F.lit(1)).alias("e"),
-            F.countDistinct(F.when(F.col("edge_type") == "CITES", F.col("doc_id"))).alias("cites"),
-        ).withColumn("_one", F.lit(1)),
-        "_one",
+    known = lambda column, kinds: F.round(F.count_if(F.col(column).isin(kinds)) * 100 / len(kinds), 6)
+    nothing = F.lit(0.0)
+    total = F.coalesce(F.sum("value"), nothing)
+    of_type = lambda kind, value: F.coalesce(F.max(F.when(F.col("edge_type") == kind, F.col(value))), nothing)
+    family = lambda kinds: F.coalesce(F.sum(F.when(F.col("edge_type").isin(kinds), F.col("value"))), nothing)
+    all_nodes = by_node.agg(total.alias("nodes"), known("node_type", rules.NODE_TYPES).alias("node_type_pct"))
+    all_edges = by_edge.agg(
+        total.alias("edges"), known("edge_type", list(rules.EDGE_WEIGHTS)).alias("edge_type_pct"),
+        of_type("CITES", "docs").alias("docs_with_cites"), of_type("ALIAS_OF", "docs").alias("docs_with_alias"),
+        *[family(kinds).alias(f"family:{name}") for name, kinds in rules.EDGE_FAMILIES.items()],
     )
-    pairs = F.array(
-        F.struct(F.lit("nodes").alias("metric"), F.col("n").cast("double").alias("value")),
-        F.struct(F.lit("edges").alias("metric"), F.col("e").cast("double").alias("value")),
-        F.struct(F.lit("density").alias("metric"), F.round(F.col("e") / F.greatest("n", F.lit(1)), 6).alias("value")),
-        F.struct(F.lit("docs_with_cites").alias("metric"), F.col("cites").cast("double").alias("value")),
+    both = all_nodes.withColumn("_one", F.lit(1)).join(all_edges.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumn(
+        "density", F.round(F.col("edges") / F.greatest("nodes", F.lit(1.0)), 6)
     )
-    return by_node.unionByName(by_edge).unionByName(totals.select(F.inline(pairs)))
+    tall = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in both.columns])))
+    named = lambda frame, column, kind: frame.select(F.concat(F.lit(f"{kind}:"), column).alias("metric"), "value")
+    return named(by_node, "node_type", "node").unionByName(named(by_edge, "edge_type", "edge")).unionByName(tall)

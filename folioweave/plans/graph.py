@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioweave.operators import graph_build as gb
-from folioweave.operators import hierarchy, traversal
+from folioweave.operators import hierarchy, quality, traversal
 from folioweave.operators.ranking import top_per_key
 from folioweave.plans.fixtures import documents, interactions, EV, structured_blocks, table
 from folioweave.plans.registry import query
 from folioweave.plans.structure import HI, UN, structured, titles
 from folioweave.rules import graph as rules
+from folioweave.rules import quality as quality_rules
 from folioweave.session import stage_table
 
 CONCEPTS = [
@@ -247,14 +248,40 @@ def g12(spark, sf):
     return gb.append_edges(edges, new).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-STATS = """gst AS (SELECT 'node:' || node_type AS metric, CAST(count(*) AS DOUBLE) AS value FROM nodes GROUP BY 1 UNION ALL SELECT 'edge:' || edge_type, CAST(count(*) AS DOUBLE) FROM edges GROUP BY 1
- UNION ALL SELECT 'nodes', CAST((SELECT count(*) FROM nodes) AS DOUBLE) UNION ALL SELECT 'edges', CAST((SELECT count(*) FROM edges) AS DOUBLE)
- UNION ALL SELECT 'density', round((SELECT count(*) FROM edges) / (SELECT count(*) FROM nodes)::DOUBLE, 6) UNION ALL SELECT 'docs_with_cites', CAST((SELECT count(DISTINCT doc_id) FROM edges WHERE edge_type = 'CITES') AS DOUBLE))"""
+def _set(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+STATS = f"""cf AS (SELECT * FROM ci QUALIFY row_number() OVER (PARTITION BY doc_id, article_no ORDER BY first_pos, cited) <= 2),
+xnodes AS (SELECT node_type FROM nodes UNION ALL SELECT 'Citation' FROM (SELECT DISTINCT doc_id, cited FROM cf)),
+xedges AS (SELECT doc_id, edge_type FROM edges UNION ALL SELECT doc_id, 'REFERS_TO' FROM cf UNION ALL SELECT DISTINCT doc_id, 'ALIAS_OF' FROM un WHERE unit = 'article' AND idx % 4 = 3),
+nh AS (SELECT node_type, count(*) AS c FROM xnodes GROUP BY 1), eh AS (SELECT edge_type, count(*) AS c, count(DISTINCT doc_id) AS docs FROM xedges GROUP BY 1),
+tot AS (SELECT (SELECT sum(c) FROM nh)::DOUBLE AS n, (SELECT sum(c) FROM eh)::DOUBLE AS e),
+gst AS (SELECT 'node:' || node_type AS metric, CAST(c AS DOUBLE) AS value FROM nh UNION ALL SELECT 'edge:' || edge_type, CAST(c AS DOUBLE) FROM eh
+ UNION ALL SELECT 'nodes', n FROM tot UNION ALL SELECT 'edges', e FROM tot UNION ALL SELECT 'density', round(e / n, 6) FROM tot
+ UNION ALL SELECT 'docs_with_cites', coalesce((SELECT docs FROM eh WHERE edge_type = 'CITES'), 0)::DOUBLE UNION ALL SELECT 'docs_with_alias', coalesce((SELECT docs FROM eh WHERE edge_type = 'ALIAS_OF'), 0)::DOUBLE
+ UNION ALL SELECT 'node_type_pct', round((SELECT count(*) FROM nh WHERE node_type IN {_set(rules.NODE_TYPES)}) * 100 / {len(rules.NODE_TYPES)}.0::DOUBLE, 6)
+ UNION ALL SELECT 'edge_type_pct', round((SELECT count(*) FROM eh WHERE edge_type IN {_set(rules.EDGE_WEIGHTS)}) * 100 / {len(rules.EDGE_WEIGHTS)}.0::DOUBLE, 6)
+ {" ".join(f"UNION ALL SELECT 'family:{f}', coalesce((SELECT sum(c) FROM eh WHERE edge_type IN {_set(k)}), 0)::DOUBLE" for f, k in rules.EDGE_FAMILIES.items())})"""
+
+
+def rated_graph(spark, sf):
+    """Types of the whole graph's nodes and edges with citation nodes, and one alias edge for a document with fourth articles."""
+    s, u = parts(spark, sf)
+    chunks = chunk_table(u)
+    nodes = gb.structure_nodes(u, titles(spark, sf)).unionByName(gb.chunk_nodes(chunks))
+    base = gb.containment_edges(u).unionByName(gb.chunk_edges(chunks)).unionByName(gb.reference_edges(chunks, u))
+    citations = stage_table(hierarchy.article_citations(s))
+    cited_nodes, cited_edges = gb.citation_nodes(citations)
+    aliases = u.filter("unit = 'article' AND idx % 4 = 3").select("doc_id").distinct().select("doc_id", F.lit("ALIAS_OF").alias("edge_type"))
+    edges = base.unionByName(gb.citation_edges(citations, u, base)).unionByName(cited_edges).select("doc_id", "edge_type")
+    return nodes.unionByName(cited_nodes).select("node_type"), edges.unionByName(aliases), u
 
 
 @query("g13_graph_stats", f"WITH {GR}, {STATS} SELECT metric, value FROM gst")
 def g13(spark, sf):
-    return gb.graph_stats(*whole_graph(spark, sf))
+    nodes, edges, _ = rated_graph(spark, sf)
+    return gb.graph_stats(nodes, edges)
 
 
 @query("a13_type_histogram", f"WITH {GR} SELECT node_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM nodes GROUP BY 1")
@@ -277,13 +304,26 @@ def p09(spark, sf):
     return gb.type_violations(structured(spark, sf), "kind", ["điều", "khoản", "chương"])
 
 
-@query("q10_graph_scorecard", f"""WITH {GR}, {STATS}, v AS (SELECT (SELECT value FROM gst WHERE metric = 'density') AS d, (SELECT value FROM gst WHERE metric = 'docs_with_cites') / (SELECT count(*) FROM documents)::DOUBLE AS c, (SELECT count(DISTINCT edge_type) FROM edges) / 24.0::DOUBLE AS t, (SELECT count(DISTINCT node_type) FROM nodes) / 17.0::DOUBLE AS n)
-SELECT unnest(['density', 'citation_coverage', 'edge_type_coverage', 'node_type_coverage']) AS dimension, unnest([CASE WHEN d >= 2 THEN 10 WHEN d >= 1 THEN 6 ELSE 2 END, CASE WHEN c >= 0.5 THEN 10 WHEN c >= 0.1 THEN 6 ELSE 2 END, CASE WHEN t >= 0.5 THEN 10 WHEN t >= 0.15 THEN 6 ELSE 2 END, CASE WHEN n >= 0.5 THEN 10 WHEN n >= 0.25 THEN 6 ELSE 2 END]) AS points FROM v""")
-def q10(spark, sf):
-    from folioweave.operators.quality import graph_scorecard
+def _points(name, bands, lowest):
+    return f"CASE {' '.join(f'WHEN {name} >= {low} THEN {p}' for low, p in bands)} ELSE {lowest} END"
 
-    nodes, edges = whole_graph(spark, sf)
-    return graph_scorecard(nodes, edges, documents(spark, sf).select("doc_id"))
+
+SCORES = f"""qv AS (SELECT (SELECT count(*) FROM nh WHERE node_type IN {_set(rules.NODE_TYPES)}) AS node_types, (SELECT count(*) FROM eh WHERE edge_type IN {_set(rules.EDGE_WEIGHTS)}) AS edge_types,
+ coalesce((SELECT sum(c) FROM eh WHERE edge_type IN {_set(rules.EDGE_FAMILIES['cross_document'])}), 0) AS cross_document_edges, coalesce((SELECT sum(c) FROM eh WHERE edge_type = 'CITES'), 0) AS citation_edges,
+ coalesce((SELECT sum(c) FROM nh WHERE node_type IN {_set(rules.SEMANTIC_NODES)}), 0) AS semantic_nodes, (SELECT round(count(*) FILTER (parent_section IS NOT NULL) * 100 / greatest(count(*), 1)::DOUBLE, 6) FROM un WHERE unit = 'article') AS chunk_path_pct,
+ (SELECT round(count(*) FILTER (starts_with(ref, 'article')) * 100 / greatest(count(*), 1)::DOUBLE, 6) FROM un WHERE unit = 'article') AS chunk_reference_pct, (SELECT round(e / n, 6) FROM tot) AS density, (SELECT count(*) FROM nh WHERE node_type IN {_set(rules.STRUCTURE_NODES)}) AS structure_types),
+qd AS ({' UNION ALL '.join(f"SELECT '{n}' AS dimension, CAST({n} AS DOUBLE) AS value, {_points(n, b, low)} AS points FROM qv" for n, b, low in quality_rules.GRAPH_DIMENSIONS)}),
+qt AS (SELECT CAST(sum(points) AS INTEGER) AS t FROM qd)"""
+
+
+@query("q10_graph_scorecard", f"""WITH {GR}, {STATS}, {SCORES} SELECT dimension, value, points, NULL AS grade FROM qd
+UNION ALL SELECT 'total', CAST(t AS DOUBLE), t, CASE {' '.join(f"WHEN t >= {low} THEN '{g}'" for low, g in quality_rules.GRADES)} ELSE '{quality_rules.LOWEST_GRADE}' END FROM qt""")
+def q10(spark, sf):
+    nodes, edges, u = rated_graph(spark, sf)
+    chunks = u.filter("unit = 'article'").select(
+        F.col("parent_section").isNotNull().alias("has_path"), F.coalesce(F.col("ref").startswith("article"), F.lit(False)).alias("has_ref")
+    )
+    return quality.graph_scorecard(nodes, edges, chunks)
 
 
 # --- traversal ----------------------------------------------------------------

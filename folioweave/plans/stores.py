@@ -21,10 +21,11 @@ from folioweave.plans.fixtures import (
     ACTION_WEIGHTS, AS_OF, AS_OF_SQL, EV, LN, conversations, documents, interactions, line_blocks, structured_blocks,
     table,
 )
-from folioweave.plans.graph import chunk_table, parts
+from folioweave.plans.graph import GR, chunk_table, parts
 from folioweave.plans.registry import query
 from folioweave.plans.search import SEARCH, bench_queries, corpus_chunks, query_parts, search_results
-from folioweave.plans.structure import HI, UN, structured
+from folioweave.plans.structure import HI, UN, structured, titles
+from folioweave.rules import quality as checks
 from folioweave.session import shared_folder, stage_table
 from folioweave.sources import stores
 
@@ -387,25 +388,64 @@ def q02(spark, sf):
     return quality.missing_content(profiled, extracted)
 
 
-# The checks of a document, their severity and condition.
-CHECKS = [
-    ("blocks_present", "fail", "blocks > 0"), ("coverage", "warning", "blocks >= 3"), ("structure_present", "warning", "articles > 0"),
-    ("articles_have_section", "warning", "articles_with_section = articles"), ("chunks_present", "fail", "coalesce(chunks, 0) > 0"),
-    ("degraded_rate", "warning", "coalesce(degraded_chunks, 0) <= 0.5 * coalesce(chunks, 0)"),
-    ("authoritative_chunks", "warning", "coalesce(authoritative_chunks, 0) > 0"), ("chunk_size", "warning", "coalesce(max_tokens, 0) <= 1024"),
-    ("depth", "warning", "depth >= 2"),
-]
-CHECK_SQL = "qk AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS check_name, '{s}' AS severity, {e} AS passed FROM qm" for n, s, e in CHECKS) + ")"
+def _sql_list(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+CHECK_SQL = f"""qb0 AS (SELECT doc_id, pos, regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') AS s, 0.5::DOUBLE + (pos % 5) / 10.0::DOUBLE AS confidence FROM ln),
+qb AS (SELECT doc_id, count(*) AS blocks, round(count(*) FILTER (s <> '') / count(*)::DOUBLE, 6) AS coverage, count(*) FILTER ((doc_id + pos) % 97 = 0) AS unplaced_blocks, count(*) FILTER (s IN ({_sql_list(checks.PLACEHOLDERS)}) AND confidence > {checks.PLACEHOLDER_CONFIDENCE}) AS placeholder_blocks,
+ count(*) FILTER (confidence < {checks.LOW_CONFIDENCE}) AS low_blocks, count(*) FILTER (pos % 9 = 4) AS degraded_blocks FROM qb0 GROUP BY 1),
+qr AS (SELECT doc_id, count(*) FILTER (contains(raw_text, ',')) AS n_rows FROM ln GROUP BY 1),
+qh AS (SELECT doc_id, count(*) AS chunks, count(*) FILTER (regexp_replace(label, '^\\s+|\\s+$', '', 'g') = '') AS empty_chunks, count(*) FILTER (degraded) AS degraded_chunks, count(*) FILTER (CAST(right(chunk_id, 5) AS INTEGER) % 13 = 12) AS unplaced_chunks FROM gch GROUP BY 1),
+qn AS (SELECT doc_id, count(*) AS graph_nodes, count(*) FILTER (node_type IN ('Section', 'Article', 'Clause')) AS structure_units FROM nodes GROUP BY 1),
+qe AS (SELECT doc_id, count(*) AS structural_edges FROM e0 WHERE edge_type IN ('CONTAINS', 'DERIVED_TO_CHUNK') GROUP BY 1),
+qf AS (SELECT d.doc_id, blocks, coverage, unplaced_blocks, placeholder_blocks, low_blocks, degraded_blocks, CAST(n_rows = 0 AS BIGINT) AS broken_tables, CAST(0.5::DOUBLE + (d.doc_id % 5) / 10.0::DOUBLE < {checks.LOW_TABLE_CONFIDENCE} AS BIGINT) AS low_tables, coalesce(chunks, 0) AS chunks, coalesce(empty_chunks, 0) AS empty_chunks,
+ coalesce(degraded_chunks, 0) AS degraded_chunks, coalesce(unplaced_chunks, 0) AS unplaced_chunks, graph_nodes, structure_units, coalesce(structural_edges, 0) AS structural_edges FROM documents d JOIN qb USING (doc_id) JOIN qr USING (doc_id) LEFT JOIN qh USING (doc_id) JOIN qn USING (doc_id) LEFT JOIN qe USING (doc_id)),
+qk AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS check_name, '{s}' AS severity, {e} AS passed FROM qf" for n, s, e in checks.DOCUMENT_CHECKS)})"""
+
 
+def checked_documents(spark, sf):
+    """Facts of the checks: lines are blocks, lines with a comma the rows of the one table, articles are chunks."""
+    _, u = parts(spark, sf)
+    lines = line_blocks(spark, sf)
+    filled = F.regexp_replace("raw_text", r"^\s+|\s+$", "") != ""
+    pos = F.col("pos")
+    blocks = lines.select(
+        "doc_id", "raw_text", F.when((F.col("doc_id") + pos) % 97 != 0, F.floor(pos / 2)).alias("page"),
+        (F.lit(0.5) + pos % 5 / 10.0).alias("confidence"), (pos % 9 == 4).alias("degraded"),
+    )
+    cells = F.filter(F.split("text", "\n"), lambda line: F.contains(line, F.lit(",")))
+    tables = documents(spark, sf).select(
+        "doc_id", F.size(cells).alias("n_rows"),
+        F.coalesce(F.array_max(F.transform(cells, lambda line: F.size(F.split(line, ",")))), F.lit(0)).alias("n_columns"),
+        (F.lit(0.5) + F.col("doc_id") % 5 / 10.0).alias("confidence"),
+    )
+    cut = chunk_table(u)
+    number = F.right("chunk_id", F.lit(5)).cast("int")
+    chunks = cut.select("doc_id", F.col("label").alias("content"), "degraded", (number % 13 != 12).cast("int").alias("n_refs"))
+    nodes = gb.structure_nodes(u, titles(spark, sf)).unionByName(gb.chunk_nodes(cut))
+    edges = gb.containment_edges(u).unionByName(gb.chunk_edges(cut))
+    coverage = lines.groupBy("doc_id").agg(F.round(F.avg(filled.cast("double")), 6).alias("coverage"))
+    return quality.document_facts(coverage, blocks, tables, chunks, nodes, edges)
 
-@query("q03_check_suite", f"WITH {METRICS}, {CHECK_SQL} SELECT doc_id, check_name, severity, passed FROM qk")
+
+def checked(spark, sf):
+    return quality.check_suite(checked_documents(spark, sf), checks.DOCUMENT_CHECKS)
+
+
+@query("q03_check_suite", f"WITH {GR}, {CHECK_SQL} SELECT doc_id, check_name, severity, passed FROM qk")
 def q03(spark, sf):
-    return quality.check_suite(metrics(spark, sf), CHECKS).withColumnRenamed("check", "check_name")
+    return checked(spark, sf).withColumnRenamed("check", "check_name")
 
 
-@query("q04_run_rollup", f"WITH {METRICS}, {CHECK_SQL} SELECT doc_id, count(*) AS checks, count(*) FILTER (NOT passed) AS failed, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (NOT passed), '') AS failed_checks, CASE max(CASE WHEN NOT passed AND severity = 'fail' THEN 2 WHEN NOT passed THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warning' ELSE 'pass' END AS status FROM qk GROUP BY 1")
+@query("q03_risk_warnings", f"""WITH {GR}, {CHECK_SQL}, w AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS warning, {e} AS n FROM qf" for n, e in checks.RISK_WARNINGS)}) SELECT doc_id, warning, n FROM w WHERE n > 0""")
+def q03_warnings(spark, sf):
+    return quality.risk_warnings(checked_documents(spark, sf))
+
+
+@query("q04_run_rollup", f"WITH {GR}, {CHECK_SQL} SELECT doc_id, count(*) AS checks, count(*) FILTER (NOT passed) AS failed, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (NOT passed), '') AS failed_checks, CASE max(CASE WHEN NOT passed AND severity = 'fail' THEN 2 WHEN NOT passed THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warning' ELSE 'pass' END AS status FROM qk GROUP BY 1")
 def q04(spark, sf):
-    return quality.run_rollup(quality.check_suite(metrics(spark, sf), CHECKS), "doc_id")
+    return quality.run_rollup(checked(spark, sf), "doc_id")
 
 
 @query("q05_multilingual_metrics", f"WITH {UN} SELECT CASE WHEN doc_id % 3 = 1 THEN 'en' ELSE 'vi' END AS language, count(*) AS n_units, count(*) FILTER (unit = 'article') AS articles, round(avg(CASE WHEN starts_with(ref, 'article') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS ref_coverage, count(DISTINCT ref) AS distinct_refs FROM un GROUP BY 1")
@@ -464,18 +504,48 @@ def q07(spark, sf):
     return quality.retrieval_metrics(benchmark_rows(spark, sf))
 
 
-@query("q07_retrieval_gate", f"WITH {BENCH} SELECT unnest(['top1_accuracy_pct', 'top3_accuracy_pct', 'cross_domain_error_pct', 'empty_rate_pct', 'fallback_rate_pct']) AS gate, unnest([top1_accuracy_pct, top3_accuracy_pct, cross_domain_error_pct, empty_rate_pct, fallback_rate_pct]) AS value, unnest([85.0::DOUBLE, 90.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 30.0::DOUBLE]) AS target, unnest([top1_accuracy_pct >= 85, top3_accuracy_pct >= 90, cross_domain_error_pct = 0, empty_rate_pct = 0, fallback_rate_pct <= 30]) AS passed FROM bm")
+GATE = f"""rg AS ({" UNION ALL ".join(f"SELECT '{n}' AS gate, CAST({n} AS DOUBLE) AS value, {t}::DOUBLE AS target, {n} {'=' if o == '==' else o} {t} AS passed FROM bm" for n, o, t in quality.RETRIEVAL_TARGETS)})"""
+
+
+@query("q07_retrieval_gate", f"WITH {BENCH}, {GATE} SELECT gate, value, target, passed FROM rg")
 def q07_gate(spark, sf):
     return quality.gate(quality.retrieval_metrics(benchmark_rows(spark, sf)))
 
 
-@query("q08_release_gates", f"WITH {METRICS}, {CHECK_SQL}, g AS (SELECT check_name, severity = 'fail' AS hard, avg(CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.9 AS passed FROM qk GROUP BY 1, 2) SELECT bool_and(passed OR NOT hard) AS beta, round(avg(CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS pass_share, bool_and(passed OR NOT hard) AND avg(CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) >= 0.9 AS general FROM g")
-def q08(spark, sf):
-    results = quality.check_suite(metrics(spark, sf), CHECKS)
-    gates = results.groupBy("check", (F.col("severity") == "fail").alias("hard")).agg(
-        (F.avg(F.col("passed").cast("double")) >= 0.9).alias("passed")
+@query("q07_worst_queries", f"WITH {BENCH} SELECT query_id, expected, top1, top_score, CAST(row_number() OVER (ORDER BY top_score, query_id) AS INTEGER) AS rank FROM bq WHERE expected <> 'general' AND top1 <> expected QUALIFY rank <= 5")
+def q07_worst(spark, sf):
+    return quality.worst_queries(benchmark_rows(spark, sf))
+
+
+# findings of the smoke cases in the vocabulary of the conversations
+FINDINGS = [("[P0] contradiction", "keit und"), ("[P0] forbidden phrase", "heit der"), ("HTTP 500", "wh the"), ("is_demo missing", "eaux les"), ("score < 0.55 leak", "que la ")]
+RELEASE = BENCH + f""", {GATE},
+sk AS (SELECT conv_id * 1000 + turn AS case_id, {" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for _, w in FINDINGS)} AS bad, {", ".join(f"contains(lower(text), '{w}') AS f{i}" for i, (_, w) in enumerate(FINDINGS))} FROM conversations WHERE role = 'assistant'),
+ss AS (SELECT count(*) AS n, count(*) FILTER (bad = 0) AS good, {", ".join(f"count(*) FILTER (f{i}) AS f{i}" for i in range(len(FINDINGS)))} FROM sk),
+mq AS (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS good FROM labels),
+gt AS (SELECT 'contradictions' AS gate, 'hard' AS level, CAST(f0 + f1 AS DOUBLE) AS value, n > 0 AND f0 + f1 = 0 AS passed FROM ss UNION ALL SELECT 'forbidden_phrases', 'hard', f1, n > 0 AND f1 = 0 FROM ss UNION ALL SELECT 'server_errors', 'hard', f2, n > 0 AND f2 = 0 FROM ss
+ UNION ALL SELECT 'demo_labels', 'hard', f3, n > 0 AND f3 = 0 FROM ss UNION ALL SELECT 'score_leaks', 'hard', f4, n > 0 AND f4 = 0 FROM ss UNION ALL SELECT 'smoke_cases', 'beta', good, good >= greatest(1, floor(n * 9 / 10.0)) FROM ss
+ UNION ALL SELECT gate, CASE gate WHEN 'cross_domain_error_pct' THEN 'hard' ELSE 'general' END, value, passed FROM rg UNION ALL SELECT 'manual_scenarios', 'general', good, n >= 15 AND good >= 15 FROM mq)"""
+
+
+def gates_of(spark, sf):
+    low = F.lower("text")
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(name)) for name, w in FINDINGS]))
+    smoke = conversations(spark, sf).filter("role = 'assistant'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), (F.size(found) == 0).alias("passed"), found.alias("findings")
     )
-    return quality.release_decision(gates)
+    manual = table(spark, sf, "labels").select(F.col("doc_id").alias("scenario"), (F.col("quality") == 1).alias("passed"))
+    return quality.release_gates(smoke, quality.gate(quality.retrieval_metrics(benchmark_rows(spark, sf))), manual)
+
+
+@query("q08_hard_gates", f"WITH {RELEASE} SELECT gate, level, value, passed FROM gt")
+def q08_rows(spark, sf):
+    return gates_of(spark, sf)
+
+
+@query("q08_release_gates", f"WITH {RELEASE} SELECT bool_and(passed OR level = 'general') AS beta, bool_and(passed) AS general, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT passed), '') AS failed FROM gt")
+def q08(spark, sf):
+    return quality.release_decision(gates_of(spark, sf))
 
 
 @query("q09_knowledge_base_score", """WITH c AS (SELECT d.text AS content, e.vec_id IS NOT NULL AS v, d.doc_id % 4 <> 0 AS p, d.source FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),

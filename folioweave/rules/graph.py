@@ -14,8 +14,8 @@ LAW_NUMBER = r"(?iU)(?:số\s+)?(\d{1,3}/\d{4}/(?:QH|UBTVQH|HĐNN)\d+)"
 
 # Closed type sets.
 NODE_TYPES = [
-    "Document", "Section", "Article", "Clause", "Table", "ImageEvidence", "Chunk", "Citation", "Entity",
-    "Obligation", "Condition", "Exception", "Penalty", "DefinedTerm", "Concept", "Reference", "Version",
+    "Document", "DocumentVersion", "Section", "Article", "Clause", "Table", "TableRow", "ImageEvidence", "Chunk",
+    "DefinedTerm", "Entity", "LegalConcept", "Citation", "Obligation", "Condition", "Exception", "Penalty",
 ]
 EDGE_WEIGHTS = {
     "CONTAINS": 0.90, "PRECEDES": 0.60, "HAS_TABLE": 0.85, "HAS_IMAGE": 0.70, "DERIVED_TO_CHUNK": 0.80,
@@ -24,6 +24,14 @@ EDGE_WEIGHTS = {
     "AMENDS": 0.85, "OVERRIDES": 0.92, "INVALIDATES": 0.90, "CONFLICTS_WITH": 0.88, "REQUIRES": 0.82,
     "DEPENDS_ON": 0.78, "ALIAS_OF": 0.70, "SUPPORTS": 0.40, "CONTRADICTS": 0.40,
 }
+# Families of node and edge types.
+SEMANTIC_NODES = ["DefinedTerm", "Entity", "LegalConcept", "Citation", "Obligation", "Condition", "Exception", "Penalty"]
+STRUCTURE_NODES = ["Document", "Section", "Article", "Clause", "Chunk"]
+EDGE_FAMILIES = {
+    "structural": ["CONTAINS", "DERIVED_TO_CHUNK"], "citation": ["CITES"],
+    "semantic": ["MENTIONS", "DEFINES", "APPLIES_TO", "IMPOSES", "QUALIFIED_BY", "EXCEPTED_BY", "ENFORCED_BY", "SUPPORTS", "CONTRADICTS"],
+    "cross_document": ["AMENDS", "OVERRIDES", "INVALIDATES", "CONFLICTS_WITH", "REQUIRES", "ALIAS_OF"],
+}
 ALLOWED_EDGES = ["CONTAINS", "HAS_TABLE", "HAS_IMAGE", "DERIVED_TO_CHUNK", "CITES", "REFERS_TO", "RESOLVES_TO"]
 BLOCKED_EDGES = ["CONTRADICTS", "SUPPORTS"]
 
