@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -274,6 +275,94 @@ def risk_scores(cases: DataFrame, stage_risk: dict[str, int], default: int = 40)
     )
 
 
+def _of_key(key: Column, table: dict, entry) -> Column:
+    """The literal list of a key in a small rule table; an empty list for other keys."""
+    full = {k: F.array(*[entry(e) for e in rows]) for k, rows in table.items() if rows}
+    some = next(iter(full.values()))
+    chain = None
+    for name, rows in full.items():
+        chain = F.when(key == name, rows) if chain is None else chain.when(key == name, rows)
+    return chain.otherwise(F.slice(some, 1, 0))
+
+
+def stage_outlook(
+    staged: DataFrame, order: Sequence[str] = tuple(rules.STAGES), deadlines: dict = rules.DEADLINES, alerts: dict = rules.ALERTS,
+) -> DataFrame:
+    """Adds ``next_stage, deadlines array<struct<what, number, unit>>, alerts`` to rows with ``stage, stage_index``.
+
+    The last stage is its own next one.  The tables are closed, so they become
+    literal lists and no join.  A stage without entries has empty lists.
+    """
+    following = F.element_at(F.array(*map(F.lit, order)), F.least(F.col("stage_index") + 2, F.lit(len(order))))
+    due = lambda e: F.struct(*[F.lit(v).alias(n) for n, v in zip(("what", "number", "unit"), e)])
+    return staged.withColumns(
+        {"next_stage": following, "deadlines": _of_key(F.col("stage"), deadlines, due), "alerts": _of_key(F.col("stage"), alerts, F.lit)}
+    )
+
+
+def stated_facts(text: Column, cues: Sequence[str], extra: Column | None = None, limit: int = 6) -> Column:
+    """Clauses of over 15 characters that contain a cue, then extra facts of over 5 not yet among them; at most ``limit``.
+
+    Case does not matter.  A clause that is stated twice counts twice, as facts in
+    the text are taken as they stand; an extra fact is added once.
+    """
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?;,\n]+"), lambda s: F.trim(s))
+    own = F.filter(parts, lambda s: (F.length(s) > 15) & tx.any_term(F.lower(s), cues))
+    if extra is None:
+        return F.slice(own, 1, limit)
+    given = F.filter(F.coalesce(extra, F.array().cast("array<string>")), lambda s: F.length(s) > 5)
+    low = lambda a: F.transform(a, lambda s: F.lower(s))
+    new = F.filter(given, lambda s, i: ~F.array_contains(low(own), F.lower(s)) & (F.array_position(low(given), F.lower(s)) == i + 1))
+    return F.slice(F.concat(own, new), 1, limit)
+
+
+def stage_risk_level(stage: Column) -> Column:
+    """The risk class that a stage alone stands for."""
+    return F.when(stage.isin(rules.HIGH_RISK_STAGES), "high").when(stage.isin(rules.MEDIUM_RISK_STAGES), "medium").otherwise("low")
+
+
+def risk_report(
+    cases: DataFrame, assessed: DataFrame, strengths: dict = rules.STRENGTHS, weaknesses: dict = rules.WEAKNESSES,
+    taken_back: Sequence[str] = tuple(rules.TAKEN_BACK), little: str = rules.LITTLE_EVIDENCE,
+) -> DataFrame:
+    """``text_id, strengths, weaknesses, missing_points, warnings``: what speaks for and against each case.
+
+    ``cases``: ``text_id, domain, text, stage, coverage, priority_gaps, risk_score,
+    risk_level``; ``assessed``: as ``assess_gaps`` gives it.  Present evidence (at
+    most three, by id) is the strength; only without any do words of the domain
+    count, unless a word that takes them back stands before.  Weaknesses are the
+    domain's words, two uncertain and two contradicted items, or ``little`` when
+    there are none and the score is 50 or more.  Lists hold entries of closed rule
+    tables, so they are bounded; a case without requirements has none of them.
+    """
+    ids = lambda status, n: F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.col("evidence_id")))), 1, n)
+    listed = assessed.groupBy("text_id").agg(
+        ids("present", 3).alias("_p"), ids("uncertain", 2).alias("_u"), ids("contradicted", 2).alias("_c"), ids("missing", 6).alias("_m")
+    )
+    low = F.lower(F.coalesce("text", F.lit("")))
+    said = lambda word: F.contains(low, F.lit(word)) & ~tx.any_term(low, [t + word for t in taken_back])
+    named = lambda words, label, test: F.when(functools.reduce(lambda a, b: a | b, [test(w) for w in words]), F.lit(label))
+    from_words = lambda table, test: F.array_compact(_of_key(F.col("domain"), table, lambda e: named(*e, test)))
+    none = F.array().cast("array<string>")
+    got = lambda c: F.coalesce(c, none)
+    marked = lambda mark, c: F.transform(got(c), lambda e: F.concat(F.lit(mark), e))
+    joined = cases.join(listed, "text_id", "left").withColumn(
+        "_w", F.concat(
+            from_words(weaknesses, lambda w: F.contains(low, F.lit(w))), marked("uncertain:", F.col("_u")), marked("contradicted:", F.col("_c"))
+        ),
+    )
+    warnings = F.array_compact(F.array(
+        F.when(F.col("risk_level").isin("high", "critical"), "high_risk"), F.when(F.col("coverage") < 0.4, "weak_evidence"),
+        F.when(F.col("stage").isin(rules.COURT_STAGES), "court"), F.when(F.col("priority_gaps") >= 3, "priority_gaps"),
+    ))
+    return joined.select(
+        "text_id",
+        F.when(F.size(got(F.col("_p"))) > 0, marked("present:", F.col("_p"))).otherwise(from_words(strengths, said)).alias("strengths"),
+        F.when((F.size("_w") == 0) & (F.col("risk_score") >= 50), F.array(F.lit(little))).otherwise(F.col("_w")).alias("weaknesses"),
+        got(F.col("_m")).alias("missing_points"), warnings.alias("warnings"),
+    )
+
+
 def journey(cases: DataFrame) -> DataFrame:
     """Milestone states and the overall risk of a case.
 

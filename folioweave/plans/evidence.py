@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioweave.functions import text as tx
 from folioweave.operators import contracts, evidence as ev
 from folioweave.operators import query_features as qf
+from folioweave.operators.bounded_search import half_up_column
 from folioweave.plans.fixtures import SB, conversations, structured_texts
 from folioweave.plans.registry import query
 from folioweave.plans.search import DOM, ENT, domains
@@ -34,8 +35,7 @@ STAGE_WORDS = [
     ("violation_occurred", ["tion", "ung"]), ("pre_litigation", ["wh", "qui"]), ("in_litigation", ["ción", "eaux"]),
     ("awaiting_decision", ["keit"]), ("post_decision", ["heit", "ble"]),
 ]
-STAGE_RISK = {"preparation": 10, "dispute_emerging": 30, "negotiation": 25, "violation_occurred": 50, "pre_litigation": 60,
-              "in_litigation": 70, "awaiting_decision": 55, "post_decision": 45}
+STAGE_RISK = rules.STAGE_RISK
 
 
 def _either(phrases):
@@ -189,15 +189,46 @@ def e08(spark, sf):
     return staged(spark, sf).select("text_id", "stage", "stage_index", "stage_confidence", "progress")
 
 
-@query("e09_situation_profile", f"""WITH {DOM}, {STG} SELECT conv_id * 1000 + turn AS text_id, domain, stage, CASE WHEN contains(dm.low, 'must') OR contains(dm.low, 'keit') THEN 'compliance' WHEN contains(dm.low, 'than') OR contains(dm.low, 'que') THEN 'comparison' ELSE 'explanation' END AS intent,
- CAST(len(list_distinct(regexp_extract_all(text, '[a-z]{{2}}tion'))) AS INTEGER) AS n_dates, CASE WHEN stage_index >= 5 THEN 'high' WHEN stage_index >= 3 THEN 'medium' ELSE 'low' END AS risk FROM dm JOIN sg ON sg.text_id = conv_id * 1000 + turn""")
+DUE = "du(stage, what, number, unit) AS (VALUES " + ", ".join(f"('{s}', '{w}', {n}, '{u}')" for s, rows in rules.DEADLINES.items() for w, n, u in rows) + ")"
+WARN = "wa(stage, alert) AS (VALUES " + ", ".join(f"('{s}', '{a}')" for s, rows in rules.ALERTS.items() for a in rows) + ")"
+NEXT = "(['" + "', '".join(s for s, _ in STAGE_WORDS) + "'])[least(stage_index + 2, 8)]"
+
+
+@query("e08_stage_deadlines", f"WITH {STG}, {DUE} SELECT text_id, stage, {NEXT} AS next_stage, what, CAST(number AS INTEGER) AS number, unit FROM sg JOIN du USING (stage)")
+def e08_deadlines(spark, sf):
+    return ev.stage_outlook(staged(spark, sf)).select("text_id", "stage", "next_stage", F.inline("deadlines"))
+
+
+@query("e08_stage_alerts", f"WITH {STG}, {WARN} SELECT text_id, stage, alert FROM sg JOIN wa USING (stage)")
+def e08_alerts(spark, sf):
+    return ev.stage_outlook(staged(spark, sf)).select("text_id", "stage", F.explode("alerts").alias("alert"))
+
+
+FACT_CUES = ["the ", "les ", "der ", "los "]
+DISPUTES = [("boundary", ["keit", "wh"]), ("payment", ["tion", "eaux"])]
+
+
+@query("e09_situation_profile", rf"""WITH {DOM}, {STG}, f AS (SELECT conv_id * 1000 + turn AS text_id, *, list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?;,\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 15 AND ({' OR '.join(f"contains(lower(x), '{c}')" for c in FACT_CUES)})), 1, 6) AS facts FROM dm)
+SELECT f.text_id, domain, stage, CASE WHEN contains(f.low, 'must') OR contains(f.low, 'keit') THEN 'compliance' WHEN contains(f.low, 'than') OR contains(f.low, 'que') THEN 'comparison' ELSE 'explanation' END AS intent,
+ CASE WHEN contains(f.low, 'keit') OR contains(f.low, 'wh') THEN 'boundary' WHEN contains(f.low, 'tion') OR contains(f.low, 'eaux') THEN 'payment' ELSE 'general' END AS dispute,
+ {", ".join(f"CAST(least(len(list_distinct(regexp_extract_all(text, '{p}'))), {n}) AS INTEGER) AS n_{k}" for k, p, n in ENT)},
+ CAST(len(facts) AS INTEGER) AS n_facts, md5(array_to_string(facts, chr(10))) AS facts_md5,
+ CASE WHEN stage IN ({', '.join(f"'{s}'" for s in rules.HIGH_RISK_STAGES)}) THEN 'high' WHEN stage IN ({', '.join(f"'{s}'" for s in rules.MEDIUM_RISK_STAGES)}) THEN 'medium' ELSE 'low' END AS risk,
+ floor(((CASE WHEN domain = 'general' THEN 0.25::DOUBLE ELSE round(hits / greatest(total, 1)::DOUBLE, 3) END + stage_confidence) / 2) * 100 + 0.5::DOUBLE) / 100 AS confidence
+FROM f JOIN sg ON sg.text_id = f.text_id""")
 def e09(spark, sf):
-    s = staged(spark, sf)
+    rows = domains(spark, sf).withColumn("text_id", F.col("conv_id") * 1000 + F.col("turn"))
+    s = ev.detect_stage(rows, "text", STAGE_WORDS).withColumn("facts", ev.stated_facts(F.col("text"), FACT_CUES))
+    found = qf.entities(F.col("text"), ENT)
+    low = F.lower("text")
     return s.select(
         "text_id", "domain", "stage",
         qf.intent(F.col("text"), [("compliance", ["must", "keit"]), ("comparison", ["than", "que"])], "explanation").alias("intent"),
-        F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(dict((k, p) for k, p, _ in ENT)["dates"]), F.lit(0)))).alias("n_dates"),
-        F.when(F.col("stage_index") >= 5, "high").when(F.col("stage_index") >= 3, "medium").otherwise("low").alias("risk"),
+        tx.first_label(low, DISPUTES, "general").alias("dispute"),
+        *[F.size(c).alias(f"n_{k}") for k, c in found.items()],
+        F.size("facts").alias("n_facts"), F.md5(F.array_join("facts", "\n")).alias("facts_md5"),
+        ev.stage_risk_level(F.col("stage")).alias("risk"),
+        half_up_column((F.col("domain_confidence") + F.col("stage_confidence")) / 2, 2).alias("confidence"),
     )
 
 
@@ -212,6 +243,34 @@ def e10(spark, sf):
     return ev.risk_scores(cases(spark, sf), STAGE_RISK).select("text_id", "stage", "risk_score", "risk_level")
 
 
+GOOD_WORDS = {"english": [(["ing ", "that"], "in writing"), (["ed "], "paid")], "french": [(["eau"], "in writing")], "german": [(["ung"], "signed")]}
+BAD_WORDS = {"english": [(["wh"], "only oral"), (["tion"], "expired")], "spanish": [(["que"], "only oral")]}
+UNDO = ["no ", "un"]
+
+
+def _words_sql(table, undone):
+    plain = lambda w: f"contains(tt.low, '{w}')"
+    test = lambda w: plain(w) + "".join(f" AND NOT contains(tt.low, '{u}{w}')" for u in undone)
+    rows = lambda entries: ", ".join(f"CASE WHEN {' OR '.join(f'({test(w)})' for w in words)} THEN '{label}' END" for words, label in entries)
+    return "list_filter(CASE tt.domain " + " ".join(f"WHEN '{d}' THEN [{rows(e)}]" for d, e in table.items()) + " ELSE [] END, lambda x: x IS NOT NULL)"
+
+
+def _ids_sql(status, n):
+    return f"coalesce(list_slice(list_sort(list(evidence_id) FILTER (status = '{status}')), 1, {n}), [])"
+
+
+@query("e10_risk_report", f"""WITH {MENT}, {STG}, r AS (SELECT text_id, stage, coverage, priority_gaps, round(least(100.0::DOUBLE, CASE stage {' '.join(f"WHEN '{k}' THEN {v}" for k, v in STAGE_RISK.items())} END + (1.0::DOUBLE - coverage) * 25 + priority_gaps * 4), 4) AS risk_score FROM cv JOIN sg USING (text_id)),
+li AS (SELECT text_id, {_ids_sql('present', 3)} AS p, {_ids_sql('uncertain', 2)} AS u, {_ids_sql('contradicted', 2)} AS c, {_ids_sql('missing', 6)} AS m FROM ga GROUP BY 1),
+x AS (SELECT r.*, p, m, {_words_sql(GOOD_WORDS, UNDO)} AS g, list_concat({_words_sql(BAD_WORDS, [])}, list_concat(list_transform(u, lambda e: 'uncertain:' || e), list_transform(c, lambda e: 'contradicted:' || e))) AS w FROM r JOIN tt USING (text_id) JOIN li USING (text_id))
+SELECT text_id, array_to_string(CASE WHEN len(p) > 0 THEN list_transform(p, lambda e: 'present:' || e) ELSE g END, ';') AS strengths, array_to_string(CASE WHEN len(w) = 0 AND risk_score >= 50 THEN ['little evidence'] ELSE w END, ';') AS weaknesses, array_to_string(m, ';') AS missing_points,
+ concat_ws(';', CASE WHEN risk_score >= 60 THEN 'high_risk' END, CASE WHEN coverage < 0.4 THEN 'weak_evidence' END, CASE WHEN stage IN ('pre_litigation', 'in_litigation') THEN 'court' END, CASE WHEN priority_gaps >= 3 THEN 'priority_gaps' END) AS warnings FROM x""")
+def e10_report(spark, sf):
+    texts = texts_of(spark, sf).select("text_id", "domain", "text")
+    scored = ev.risk_scores(cases(spark, sf), STAGE_RISK).join(texts, "text_id")
+    report = ev.risk_report(scored, assessed(spark, sf), GOOD_WORDS, BAD_WORDS, UNDO, "little evidence")
+    return report.select("text_id", *[F.array_join(c, ";").alias(c) for c in report.columns[1:]])
+
+
 TYPES = [("payment", ["article", "the [a-z]+ed"]), ("term", ["khoản", "tion"]), ("liability", ["clause", "eaux"]), ("penalty", ["keit|heit", "ung "])]
 HIGH = [("ción", "one_sided"), ("wh[aeo]", "unlimited")]
 MEDIUM = [("les ", "vague"), (" of ", "open_ended")]
