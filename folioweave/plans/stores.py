@@ -11,7 +11,7 @@ from folioweave.functions import text as tx
 from folioweave.operators import conversations as cv
 from folioweave.operators import graph_build as gb
 from folioweave.operators import interactions as ix
-from folioweave.operators import lexical, quality, traversal
+from folioweave.operators import lexical, quality, recommend, traversal
 from folioweave.operators import query_features as qf
 from folioweave.operators.ranking import top_per_key
 from folioweave.plans import graph
@@ -19,11 +19,11 @@ from folioweave.plans.behaviour import FEEDBACK, risk_table
 from folioweave.plans.corpus import FLAGS, PII, REDACT, TOPIC_CASE, TOPICS
 from folioweave.plans.fixtures import (
     ACTION_WEIGHTS, AS_OF, AS_OF_SQL, EV, LN, conversations, documents, interactions, line_blocks, structured_blocks,
-    table,
+    table, vectors,
 )
 from folioweave.plans.graph import GR, chunk_table, parts
 from folioweave.plans.registry import query
-from folioweave.plans.search import SEARCH, bench_queries, corpus_chunks, query_parts, search_results
+from folioweave.plans.search import EMB, SEARCH, bench_queries, corpus_chunks, query_parts, search_results
 from folioweave.plans.structure import HI, UN, structured, titles
 from folioweave.rules import quality as checks
 from folioweave.session import shared_folder, stage_table
@@ -327,6 +327,60 @@ def b25(spark, sf):
     return cv.checklist_progress(lists, checked)
 
 
+@query("b25_checklist_lookup", """WITH it AS (SELECT doc_id AS item_id, n_chars AS priority, CASE WHEN doc_id % 11 = 0 THEN 'general' ELSE lang END AS business, source AS deal FROM documents),
+rq AS (SELECT conv_id AS request_id, CASE WHEN conv_id % 5 <> 0 THEN (['en', 'fr', 'de', 'es'])[conv_id % 4 + 1] END AS business, CASE WHEN conv_id % 3 <> 0 THEN 'src' || (conv_id % 20) END AS deal FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT request_id, item_id, priority, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority, item_id) AS INTEGER) AS rank FROM rq JOIN it ON (rq.business IS NULL OR it.business IN (rq.business, 'general')) AND (rq.deal IS NULL OR it.deal = rq.deal) QUALIFY rank <= 5""")
+def b25_lookup(spark, sf):
+    d, c = F.col("doc_id"), F.col("conv_id")
+    items = documents(spark, sf).select(
+        d.alias("item_id"), F.col("n_chars").alias("priority"), F.when(d % 11 == 0, "general").otherwise(F.col("lang")).alias("business"),
+        F.col("source").alias("deal"),
+    )
+    names = F.array(*map(F.lit, ["en", "fr", "de", "es"]))
+    requests = conversations(spark, sf).select("conv_id").distinct().select(
+        c.alias("request_id"), F.when(c % 5 != 0, F.element_at(names, (c % 4 + 1).cast("int"))).alias("business"),
+        F.when(c % 3 != 0, F.concat(F.lit("src"), c % 20)).alias("deal"),
+    )
+    return recommend.lookup(items, requests, ["business", "deal"], 5, {"business": "general"})
+
+
+def tagged_vectors(spark, sf):
+    """Vectors as templates: the industry from the label, the kind from the id; every third request has no vector, some no filter."""
+    v, label = F.col("vec_id"), F.col("label").cast("string")
+    rows = vectors(spark, sf)
+    items = rows.select(
+        v.alias("item_id"), F.col("embedding").alias("vector"), (v % 17).alias("priority"),
+        F.when(v % 7 == 0, "general").otherwise(label).alias("industry"), (v % 3).cast("string").alias("kind"),
+    )
+    requests = rows.select(
+        v.alias("request_id"), F.when(v % 3 != 1, F.col("embedding")).alias("vector"),
+        F.when(v % 4 != 0, label).alias("industry"), F.when(v % 5 != 0, (v % 4).cast("string")).alias("kind"),
+    )
+    return items, requests
+
+
+@query("b24_template_recommendations", f"""WITH {EMB}, it AS (SELECT vec_id AS item_id, v, vec_id % 17 AS priority, CASE WHEN vec_id % 7 = 0 THEN 'general' ELSE CAST(label AS VARCHAR) END AS industry, CAST(vec_id % 3 AS VARCHAR) AS kind FROM e),
+rq AS (SELECT vec_id AS request_id, CASE WHEN vec_id % 3 <> 1 THEN v END AS q, CASE WHEN vec_id % 4 <> 0 THEN CAST(label AS VARCHAR) END AS industry, CASE WHEN vec_id % 5 <> 0 THEN CAST(vec_id % 4 AS VARCHAR) END AS kind FROM e),
+nr AS (SELECT request_id, item_id, 'vector' AS method, round(list_cosine_similarity(q, v), 6) AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, item_id) AS INTEGER) AS rank FROM rq JOIN it ON (rq.industry IS NULL OR rq.industry = it.industry) AND (rq.kind IS NULL OR rq.kind = it.kind) WHERE q IS NOT NULL QUALIFY rank <= 5)
+SELECT * FROM nr UNION ALL (SELECT request_id, item_id, 'profile', NULL, CAST(row_number() OVER (PARTITION BY request_id ORDER BY priority, item_id) AS INTEGER) AS rank FROM rq JOIN it ON (rq.industry IS NULL OR it.industry IN (rq.industry, 'general')) AND (rq.kind IS NULL OR rq.kind = it.kind) WHERE request_id NOT IN (SELECT request_id FROM nr) QUALIFY rank <= 5)""")
+def b24_recommendations(spark, sf):
+    return recommend.recommend_templates(*tagged_vectors(spark, sf), ["industry", "kind"], 5, {"industry": "general"})
+
+
+@query("b26_risk_recommendations", rf"""WITH {EMB}, it AS (SELECT item_id, lower(text) AS low, v FROM benchmark b LEFT JOIN e ON e.vec_id = b.item_id),
+rq AS (SELECT conv_id * 1000 + turn AS request_id, list_distinct(list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 4), 1, 6)) AS words, CASE WHEN conv_id % 2 = 0 THEN v END AS q FROM conversations c LEFT JOIN e ON e.vec_id = c.conv_id),
+nr AS (SELECT request_id, item_id, 'vector' AS method, round(list_cosine_similarity(q, v), 6) AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(list_cosine_similarity(q, v), 6) DESC, item_id) AS INTEGER) AS rank FROM rq, it WHERE q IS NOT NULL AND v IS NOT NULL QUALIFY rank <= 6),
+kw AS (SELECT request_id, item_id, len(list_filter(words, lambda w: contains(low, w)))::DOUBLE AS hits FROM rq, it WHERE request_id NOT IN (SELECT request_id FROM nr))
+SELECT * FROM nr UNION ALL (SELECT request_id, item_id, 'keyword', hits, CAST(row_number() OVER (PARTITION BY request_id ORDER BY hits DESC, item_id) AS INTEGER) AS rank FROM kw WHERE hits > 0 QUALIFY rank <= 6)""")
+def b26_recommendations(spark, sf):
+    known = vectors(spark, sf).select("vec_id", F.col("embedding").alias("vector"))
+    risks = table(spark, sf, "benchmark").join(known, F.col("item_id") == F.col("vec_id"), "left").select("item_id", F.col("text").alias("description"), "vector")
+    asked = conversations(spark, sf).join(known, F.col("conv_id") == F.col("vec_id"), "left").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text", F.when(F.col("conv_id") % 2 == 0, F.col("vector")).alias("vector")
+    )
+    return recommend.recommend_risks(risks, asked, 6)
+
+
 RISKS = [("dismissal", ["keit", "ung", "heit"]), ("boundary", [" the ", "wh", "th"]), ("breach", ["eau", "tion", "ment"]), ("fraud", ["ción", "que"])]
 
 
