@@ -60,3 +60,23 @@ HARD_GATES = [
 ]
 SMOKE_SHARE_TENTHS = 9
 MANUAL_SCENARIOS = 15
+
+# Smoke queries of a language; asked always, with articles, with clauses, and for words of section labels
+# (second word: not on labels that also contain it).  Other languages use the English ones.
+SMOKE_QUERIES = {
+    "vi": ([], ["điều", "hợp đồng", "bên", "nghĩa vụ", "thanh toán"], ["khoản"], [("chương", None), ("mục", "chương"), ("phần", None)]),
+    "mixed": (["điều", "article", "hợp đồng", "agreement"], [], ["khoản", "clause"], []),
+    "en": ([], ["article", "agreement", "obligation", "payment"], ["clause"], [("chapter", None), ("section", "chapter"), ("part", None)]),
+}
+SMOKE_FALLBACK = {"en": ["article", "clause"]}
+SMOKE_OTHER_FALLBACK = ["điều", "khoản"]
+# The word for an article in the other language, and names of one concept in both.
+CROSS_WORDS = {"vi": "Article", "en": "Điều"}
+BILINGUAL_ALIASES = [
+    ("article", "điều"), ("article", "article"), ("clause", "khoản"), ("clause", "clause"), ("chapter", "chương"),
+    ("chapter", "chapter"), ("section", "mục"), ("section", "section"), ("part", "phần"), ("part", "part"),
+]
+ARTICLE_NUMBER = r"(?iu)^\s*(?:điều|article|section|§)\s*([0-9]+[a-zđ]?)"
+PRIMARY_QUERIES, CROSS_QUERIES, CROSS_ARTICLES = 10, 5, 3
+SMOKE_PASS_TENTHS = 6
+CROSS_WARNING = 0.5
