@@ -96,8 +96,22 @@ def chunk_edges(chunks: DataFrame) -> DataFrame:
     return _edges(rows, "DERIVED_TO_CHUNK", 0.95, "structural")
 
 
+def attachment_nodes(rows: DataFrame, node_type: str) -> DataFrame:
+    """Nodes of tables or images: ``doc_id, source, title, confidence, degraded``.
+
+    The label is the title, or the source where a title is null or blank.
+    """
+    title = F.trim("title")
+    return rows.select(
+        node_id(F.col("doc_id"), node_type, F.col("source")).alias("node_id"), F.lit(node_type).alias("node_type"),
+        F.substring(F.when(title != "", title).otherwise(F.col("source")), 1, LABEL).alias("label"), "doc_id",
+        F.col("confidence").cast("double").alias("confidence"), F.coalesce("degraded", F.lit(False)).alias("degraded"),
+        F.lit(None).cast("string").alias("ref"),
+    )
+
+
 def attachment_edges(rows: DataFrame, edge_type: str, node_type: str) -> DataFrame:
-    """HAS_TABLE / HAS_IMAGE edges: ``doc_id, source``."""
+    """HAS_TABLE / HAS_IMAGE edges from the document to its attachments: ``doc_id, source``."""
     pairs = rows.select(
         "doc_id", node_id(F.col("doc_id"), "Document", F.lit("root")).alias("src"),
         node_id(F.col("doc_id"), node_type, F.col("source")).alias("dst"),
@@ -105,6 +119,29 @@ def attachment_edges(rows: DataFrame, edge_type: str, node_type: str) -> DataFra
     return _edges(pairs, edge_type, 0.9, "structural")
 
 
+def line_grids(lines: DataFrame, mark: str = ",", shortest: int = 2) -> DataFrame:
+    """Tables in plain text: runs of at least ``shortest`` neighbouring lines that contain ``mark``.
+
+    ``lines``: ``doc_id, pos, raw_text``, one row a position.  Gives ``doc_id, source,
+    title, first_pos, n_rows, n_columns``: the title is the run's first line, the
+    columns are those of its widest line.  A run's lines keep the same distance
+    between their position and their number among all marked lines of the document.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    marked = lines.filter(F.contains("raw_text", F.lit(mark))).select(
+        "doc_id", "pos", "raw_text", (F.col("pos") - F.row_number().over(order)).alias("_run"),
+        (F.length("raw_text") - F.length(F.replace("raw_text", F.lit(mark), F.lit("")))).alias("_marks"),
+    )
+    runs = marked.groupBy("doc_id", "_run").agg(
+        F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_rows"),
+        (F.max("_marks") / len(mark) + 1).cast("int").alias("n_columns"), F.min_by("raw_text", "pos").alias("title"),
+    ).filter(F.col("n_rows") >= shortest)
+    source = F.concat(F.lit("table_"), F.col("first_pos").cast("string"))
+    return runs.select("doc_id", source.alias("source"), "title", "first_pos", "n_rows", "n_columns")
+
+
 def article_refs(units: DataFrame) -> DataFrame:
     """(doc, ref) to article node; the last article wins on a repeated ref."""
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioweave.operators import graph_build as gb
 from folioweave.operators import hierarchy, quality, traversal
 from folioweave.operators.ranking import top_per_key
-from folioweave.plans.fixtures import documents, interactions, EV, structured_blocks, table
+from folioweave.plans.fixtures import EV, LN, documents, interactions, line_blocks, structured_blocks, table
 from folioweave.plans.registry import query
 from folioweave.plans.structure import HI, UN, structured, titles
 from folioweave.rules import graph as rules
@@ -85,10 +85,35 @@ def g02(spark, sf):
     return gb.containment_edges(u).unionByName(gb.chunk_edges(chunk_table(u))).drop("method", "doc_id")
 
 
-@query("g02_attachment_edges", f"SELECT 'HAS_TABLE' AS edge_type, {ROOT} AS src, {nid('doc_id', chr(39) + 'Table' + chr(39), 'source')} AS dst FROM documents")
-def g02_tables(spark, sf):
-    out = gb.attachment_edges(documents(spark, sf).select("doc_id", "source"), "HAS_TABLE", "Table")
-    return out.select("edge_type", "src", "dst")
+GRIDS = LN + """,
+gr0 AS (SELECT doc_id, pos, raw_text, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM ln WHERE contains(raw_text, ',')),
+gr1 AS (SELECT doc_id, min(pos) AS first_pos, count(*) AS n_rows, CAST(max(length(raw_text) - length(replace(raw_text, ',', ''))) + 1 AS INTEGER) AS n_columns, arg_min(raw_text, pos) AS title FROM gr0 GROUP BY doc_id, run HAVING count(*) >= 2),
+gt AS (SELECT *, 'table_' || first_pos AS src_id FROM gr1)"""
+
+
+def attachments(spark, sf):
+    """Tables are runs of lines with commas; every document's source stands for its one image."""
+    tables = gb.line_grids(line_blocks(spark, sf)).withColumns({"confidence": F.lit(0.8), "degraded": F.col("n_columns") > 9})
+    images = documents(spark, sf).select(
+        "doc_id", "source", F.when(F.col("doc_id") % 2 == 0, F.lit("scan")).alias("title"), F.lit(0.7).alias("confidence"),
+        F.lit(None).cast("boolean").alias("degraded"),
+    )
+    return tables, images
+
+
+@query("g02_attachment_edges", f"WITH {GRIDS} SELECT 'HAS_TABLE' AS edge_type, {ROOT} AS src, {nid('doc_id', chr(39) + 'Table' + chr(39), 'src_id')} AS dst FROM gt UNION ALL SELECT 'HAS_IMAGE', {ROOT}, {nid('doc_id', chr(39) + 'ImageEvidence' + chr(39), 'source')} FROM documents")
+def g02_attachments(spark, sf):
+    tables, images = attachments(spark, sf)
+    edges = gb.attachment_edges(tables, "HAS_TABLE", "Table").unionByName(gb.attachment_edges(images, "HAS_IMAGE", "ImageEvidence"))
+    return edges.select("edge_type", "src", "dst")
+
+
+@query("g02_attachment_nodes", f"WITH {GRIDS} SELECT {nid('doc_id', chr(39) + 'Table' + chr(39), 'src_id')} AS node_id, 'Table' AS node_type, substr(CASE WHEN trim(title, ' ') <> '' THEN trim(title, ' ') ELSE src_id END, 1, 120) AS label, doc_id, n_columns > 9 AS degraded FROM gt UNION ALL SELECT {nid('doc_id', chr(39) + 'ImageEvidence' + chr(39), 'source')}, 'ImageEvidence', CASE WHEN doc_id % 2 = 0 THEN 'scan' ELSE source END, doc_id, false FROM documents")
+def g02_nodes(spark, sf):
+    tables, images = attachments(spark, sf)
+    columns = ["doc_id", "source", "title", "confidence", "degraded"]
+    nodes = gb.attachment_nodes(tables.select(columns), "Table").unionByName(gb.attachment_nodes(images.select(columns), "ImageEvidence"))
+    return nodes.select("node_id", "node_type", "label", "doc_id", "degraded")
 
 
 @query("g03_reference_edges", f"WITH {GR} SELECT doc_id, src, dst FROM e0 WHERE edge_type = 'REFERS_TO'")

@@ -123,3 +123,15 @@ def test_worst_queries_are_the_named_ones_that_missed(spark):
         "query_id int, expected string, top1 string, top_score double",
     )
     assert [(r.query_id, r.top_score) for r in quality.worst_queries(rows, k=3).collect()] == [(4, 0.0), (6, 0.2), (2, 0.7)]
+
+
+def test_grids_are_runs_of_marked_lines(spark):
+    texts = {1: ["a,b", "c,d,e", "x", "f,g", "y", "h,i", "j,k"], 2: ["no", None, ""], 3: ["a,b", "c,d"]}
+    lines = spark.createDataFrame([(d, i, t) for d, ts in texts.items() for i, t in enumerate(ts)], "doc_id long, pos int, raw_text string")
+    got = sorted(tuple(r) for r in graph_build.line_grids(lines).collect())
+    assert got == [(1, "table_0", "a,b", 0, 2, 3), (1, "table_5", "h,i", 5, 2, 2), (3, "table_0", "a,b", 0, 2, 2)]
+    rows = spark.createDataFrame([(1, "table_0", " ", 0.8, None), (1, "table_5", None, None, True), (2, "t", " Fees ", 0.8, False)], "doc_id long, source string, title string, confidence double, degraded boolean")
+    nodes = graph_build.attachment_nodes(rows, "Table").collect()
+    assert [(n.label, n.degraded) for n in nodes] == [("table_0", False), ("table_5", True), ("Fees", False)]
+    edges = graph_build.attachment_edges(rows, "HAS_TABLE", "Table").collect()
+    assert {e.dst for e in edges} == {n.node_id for n in nodes} and len({e.src for e in edges}) == 2
