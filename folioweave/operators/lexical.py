@@ -277,9 +277,9 @@ def search_within(queries: DataFrame, chunks: DataFrame, expanded: DataFrame, k:
 
     ``queries``: ``query_id, scope, terms array, ref``; ``chunks``: ``chunk_id, scope,
     content, confidence, degraded, refs array``; ``expanded``: ``query_id, term``.
-    Occurrences are counted once for all scopes, then meet the queries by scope and
-    term, so the work grows with the scopes and not with their product.  Queries
-    without a match have no row; null scopes match nothing.
+    The distinct terms of a scope travel to its chunks as one array, for scopes with a
+    modest number of queries; a chunk's text is read once, and only the terms found in
+    it leave the row.  Queries without a match have no row; null scopes match nothing.
     """
     own = queries.select("query_id", "scope", F.explode("terms").alias("term")).filter(F.length("term") >= 2)
     wide = expanded.filter(F.length("term") >= 2).join(queries.select("query_id", "scope"), "query_id").select("query_id", "scope", "term")
@@ -288,19 +288,24 @@ def search_within(queries: DataFrame, chunks: DataFrame, expanded: DataFrame, k:
         .unionByName(queries.where("ref is not null").select("query_id", "scope", F.concat(F.lit(_REF_MARK), "ref").alias("term"), F.lit(_REF).alias("mark")))
         .groupBy("query_id", "scope", "term").agg(F.bit_or("mark").alias("mark"))
     )
-    terms = asked.filter(F.col("mark") < _REF).select("term").distinct()
-    counts = term_counts(postings(chunks), terms).join(chunks.select("chunk_id", "scope"), "chunk_id")
-    refs = chunks.select("chunk_id", "scope", F.explode("refs").alias("ref")).distinct()
-    found = counts.select("chunk_id", "scope", "term", F.least("n", F.lit(3)).alias("impact")).unionByName(
-        refs.select("chunk_id", "scope", F.concat(F.lit(_REF_MARK), "ref").alias("term"), F.lit(0).cast("bigint").alias("impact"))
+    wanted = asked.groupBy("scope").agg(F.collect_set("term").alias("_terms"))
+    low = F.col("_low")
+    counted = F.transform("_terms", lambda t: F.struct(
+        t.alias("term"),
+        F.when(F.array_contains(F.transform("refs", lambda r: F.concat(F.lit(_REF_MARK), r)), t), F.lit(0))
+        .when(F.contains(low, t), F.least(tx.occurrences(low, t), F.lit(3))).alias("impact"),
+    ))
+    lowered = chunks.withColumns({"_low": F.lower(F.coalesce("content", F.lit(""))), "tokens": F.floor(F.length("content") / 4)})
+    found = lowered.join(wanted, "scope").select(
+        "chunk_id", "scope", "confidence", "degraded", "tokens",
+        F.inline(F.filter(counted, lambda s: s["impact"].isNotNull())),
     )
-    hits = asked.join(found, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(
+    hits = asked.join(found, ["scope", "term"]).groupBy("query_id", "chunk_id", "confidence", "degraded", "tokens").agg(
         F.sum(F.col("mark").bitwiseAND(F.lit(_OWN)) * F.col("impact")).alias("tf"), F.bit_or("mark").alias("mark")
     )
     sizes = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    facts = chunks.select("chunk_id", "confidence", "degraded", F.floor(F.length("content") / 4).alias("tokens"))
     match_type = F.when(F.col("mark") >= _REF, "canonical_ref").when(F.col("mark") >= _WIDE, "alias_keyword").otherwise("keyword")
-    scored = hits.join(sizes, "query_id", "left").join(facts, "chunk_id").withColumn("match_type", match_type)
+    scored = hits.join(sizes, "query_id", "left").withColumn("match_type", match_type)
     n_terms = F.coalesce("n_terms", F.lit(0))
     score = passage_score(F.col("match_type"), F.col("confidence"), F.col("degraded"), F.col("tf"), n_terms, F.col("tokens"))
     rows = scored.select("query_id", "chunk_id", "match_type", half_up_column(score).alias("score"))

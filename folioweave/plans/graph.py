@@ -152,10 +152,10 @@ def g05(spark, sf):
 ATEXT = "atx AS (SELECT doc_id, in_article AS article_no, string_agg(raw_text, ' ' ORDER BY pos) AS text, arg_min(substr(t, 1, 120), pos) AS label FROM hi WHERE in_article IS NOT NULL GROUP BY 1, 2)"
 
 
-def article_texts(spark, sf):
+def article_texts(spark, sf, blocks=None):
     from folioweave.operators.chunking import ordered_text
 
-    return structured(spark, sf).filter(F.col("in_article").isNotNull()).groupBy(
+    return (structured(spark, sf) if blocks is None else blocks).filter(F.col("in_article").isNotNull()).groupBy(
         "doc_id", F.col("in_article").alias("article_no")
     ).agg(
         ordered_text(sep=" ").alias("text"),

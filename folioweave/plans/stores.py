@@ -540,14 +540,14 @@ smo AS (SELECT doc_id, language, queries, hit, mean_hits, round(hit / greatest(q
 
 def smoke_results(spark, sf):
     """Every document asked through the search over its own articles."""
-    _, u = parts(spark, sf)
+    s, u = parts(spark, sf)
     languages = documents(spark, sf).select("doc_id", _language().alias("language"))
     articles = u.filter("unit = 'article'").select("doc_id", F.col("idx").alias("article_no"), F.array("ref").alias("refs"))
     i = F.col("article_no")
-    chunks = stage_table(graph.article_texts(spark, sf).join(articles, ["doc_id", "article_no"]).select(
+    chunks = graph.article_texts(spark, sf, s).join(articles, ["doc_id", "article_no"]).select(
         (F.col("doc_id") * 1000000 + i).alias("chunk_id"), F.col("doc_id").alias("scope"), F.col("text").alias("content"),
         (F.lit(0.5) + i % 5 / 10.0).alias("confidence"), (i % 9 == 4).alias("degraded"), "refs",
-    ))
+    )
     aliases = spark.createDataFrame(checks.BILINGUAL_ALIASES, "concept string, alias string")
     return smoke.rate_smoke(smoke.run_smoke(smoke.smoke_queries(languages, u), chunks, aliases)), u
 
