@@ -32,13 +32,13 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str, files_per_trigger: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """Parquet tables of a folder as a stream; a table is one file or a folder of files.
+
+    ``pattern`` is a glob in the path itself: a filter on file names would miss the parts
+    of a table that is a folder.  In braces it stays a glob without a wildcard, as Spark
+    takes no single file as the base of a stream.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{pattern}}}")
 
 
 @contextlib.contextmanager
