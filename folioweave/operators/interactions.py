@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.operators.bounded_search import half_up_column
 from folioweave.operators.ranking import lead_in_time, page_per_key, top_per_key
 
 # Weight of an action in preference scores.
@@ -157,7 +158,27 @@ def decayed_weights(events: DataFrame, as_of: str, days: int = 60, limit: int =
         F.sum(F.exp(F.lit(-DECAY_PER_DAY) * age)).alias("raw")
     )
     best = F.max("raw").over(Window.partitionBy("user_id"))
-    return raw.select("user_id", "topic", F.round(F.col("raw") / best, 3).alias("weight"))
+    return raw.select("user_id", "topic", half_up_column(F.col("raw") / best, 3).alias("weight"))
+
+
+def unexplored_neighbours(weights: DataFrame, adjacency: DataFrame, *more: Column) -> DataFrame:
+    """Top topic per user, its weight, and its neighbours that the user has not explored, nearest first.
+
+    ``more``: further aggregates over the rows of a user.
+    """
+    top = weights.groupBy("user_id").agg(
+        F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("top_topic"),
+        F.max("weight").alias("top_weight"),
+        F.collect_set("topic").alias("explored"),
+        *more,
+    )
+    near = adjacency.groupBy(F.col("topic").alias("top_topic")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "neighbour"))).alias("near")
+    )
+    unexplored = F.array_except(F.transform("near", lambda s: s["neighbour"]), F.col("explored"))
+    return top.join(near, "top_topic", "left").withColumn(
+        "adjacent_topics", F.coalesce(unexplored, F.array().cast("array<int>"))
+    )
 
 
 def profile_summary(
@@ -177,83 +198,45 @@ def profile_summary(
         F.countDistinct(F.to_date("ts")).alias("days_active"),
         F.max("ts").alias("last_active"),
     )
-    weights = decayed_weights(events, as_of, days, limit)
-    top = weights.groupBy("user_id").agg(
-        F.max_by("topic", F.struct("weight", -F.col("topic"))).alias("top_topic"),
-        F.collect_set("topic").alias("explored"),
-    )
-    near = adjacency.groupBy("topic").agg(
-        F.array_sort(F.collect_list(F.struct("position", "neighbour"))).alias("near")
-    )
-    joined = totals.join(top, "user_id", "left").join(
-        near, F.col("top_topic") == near["topic"], "left"
-    )
-    unexplored = F.array_except(
-        F.transform("near", lambda s: s["neighbour"]), F.col("explored")
-    )
-    return joined.select(
+    near = unexplored_neighbours(decayed_weights(events, as_of, days, limit), adjacency)
+    return totals.join(near, "user_id", "left").select(
         "user_id",
         "total_interactions",
         "days_active",
         "top_topic",
         "last_active",
-        F.coalesce(unexplored, F.array().cast("array<int>")).alias("adjacent_topics"),
+        F.coalesce("adjacent_topics", F.array().cast("array<int>")).alias("adjacent_topics"),
     )
 
 
 def proactive_suggestions(
     events: DataFrame, adjacency: DataFrame, as_of: str, limit: int = 6
 ) -> DataFrame:
-    """Re-engage, cross-topic and trending suggestions, best ``limit`` per user."""
-    weights = decayed_weights(events, as_of)
-    recent = topics_since(events, as_of)
+    """Re-engage, cross-topic and trending suggestions, best ``limit`` per user.
 
-    re_engage = (
-        weights.filter(F.col("weight") >= RE_ENGAGE_MIN_WEIGHT)
-        .join(recent, ["user_id", "topic"], "left_anti")
-        .select(
-            "user_id",
-            F.lit("re_engage").alias("rec_type"),
-            "topic",
-            F.round(F.col("weight") * 0.9, 3).alias("score"),
-        )
-    )
-
-    summary = profile_summary(events, adjacency, as_of)
-    top_weight = weights.select(
-        "user_id", F.col("topic").alias("top_topic"), F.col("weight").alias("top_weight")
-    )
-    cross = (
-        summary.filter(F.size("adjacent_topics") > 0)
-        .join(top_weight, ["user_id", "top_topic"])
-        .select(
-            "user_id",
-            F.lit("cross_domain").alias("rec_type"),
-            F.explode(F.slice("adjacent_topics", 1, 3)).alias("topic"),
-            F.round(F.col("top_weight") * 0.6, 3).alias("score"),
-        )
-    )
-
-    trending = trending_topics(events, 5).select(
-        F.collect_list(F.struct("topic", F.col("rank").alias("place"))).alias("trend")
-    )
-    explored = weights.groupBy("user_id").agg(F.collect_set("topic").alias("explored"))
-    # one row holding five topics is attached to every user
-    popular = (
-        explored.withColumn("_one", F.lit(1))
-        .join(F.broadcast(trending.withColumn("_one", F.lit(1))), "_one")
-        .select("user_id", "explored", F.explode("trend").alias("t"))
-        .filter(~F.array_contains("explored", F.col("t.topic")))
-        .select(
-            "user_id",
-            F.lit("proactive").alias("rec_type"),
-            F.col("t.topic").alias("topic"),
-            F.round(F.greatest(F.lit(0.3), F.lit(0.55) - (F.col("t.place") - 1) * 0.05), 3).alias(
-                "score"
-            ),
-        )
-    )
-    everything = re_engage.unionByName(cross).unionByName(popular)
+    All kinds come from one row per user with the weights of their topics.  A union of
+    branches that are each partitioned by user fails when adaptive execution leaves
+    them different numbers of partitions.
+    """
+    recent = topics_since(events, as_of).withColumn("recent", F.lit(True))
+    weights = decayed_weights(events, as_of).join(recent, ["user_id", "topic"], "left")
+    trending = trending_topics(events, 5).agg(F.collect_list(F.struct("topic", "rank")).alias("trend"))
+    users = unexplored_neighbours(
+        weights, adjacency, F.collect_list(F.struct("topic", "weight", "recent")).alias("weights")
+    ).crossJoin(F.broadcast(trending))  # one row holding five topics is attached to every user
+
+    def suggestion(kind: str, topic: Column, score: Column) -> Column:
+        return F.struct(F.lit(kind).alias("rec_type"), topic.alias("topic"), half_up_column(score, 3).alias("score"))
+
+    idle = F.filter("weights", lambda w: (w["weight"] >= RE_ENGAGE_MIN_WEIGHT) & w["recent"].isNull())
+    unseen = F.filter("trend", lambda t: ~F.array_contains("explored", t["topic"]))
+    everything = users.select("user_id", F.inline(F.concat(
+        F.transform(idle, lambda w: suggestion("re_engage", w["topic"], w["weight"] * 0.9)),
+        F.transform(F.slice("adjacent_topics", 1, 3), lambda t: suggestion("cross_domain", t, F.col("top_weight") * 0.6)),
+        F.transform(unseen, lambda t: suggestion(
+            "proactive", t["topic"], F.greatest(F.lit(0.3), F.lit(0.55) - (t["rank"] - 1) * 0.05)
+        )),
+    )))
     return top_per_key(
         everything, ["user_id"], [F.desc("score"), F.asc("rec_type"), F.asc("topic")], limit
     )
@@ -262,16 +245,16 @@ def proactive_suggestions(
 def personal_feed(
     suggestions: DataFrame, users: DataFrame, defaults: DataFrame, limit: int = 8
 ) -> DataFrame:
-    """Suggestions per user; users without any receive the default rows."""
-    served = suggestions.select("user_id", "rec_type", "topic", "score")
-    fresh = users.join(served.select("user_id").distinct(), "user_id", "left_anti")
-    filled = (
-        fresh.withColumn("_one", F.lit(1))
-        .join(F.broadcast(defaults.withColumn("_one", F.lit(1))), "_one")
-        .select("user_id", "rec_type", "topic", "score")
-    )
+    """Suggestions per user; users without any receive the default rows.
+
+    ``users`` are distinct; ``defaults`` is a handful of rows, attached as one.
+    """
+    served = suggestions.select("user_id", F.struct("rec_type", "topic", "score").alias("own"))
+    filler = defaults.agg(F.collect_list(F.struct("rec_type", "topic", "score")).alias("defaults"))
+    shown = F.when(F.col("own").isNull(), F.col("defaults")).otherwise(F.array("own"))
+    everyone = served.join(users, "user_id", "full").crossJoin(F.broadcast(filler))
     return top_per_key(
-        served.unionByName(filled),
+        everyone.select("user_id", F.inline(shown)),
         ["user_id"],
         [F.desc("score"), F.asc("rec_type"), F.asc("topic")],
         limit,
