@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,13 @@ from folioweave.operators.interactions import (
 from folioweave.operators.ranking import ranked_prefix, top_per_key
 from folioweave.session import spread, stage_table
 
-HOT_ITEMS = 6
+#: Bits of a mask word, and words of a mask: so many of the most used items are kept out of the pair join.
+WORD, WORDS = 63, 2
+HOT_ITEMS = WORD * WORDS
+MASK = [f"m{i}" for i in range(WORDS)]
+OTHER = [f"o{i}" for i in range(WORDS)]
+#: Masks of one block, and bits that are compared first.
+MASKS, HEAD_BITS = 16384, 8
 
 
 def user_item_weights(events: DataFrame, weights: dict[str, float] | None, other: float) -> DataFrame:
@@ -32,66 +40,58 @@ def co_user_items(
 ) -> DataFrame:
     """For every user: items used by people who share an item, best ``k``.
 
-    An item used by a third of all people would make every pair of them
-    co-users.  So the few most used items are taken out of the pair join: each
-    user carries a bit mask saying which of them they used, users with equal
-    masks are aggregated together, and "shares a popular item" becomes
-    "overlapping masks", a relation over at most 2**HOT_ITEMS masks.  Pairs are
-    formed only through the other items, and only where the masks do not
-    overlap.  Both parts are exact and disjoint, so sums and counts add up.
+    An item used by a third of all people would make every pair of them co-users.
+    So the most used items are taken out of the pair join: each user carries a bit
+    mask saying which of them they used, and whoever has a mask counts as a co-user
+    of all others with one, minus those whose masks are disjoint (``disjoint_masks``).
+    Where people share popular items such masks are few, so one ranking of all items
+    serves nearly everybody.  Pairs are formed only through the other items, and
+    only where the masks are disjoint.  Both parts are exact, so sums and counts add up.
     """
     # far smaller than the log and read by every branch below
     ui = stage_table(user_item_weights(events, weights, other))
     hot = (
-        ui.groupBy("item").agg(F.count(F.lit(1)).alias("users"))
+        ui.filter(F.col("item").isNotNull()).groupBy("item").agg(F.count(F.lit(1)).alias("users"))
         .orderBy(F.desc("users"), F.asc("item")).limit(HOT_ITEMS)
     )
-    hot_bits = hot.select(
-        "item",
-        F.expr("shiftleft(1L, row_number() over (order by users desc, item) - 1)").alias("bit"),
-    )
+    hot_bits = hot.select("item", F.expr("row_number() over (order by users desc, item) - 1").alias("bit"))
     tagged = ui.join(F.broadcast(hot_bits), "item", "left")
+    word = lambda i: F.expr(f"if(bit div {WORD} = {i}, shiftleft(1L, bit % {WORD}), 0L)")
     masks = stage_table(
         tagged.groupBy("user_id").agg(
-            F.coalesce(F.sum("bit"), F.lit(0)).alias("mask"), F.count(F.lit(1)).alias("n_seen")
+            *[F.coalesce(F.sum(word(i)), F.lit(0)).alias(m) for i, m in enumerate(MASK)], F.count(F.lit(1)).alias("n_seen")
         )
     )
-    rated = ui.join(masks.select("user_id", "mask"), "user_id")
+    masked = F.greatest(*MASK) > 0
+    rated = ui.join(masks.filter(masked).select("user_id", *MASK), "user_id")
 
-    # popular part: totals per mask, then per overlapping mask
+    # popular part: totals of all who have a mask, less what belongs to disjoint masks
+    total = rated.groupBy("item").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("people"))
+    apart = stage_table(disjoint_masks(masks.filter(masked).select(*MASK).distinct()))
     by_mask = (
-        rated.filter("mask > 0")
-        .groupBy("mask", "item")
+        rated.join(apart.select(*[F.col(o).alias(m) for m, o in zip(MASK, OTHER)]).distinct(), MASK, "left_semi")
+        .groupBy(*[F.col(m).alias(o) for m, o in zip(MASK, OTHER)], "item")
         .agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("people"))
     )
-    seen_masks = masks.filter("mask > 0").select("mask").distinct()
-    bit_list = F.array(*[F.lit(1 << i).cast("bigint") for i in range(HOT_ITEMS)])
-    mask_bits = seen_masks.select(
-        "mask",
-        F.explode(F.filter(bit_list, lambda b: F.col("mask").bitwiseAND(b) != 0)).alias("bit"),
-    )
-    overlapping = (
-        mask_bits.withColumnRenamed("mask", "own_mask")
-        .join(mask_bits, "bit").select("own_mask", "mask").distinct()
-    )
-    popular = (
-        by_mask.join(F.broadcast(overlapping), "mask")
-        .groupBy("own_mask", "item")
-        .agg(F.sum("w").alias("w"), F.sum("people").alias("people"))
+    strangers = stage_table(
+        apart.join(by_mask, OTHER).groupBy(*MASK, "item").agg(F.sum("w").alias("w"), F.sum("people").alias("people"))
     )
 
     # tail part: pairs through the remaining items with disjoint masks
     tail = (
         tagged.filter(F.col("bit").isNull()).select("user_id", "item").join(masks, "user_id")
-        .select("user_id", "item", "mask")
+        .select("user_id", "item", *MASK)
     )
     left, right = spread(tail, "user_id").alias("a"), tail.alias("b")
+    disjoint = F.lit(True)
+    for m in MASK:
+        disjoint = disjoint & (F.col(f"a.{m}").bitwiseAND(F.col(f"b.{m}")) == 0)
     pairs = (
         left.join(
             right,
             (F.col("a.item") == F.col("b.item"))
             & (F.col("a.user_id") != F.col("b.user_id"))
-            & (F.col("a.mask").bitwiseAND(F.col("b.mask")) == 0),
+            & disjoint,
         )
         .select(F.col("a.user_id").alias("user_id"), F.col("b.user_id").alias("peer"))
         .distinct()
@@ -102,37 +102,32 @@ def co_user_items(
         .agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("people"))
     )
 
-    # candidates: tail items, plus just enough of the mask's ranking that the
-    # best k unseen items must be among them
-    tail_full = (
-        tail_scores.join(masks.select("user_id", "mask"), "user_id")
-        .join(
-            popular.select(
-                F.col("own_mask").alias("mask"), "item",
-                F.col("w").alias("hw"), F.col("people").alias("hp"),
-            ),
-            ["mask", "item"],
-            "left",
-        )
+    # candidates: tail items, plus just enough of the ranking of the totals that the
+    # best k unseen items must be among them: what strangers take away moves items down
+    ranking = total.withColumn("rank", F.expr("row_number() over (order by w desc, item)")).withColumn("all", F.lit(1))
+    lowered = strangers.groupBy(*MASK).agg(F.count(F.lit(1)).alias("n_lowered"))
+    needs = masks.filter(masked).join(F.broadcast(lowered), MASK, "left").select(
+        "user_id", F.lit(1).alias("all"), (F.col("n_seen") + F.coalesce("n_lowered", F.lit(0)) + F.lit(k)).alias("need")
+    )
+    head = ranked_prefix(needs, ranking, "all", "need").select("user_id", "item")
+    # items that may still be won, before anything is looked up for them
+    fresh = head.unionByName(tail_scores.select("user_id", "item")).distinct().join(
+        ui.select("user_id", "item"), ["user_id", "item"], "left_anti"
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    scored = (
+        fresh.join(masks.select("user_id", *MASK, masked.alias("masked")), "user_id")
+        .join(total.select("item", F.col("w").alias("tw"), F.col("people").alias("tp")), "item", "left")
+        .join(strangers.select(*MASK, "item", F.col("w").alias("sw"), F.col("people").alias("sp")), [*MASK, "item"], "left")
+        .join(tail_scores, ["user_id", "item"], "left")
         .select(
             "user_id", "item",
-            (F.col("w") + F.coalesce("hw", F.lit(0.0))).alias("w"),
-            (F.col("people") + F.coalesce("hp", F.lit(0))).alias("people"),
+            (F.when(F.col("masked"), zero("tw") - zero("sw")).otherwise(0.0) + zero("w")).alias("w"),
+            (F.when(F.col("masked"), zero("tp") - zero("sp")).otherwise(0) + zero("people")).alias("people"),
         )
+        .filter("people > 0")
     )
-    ranking = popular.withColumnRenamed("own_mask", "mask").withColumn(
-        "rank",
-        F.expr("row_number() over (partition by mask order by w desc, item)"),
-    )
-    needs = masks.filter("mask > 0").select(
-        "user_id", "mask", (F.col("n_seen") + F.lit(k)).alias("need")
-    )
-    head = ranked_prefix(needs, ranking, "mask", "need").select("user_id", "item", "w", "people")
-    head_only = head.join(tail_scores.select("user_id", "item"), ["user_id", "item"], "left_anti")
-    fresh = tail_full.unionByName(head_only).join(
-        ui.select("user_id", "item"), ["user_id", "item"], "left_anti"
-    )
-    return top_per_key(fresh, ["user_id"], [F.desc("w"), F.asc("item")], k).select(
+    return top_per_key(scored, ["user_id"], [F.desc("w"), F.asc("item")], k).select(
         "user_id",
         "item",
         F.col("w").alias("collab_score"),
@@ -141,6 +136,37 @@ def co_user_items(
     )
 
 
+def disjoint_masks(masks: DataFrame, block: int = MASKS) -> DataFrame:
+    """Pairs of masks without a common bit, in both orders: columns ``MASK`` and ``OTHER``.
+
+    Blocks of masks meet in cells of bounded memory.  Within a cell the first bits,
+    those of the most used items, are compared per distinct value, and only the masks
+    behind values without a common bit are compared further.
+    """
+    cells = max(1, -(-masks.count() // block))
+    mine = F.pmod(F.xxhash64(*MASK), F.lit(cells)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    left = masks.select("*", mine.alias("_a"), every.alias("_b"))
+    right = masks.select(*[F.col(m).alias(o) for m, o in zip(MASK, OTHER)], mine.alias("_b"), every.alias("_a"))
+
+    def cell(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        a, b = own[MASK].to_numpy(np.int64), other[OTHER].to_numpy(np.int64)
+        low = (1 << HEAD_BITS) - 1
+        a, b = a[np.argsort(a[:, 0] & low, kind="stable")], b[np.argsort(b[:, 0] & low, kind="stable")]
+        heads, first = np.unique(a[:, 0] & low, return_index=True)
+        found = [np.zeros((0, 2 * WORDS), np.int64)]
+        for head, rows in zip(heads, np.split(a, first[1:])):
+            rest = b[(b[:, 0] & head) == 0]
+            for n in range(0, len(rows), 256):
+                part = rows[n : n + 256]
+                i, j = np.nonzero(~np.logical_or.reduce([(part[:, w, None] & rest[None, :, w]) != 0 for w in range(WORDS)]))
+                found.append(np.hstack([part[i], rest[j]]))
+        return pd.DataFrame(np.concatenate(found), columns=[*MASK, *OTHER])
+
+    schema = ", ".join(f"{c} bigint" for c in [*MASK, *OTHER])
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(cell, schema)
+
+
 def topic_sets(interest: DataFrame, top: int = 3) -> DataFrame:
     """The set of each user's best topics, as a key many users share.
 
