@@ -114,7 +114,7 @@ def keyword_matches(items: DataFrame, requests: DataFrame, limit: int, words: in
     long = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.length(w) >= shortest)
     terms = requests.select("request_id", F.explode(F.array_distinct(F.slice(long, 1, words))).alias("term")).distinct()
     chunks = items.select(F.col("item_id").alias("chunk_id"), F.col("description").alias("content"))
-    found = stage_table(lexical.term_counts(lexical.postings(chunks), terms, shortest).select("chunk_id", "term", F.lit(1).alias("impact")))
+    found = stage_table(lexical.term_counts(chunks, terms, shortest).select("chunk_id", "term", F.lit(1).alias("impact")))
     one = F.lit(1)
     asked = terms.select(F.col("request_id").alias("query_id"), "term", one.alias("weight"), one.alias("mark"), one.alias("size"))
     facts = found.select("chunk_id").distinct().select("chunk_id", F.array(F.lit(0.0)).alias("facts"))

@@ -661,7 +661,7 @@ SCOPED = SEARCH.replace("lang FROM documents)", "lang FROM documents WHERE lang
 def r33(spark, sf):
     # the tenant's scope comes before the search, so that its 20 best are all in scope
     chunks = corpus_chunks(spark, sf).filter((F.col("lang") == "en") | (F.col("chunk_id") % 2 == 0))
-    found = stage_table(search_results(spark, sf, chunks=chunks))
+    found = search_results(spark, sf, chunks=chunks)
     seeds = found.filter(F.col("rank") <= 5).select("query_id", "chunk_id")
     return traversal.evidence_bundles(
         seeds, found.select("query_id", "chunk_id"), chunks.select("chunk_id", "confidence", "degraded")
