@@ -95,3 +95,17 @@ def test_seen_documents_are_left_out_before_the_cut(spark):
     near = lambda q, n: vs.top_k_similar(q, items, n, skip_self=True)
     got = vs.item_based(events, near, items.withColumnRenamed("item_id", "query_id"), items.select("item_id", F.col("item_id").alias("doc")), seeds=1)
     assert [r["doc"] for r in got.orderBy("rank").collect()] == list(range(41, 51))
+
+
+def test_queries_ask_for_every_fiftieth_row_against_all(spark, sf_dir):
+    """The registered searches take the ids divisible by 50, find them among all rows, and report their own recall."""
+    from folioweave.plans import catalog
+
+    ids = {r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+    asked = {i for i in ids if i % 50 == 0}
+    found = catalog.all_queries()["r14_approximate_top_k"](spark, sf_dir).collect()
+    assert {r["query_id"] for r in found} == asked and len(found) == 10 * len(asked)
+    assert {r["item_id"] for r in found} - asked
+    assert {r["query_id"] for r in catalog.all_queries()["r35_clause_similarity_approximate"](spark, sf_dir).collect()} == asked
+    row = catalog.all_queries()["r14_recall_at_10"](spark, sf_dir).first()
+    assert row["queries"] == len(asked) and row["all_pairs"] == len(asked) * len(ids) and row["recall"] >= 0.9
