@@ -105,3 +105,39 @@ def test_copies_of_an_unmarked_page_and_pages_without_a_host_stay(spark):
     text = "a page of twelve words that stands twice on its one host"
     got = sorted((r.page_id, r.text) for r in html_extract.extract_text(pages).collect())
     assert got == [(1, text), (1, text), (2, text), (3, text), (4, text + " more"), (5, text + " yet"), (6, text), (7, text), (8, "other")]
+
+
+def test_repeats_decide_beside_an_article_too(spark):
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    card = f"<article class='card'><p>{words('card', 9)}</p></article>"
+    notice = f"<div>{words('notice', 20)}</div>"
+    note = lambda i: f"<article><h2>short</h2><p>own note {i}</p></article>"
+    data = [(i, f"http://h/{i}", f"<body><nav>{words('menu', 9)}</nav>{card}<div><p>{words(f'lead{i}x', 30)}</p></div>") for i in (1, 2, 3)]
+    data += [(i, f"http://n/{i}", notice + note(i) + f"<footer>{i}</footer>") for i in (4, 5)]
+    data += [(6, "http://alone/", notice + note(6)), (7, "http://few/", note(7) + f"<p>{words('beside', 7)}</p>")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    # a card on all pages of its host goes, the words beside it are the text
+    assert [got[i] for i in (1, 2, 3)] == [words(f"lead{i}x", 30) for i in (1, 2, 3)]
+    # more words than the article's, but the host repeats them; on a host with one page it does not
+    assert [got[i] for i in (4, 5)] == ["short own note 4", "short own note 5"]
+    assert got[6] == words("notice", 20) + " short own note 6"
+    assert got[7] == "short own note 7"  # too few words to be called repeated or not
+
+
+def test_neighbours_across_ranges_and_batches(spark):
+    import random
+
+    rnd = random.Random(11)
+    streams = [[rnd.choice("abcd") for _ in range(rnd.randint(0, 30))] + ["all", "pages", "say", "so"] * rnd.randint(0, 2) for _ in range(60)]
+    pages = spark.createDataFrame([(i, "http://h/", " ".join(s)) for i, s in enumerate(streams)], "page_id int, url string, html string")
+    settings = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "3"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.page_id: r.text for r in html_extract.extract_text(pages, long=4).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [got[i] for i in range(60)] == [" ".join(s) for s in plain_cover(streams, 4)]
