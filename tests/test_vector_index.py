@@ -109,3 +109,28 @@ def test_queries_ask_for_every_fiftieth_row_against_all(spark, sf_dir):
     assert {r["query_id"] for r in catalog.all_queries()["r35_clause_similarity_approximate"](spark, sf_dir).collect()} == asked
     row = catalog.all_queries()["r14_recall_at_10"](spark, sf_dir).first()
     assert row["queries"] == len(asked) and row["all_pairs"] == len(asked) * len(ids) and row["recall"] >= 0.9
+
+
+def test_a_query_goes_to_a_cell_once_however_many_lists_it_probes(clustered, index, monkeypatch):
+    """It was copied to each list that it probes and came back with k rows from each."""
+    queries, exact, sent = as_queries(clustered).drop("label"), vs.top_k_similar, []
+    truth = sorted(map(tuple, exact(queries, clustered.drop("label"), 10, skip_self=True).collect()))
+    whole = vi.VectorIndex(index.centroids, index.items, len(index.centroids))
+    monkeypatch.setattr(vs, "top_k_similar", lambda q, *a, **b: sent.append(q.count()) or exact(q, *a, **b))
+    assert sorted(map(tuple, vi.search(whole, queries, 10, skip_self=True).collect())) == truth
+    assert sorted(map(tuple, vi.search(whole, queries, 10, skip_self=True, cell_rows=1000).collect())) == truth
+    assert sent[0] == 300 and sent[1] <= 300 * 8
+
+
+def test_a_cell_compares_the_probed_lists_only(index):
+    items = index.items.toPandas()
+    queries = items.head(600)[["item_id", "vector"]].rename(columns={"item_id": "query_id"})
+    queries["lists"] = [np.array([i % 7, 7 + i % 5, 40]) for i in range(600)]
+    found = vs._best_in_cell(queries, items, 4, -2.0, True)
+    per_list = items.groupby("list")
+    for i in range(0, 600, 37):
+        mine = queries.iloc[[i]].drop(columns="lists")
+        near = [vs._best_in_cell(mine, per_list.get_group(n).drop(columns="list"), 4, -2.0, True) for n in queries["lists"].iloc[i] if n in per_list.groups]
+        want = sorted((-s, t) for part in near for t, s in zip(part["item_id"], part["score"]))[:4]
+        got = found[found["query_id"] == mine["query_id"].iloc[0]]
+        assert sorted((-s, t) for t, s in zip(got["item_id"], got["score"])) == want
