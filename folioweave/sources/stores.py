@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.session import new_folder
+
 # File types by extension.
 FILE_TYPES = {"pdf": "pdf", "docx": "docx", "doc": "doc", "html": "html", "htm": "html", "txt": "txt", "parquet": "table"}
 
@@ -16,20 +22,146 @@ TRACE_SCHEMA = (
 )
 
 
+#: A text file may begin with it; Spark's line reader leaves it out.
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
+def _file_type(path: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv])
+    return kinds[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))]
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*", digest: bool = True) -> DataFrame:
     """Supported files below a path with type, size and content hash.
 
-    Without ``digest`` the content column is not read at all.
+    Without ``digest`` no content is read at all; with it, files are read line by line.
+    """
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    listed = spark.read.format("binaryFile").options(**options).load(path)
+    files = listed.select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), _file_type(F.col("path")).alias("file_type"),
+        F.col("length").alias("size"), F.col("_metadata.file_path").alias("file"),
+    ).filter(F.col("file_type").isNotNull())
+    if not digest:
+        return files.drop("file")
+    # Spark lists no empty file, so one without a line is a mark alone
+    mark = F.when(F.col("size") == len(BYTE_ORDER_MARK), hashlib.sha256(BYTE_ORDER_MARK).hexdigest())
+    found = files.join(file_digests(files, path, options), "file", "left")
+    return found.select("name", "file_type", "size", F.coalesce("sha256", mark).alias("sha256"))
+
+
+def file_digests(files: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
+    """``file, sha256`` of the listed files that have a line, without holding one whole.
+
+    The digest is a chain over the bytes.  Files are dealt to tasks uncut as far as the
+    session lets them be, and the task that reads a file takes its digest; a file that
+    is cut after all goes on in pieces, which a task puts in order.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    spark = files.sparkSession
+    largest, total = files.agg(F.max("size"), F.sum("size")).first()
+    reading = spark.newSession()
+    if largest:
+        reading.conf.set("spark.sql.files.maxPartitionBytes", str(max(largest, 1 << 27)))
+        reading.conf.set("spark.sql.files.minPartitionNum", str(max(1, min(spark.sparkContext.defaultParallelism, total // largest))))
+    lines = reading.read.options(**options).text(path, lineSep="\n").where(_file_type(F.col("_metadata.file_path")).isNotNull()).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"),
+        (F.col("_metadata.file_block_length") == F.col("_metadata.file_size")).alias("whole"),
+        F.concat(F.col("value").cast("binary"), F.lit("\n").cast("binary")).alias("data"),
     )
-    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kinds = F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv])
-    columns = [F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), kinds[extension].alias("file_type"), F.col("length").alias("size")]
-    if digest:
-        columns.append(F.sha2("content", 256).alias("sha256"))
-    return files.select(*columns).filter(F.col("file_type").isNotNull())
+    pieces = lines.mapInArrow(_digests_or_pieces, "file string, size bigint, start bigint, at bigint, data binary, sha256 string")
+    ordered = pieces.repartition("file").sortWithinPartitions("file", "start", "at")
+    folder = new_folder(spark, "digests")
+    ordered.mapInArrow(_digests, "file string, sha256 string").write.parquet(folder)
+    return spark.read.schema("file string, sha256 string").parquet(folder)
+
+
+class LineDigest:
+    """SHA-256 of a file whose lines come with an end each, also the last, and without a byte order mark.
+
+    Only the size of the file tells in the end what its first and last bytes are.
+    """
+
+    def __init__(self):
+        self.bytes, self.plain, self.marked = 0, hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)
+
+    def add(self, data: memoryview) -> None:
+        for sums in (self.plain, self.marked):
+            if self.bytes:
+                sums.update(b"\n")
+            sums.update(data[:-1])
+        self.bytes += len(data)
+
+    def result(self, size: int) -> str:
+        more = size - self.bytes
+        if more not in (-1, 0, 2, 3):
+            raise ValueError(f"read {self.bytes} bytes of a file of {size}")
+        sums = self.marked if more > 0 else self.plain
+        if more in (0, 3):
+            sums.update(b"\n")
+        return sums.hexdigest()
+
+
+def _runs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[int, int]]:
+    """First row and end of each run of equal values in the first columns."""
+    if not batch.num_rows:
+        return
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = np.logical_or.reduce([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in batch.columns[:n_keys]])
+    edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
+    yield from zip(edges, edges[1:])
+
+
+def _joined(column: pa.Array, first: int, end: int) -> memoryview:
+    """The bytes of neighbouring values, which lie one after another."""
+    column = column.slice(first, end - first).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return memoryview(column.buffers()[2])[offsets[0] : offsets[-1]]
+
+
+def _digests_or_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the files that are read whole, and the bytes of the others in the order of ``at``, from lines in order."""
+    names, key, taken, at = ["file", "size", "start", "at", "data", "sha256"], None, None, 0
+
+    def row(*values):
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
+
+    for batch in batches:
+        for first, end in _runs(batch, 3):
+            file, size, start, whole = (batch.column(i)[first].as_py() for i in range(4))
+            if taken and key != (file, size):
+                yield row(*key, 0, 0, None, taken.result(key[1]))
+                taken = None
+            if whole:
+                key, taken = (file, size), taken or LineDigest()
+                taken.add(_joined(batch.column(4), first, end))
+            else:
+                at += 1
+                yield row(file, size, start, at, _joined(batch.column(4), first, end).tobytes(), None)
+    if taken:
+        yield row(*key, 0, 0, None, taken.result(key[1]))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each file, from digests and ordered pieces."""
+    key, taken = None, None
+
+    def row(file, sha256):
+        return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.string()), "sha256": pa.array([sha256], pa.string())})
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            file, size, sha256 = (batch.column(n)[i].as_py() for n in (0, 1, 5))
+            if taken and key[0] != file:
+                yield row(key[0], taken.result(key[1]))
+                taken = None
+            if sha256 is not None:
+                yield row(file, sha256)
+            else:
+                key, taken = (file, size), taken or LineDigest()
+                taken.add(_joined(batch.column(4), i, i + 1))
+    if taken:
+        yield row(key[0], taken.result(key[1]))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
