@@ -141,3 +141,24 @@ def test_neighbours_across_ranges_and_batches(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert [got[i] for i in range(60)] == [" ".join(s) for s in plain_cover(streams, 4)]
+
+
+def test_articles_show_what_their_host_repeats(spark):
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    offer, text = words("offer", 9), {i: words(f"text{i}x", 20) for i in range(1, 8)}
+    marked = lambda i, *more: f"<main><p>{text[i]}</p>{''.join(f'<p>{m}</p>' for m in more)}</main><footer>{i}</footer>"
+    data = [
+        (1, "http://h/1", marked(1, offer)), (2, "http://h/2", marked(2, offer)), (3, "http://h/3", f"<p>{text[3]}</p><p>{offer}</p>"),
+        # print versions of an article, which is there twice, and of one that has the offer
+        (4, "http://h/4", marked(4)), (5, "http://h/5", marked(4) + "<p>beside</p>"), (6, "http://h/6", f"<p>{text[4]}</p>"), (7, "http://h/7", f"<p>{text[1]}</p><p>{offer}</p>"),
+        # one article alone, and two on another host
+        (8, "http://g/8", marked(5, offer)), (9, "http://g/9", f"<p>{text[6]}</p><p>{offer}</p>"),
+    ]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    assert [got[i] for i in (1, 2)] == [f"{text[i]} {offer}" for i in (1, 2)] and got[4] == got[5] == text[4]  # articles stay whole
+    assert got[3] == text[3] and got[7] == text[1]
+    assert got[6] == text[4] and got[9] == f"{text[6]} {offer}"
+    for i, own in ((3, text[3]), (7, text[1])):
+        alone = spark.createDataFrame([d for d in data if d[0] in (1, 2, i)], "page_id bigint, url string, html string")
+        assert {r.page_id: r.text for r in html_extract.extract_text(alone).collect()}[i] == own
