@@ -134,3 +134,10 @@ def test_a_cell_compares_the_probed_lists_only(index):
         want = sorted((-s, t) for part in near for t, s in zip(part["item_id"], part["score"]))[:4]
         got = found[found["query_id"] == mine["query_id"].iloc[0]]
         assert sorted((-s, t) for t, s in zip(got["item_id"], got["score"])) == want
+
+
+def test_rows_that_come_twice_take_one_place(clustered, index):
+    queries = as_queries(clustered).drop("label")
+    twice = vi.VectorIndex(index.centroids, index.items.union(index.items), index.probes)
+    found = [vi.search(i, queries, 10, skip_self=True).collect() for i in (index, twice)]
+    assert sorted(map(tuple, found[1])) == sorted(map(tuple, found[0])) and len(found[0]) == 3000
