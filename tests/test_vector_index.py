@@ -141,3 +141,11 @@ def test_rows_that_come_twice_take_one_place(clustered, index):
     twice = vi.VectorIndex(index.centroids, index.items.union(index.items), index.probes)
     found = [vi.search(i, queries, 10, skip_self=True).collect() for i in (index, twice)]
     assert sorted(map(tuple, found[1])) == sorted(map(tuple, found[0])) and len(found[0]) == 3000
+
+
+def test_sizes_of_keys_travel_and_vectors_do_not(spark):
+    """Spark takes the copies of queries for as small as the rows before them, and sent them to the driver to broadcast them."""
+    rows = spark.range(20).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"), (F.col("id") % 3).alias("label"))
+    found = vs.top_k_similar(rows, rows.withColumnRenamed("query_id", "item_id"), 2, on=["label"], skip_self=True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") == 2
+    assert found.count() == 40
